@@ -7,13 +7,18 @@ moves no page text. Everything downstream is native columns.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# Executors get the tokenizer by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TYPES = {
     "hrefs": ("array<string>", pa.list_(pa.string())),
     "title": ("string", pa.string()),

@@ -7,7 +7,10 @@ its text. Rows are exploded only where a result has one row per link.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from sitelens.functions import urls
+from sitelens.functions.html import raw_hrefs, read_html
 from sitelens.functions.sql import each, each_indexed, keep, let, struct, zipped
 from sitelens.functions.text import strip
 
@@ -54,3 +57,105 @@ def resolve_all(hrefs: str, base_url: str) -> str:
     """Resolve every href of an array against ``base_url``."""
     placed = each_indexed(hrefs, lambda h, i: struct(pos=i, href=h))
     return let(placed, lambda p: let(urls.parse(base_url), lambda b: resolved(p, b)))
+
+
+def resolved_hrefs(hrefs: str, base_url: str) -> str:
+    """Followed hrefs of a page, resolved against its URL."""
+    return let(
+        followed(hrefs), lambda p: let(urls.parse(base_url), lambda b: resolved(p, b))
+    )
+
+
+def internal(hrefs: str, base_url: str) -> str:
+    """Followed links that stay on the page's authority, in order, duplicates kept."""
+    return let(
+        followed(hrefs),
+        lambda p: let(
+            urls.parse(base_url),
+            lambda b: keep(
+                resolved(p, b), lambda l: urls.in_domain(f"{l}.parts", f"{b}.authority")
+            ),
+        ),
+    )
+
+
+def distinct_parsed(hrefs: str, base_url: str) -> str:
+    """Parsed-page links: canonical, external ones too, first occurrence kept."""
+    return f"array_distinct({each(resolved_hrefs(hrefs, base_url), lambda l: urls.parsed_form(f'{l}.parts'))})"
+
+
+def crawl_base(pages: DataFrame, *keep_columns: str) -> DataFrame:
+    """Pages with ``norm``, the canonical URL links resolve against, and ``hrefs``."""
+    parsed = pages.withColumn("page", read_html(pages["html"], ["hrefs"]))
+    return parsed.selectExpr(
+        "page_id", *keep_columns, f"{urls.crawl_form_of('url')} AS norm", "page.hrefs AS hrefs"
+    )
+
+
+def resolved_links(pages: DataFrame) -> DataFrame:
+    """Every followed href with its absolute URL."""
+    return (
+        crawl_base(pages)
+        .selectExpr("page_id", f"explode({resolved_hrefs('hrefs', 'norm')}) AS l")
+        .selectExpr("page_id", "l.pos", "l.href", "l.link AS absolute")
+    )
+
+
+def internal_links(pages: DataFrame, *keep_columns: str) -> DataFrame:
+    """Same-authority links of each page; ``pos`` is the place among all hrefs."""
+    return (
+        crawl_base(pages, *keep_columns)
+        .selectExpr("page_id", *keep_columns, f"explode({internal('hrefs', 'norm')}) AS l")
+        .selectExpr("page_id", *keep_columns, "l.pos", "l.link")
+    )
+
+
+def parsed_pages(pages: DataFrame, *keep_columns: str, fields: tuple[str, ...]) -> DataFrame:
+    """Pages with the parsed ``fields``; ``hrefs`` becomes ``links``."""
+    parsed = pages.withColumn("page", read_html(pages["html"], fields))
+    plain = [f"page.{f} AS {f}" for f in fields if f != "hrefs"]
+    links = [f"{distinct_parsed('page.hrefs', 'url')} AS links"] if "hrefs" in fields else []
+    return parsed.selectExpr("page_id", "url", *keep_columns, *plain, *links)
+
+
+def same_host_links(parsed: DataFrame) -> DataFrame:
+    """Links of parsed pages on the page's own authority."""
+    on_host = keep(
+        each_indexed("links", lambda l, i: struct(pos=i, link=l)),
+        lambda l: f"{urls.domain_of(f'{l}.link')} = {urls.domain_of('url')}",
+    )
+    return parsed.selectExpr("page_id", f"explode({on_host}) AS l").selectExpr(
+        "page_id", "l.pos", "l.link"
+    )
+
+
+def raw_href_rows(pages: DataFrame) -> DataFrame:
+    """Quoted ``href=`` values of the raw markup, one row each."""
+    return pages.select("page_id", raw_hrefs("html").alias("found")).selectExpr(
+        "page_id", "posexplode(found) AS (pos, href)"
+    )
+
+
+def document_links(parsed: DataFrame) -> DataFrame:
+    """One row per document link of each parsed page."""
+    found = keep("links", urls.is_document)
+    return parsed.selectExpr("url AS source_page", f"explode({found}) AS url").selectExpr(
+        "source_page", "url", "true AS is_document"
+    )
+
+
+def broken_links(pages: DataFrame, *group: str) -> DataFrame:
+    """Internal link targets without a stored page, with the number of linking pages.
+
+    Targets are deduplicated inside the page, so the count needs no distinct,
+    and counted before the anti join, so a target everybody links to is one row.
+    """
+    base = crawl_base(pages, *group)
+    targets = each(internal("hrefs", "norm"), lambda l: urls.crawl_form(f"{l}.parts"))
+    missing = (
+        base.selectExpr(*group, f"explode(array_distinct({targets})) AS url")
+        .groupBy(*group, "url")
+        .count()
+    )
+    stored = pages.selectExpr(f"{urls.crawl_form_of('url')} AS url")
+    return missing.join(stored, "url", "left_anti").withColumnRenamed("count", "n_referrers")

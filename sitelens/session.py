@@ -46,12 +46,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/sitelens/{label}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, label: str) -> str:
+    """Write ``df`` once to the shared folder; returns its path."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label))
 
 
 def materialize_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
