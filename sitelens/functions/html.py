@@ -14,7 +14,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from sitelens.functions.sql import each, keep, let, raw
 
 # Executors get the tokenizer by value, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -208,6 +210,77 @@ def read_html(html: Column, fields: Sequence[str] = FIELDS) -> Column:
     return parse_batch(html)
 
 
+# Native links. Most markup is plain: it is a sequence of the tokens below and
+# nothing else, and then the tokenizer above sees exactly the same tags. All loops
+# are possessive, so matching is linear and takes no stack.
+_WS = r"[ \t\r\n\f]"
+_BARE_VALUE = r"[!#$%&()*+,\-./0-9:;?@A-Z\[\]\\^_a-z{|}~]++"
+_VALUE = rf"(?:\x22[^\x22]*+\x22|\x27[^\x27]*+\x27|{_BARE_VALUE})"
+_NAME = r"[A-Za-z0-9_:.@\-]++"
+_ATTRIBUTES = rf"(?:{_WS}++{_NAME}(?:{_WS}*+={_WS}*+{_VALUE})?+)*+{_WS}*+"
+_RAW_TEXT = (
+    r"(?:<(?i:NAME)ATTRS>[^<]*+(?:<(?!/(?:\s|(?i:NAME)))[^<]*+)*+</(?i:NAME)>)"
+)
+_NOT_LINK = "|".join(
+    [
+        r"[^<]++",
+        r"<!--[^\-]*+(?:-[^\-]++)*+-->",
+        r"<!(?i:doctype)[^>]*+>",
+        r"<\?[^>]*+>",
+        rf"</[A-Za-z][A-Za-z0-9_:.\-]*+{_WS}*+>",
+        r"<(?=[^A-Za-z/!?])",
+        *(_RAW_TEXT.replace("NAME", n).replace("ATTRS", _ATTRIBUTES) for n in ("script", "style")),
+        rf"<(?!(?i:a|script|style)[ \t\r\n\f/>])[A-Za-z][A-Za-z0-9_:.\-]*+{_ATTRIBUTES}/?+>",
+    ]
+)
+_PLAIN = rf"^(?:{_NOT_LINK}|<[aA]{_ATTRIBUTES}/?+>)*+\z"
+_LINKS = rf"(?:{_NOT_LINK})++|<[aA]({_ATTRIBUTES})/?+>"
+_HREF = rf"(?i){_WS}++href(?:{_WS}*+={_WS}*+({_VALUE}))|{_WS}++{_NAME}(?:{_WS}*+={_WS}*+{_VALUE})?+"
+_EMPTY_HREF = rf"(?i){_WS}href(?!{_WS}*+=)(?![A-Za-z0-9_:.@\-])"
+
+# References that only the full tokenizer decodes: anything but &amp; that is a
+# reference, with its semicolon or as one of the names that need none.
+_LEGACY = "|".join(sorted(n for n in html5 if not n.endswith(";") and n != "amp"))
+_REFERENCE = rf"&(?:#|{_LEGACY}|amp(?!;)|(?!amp;)[A-Za-z0-9]+;)"
+
+
+def plain_hrefs(html: str) -> str:
+    """Link targets of plain markup, decoded, in order; NULL for any other markup."""
+
+    def target(attributes: str) -> str:
+        found = f"regexp_extract_all({attributes}, {raw(_HREF)}, 1)"
+        value = f"element_at({keep(found, lambda v: f"{v} <> ''")}, -1)"
+        return f"regexp_replace({value}, {raw(_QUOTES)}, '')"
+
+    def decoded(attribute_texts: str) -> str:
+        unclear = f"exists({attribute_texts}, t -> t RLIKE {raw(_EMPTY_HREF)} OR t RLIKE {raw(_REFERENCE)})"
+        linked = keep(attribute_texts, lambda t: f"{t} RLIKE {raw(_HAS_HREF)}")
+        values = each(linked, lambda t: f"replace({target(t)}, '&amp;', '&')")
+        return f"if({unclear}, NULL, {values})"
+
+    tags = f"regexp_extract_all({html}, {raw(_LINKS)}, 1)"
+    return f"if({html} RLIKE {raw(_PLAIN)}, {let(keep(tags, lambda t: f"{t} <> ''"), decoded)}, NULL)"
+
+
+_QUOTES = r"^[\x22\x27]|[\x22\x27]\z"
+_HAS_HREF = rf"(?i){_WS}href{_WS}*+="
+
+
+def with_hrefs(pages: DataFrame) -> DataFrame:
+    """Pages with ``hrefs``, every ``<a href>`` value in document order.
+
+    Plain markup is read in the JVM; only the text of other pages goes through
+    the tokenizer, as NULL is sent for the rest.
+    """
+    native = pages.withColumn("native_hrefs", F.expr(plain_hrefs("html")))
+    rest = F.expr("if(native_hrefs IS NULL, html, NULL)")
+    return (
+        native.withColumn("page", read_html(rest, ["hrefs"]))
+        .withColumn("hrefs", F.expr("coalesce(native_hrefs, page.hrefs)"))
+        .drop("native_hrefs", "page")
+    )
+
+
 def raw_hrefs(html: Column) -> Column:
     """Every quoted ``href=`` in the raw markup, in order, empty ones dropped."""
     found = F.regexp_extract_all(html, F.lit("(?i)href=['\"]([^\\n]*?)['\"]"), 1)

@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sitelens.functions import robots as rules
 from sitelens.functions import urls
-from sitelens.functions.html import read_html
 from sitelens.functions.sql import each, keep, let
-from sitelens.operators.links import internal
+from sitelens.operators.links import crawl_base, internal
 from sitelens.operators.robots import site_rules
 from sitelens.session import materialize, materialize_bucketed
 
@@ -39,11 +38,7 @@ def link_graph(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> D
     wanted = site_rules(requests, robots).selectExpr(
         "site", f"lower({urls.domain_of('base_url')}) AS host", "rules"
     )
-    parsed = snapshot.withColumn("page", read_html(snapshot["html"], ["hrefs"])).selectExpr(
-        "page_id",
-        f"{urls.crawl_form_of('url')} AS norm",
-        "coalesce(page.hrefs, array()) AS hrefs",
-    )
+    parsed = crawl_base(snapshot)
     admitted = keep(
         internal("hrefs", "norm"), lambda l: rules.admits(f"{l}.parts.path", "rules")
     )
@@ -51,7 +46,7 @@ def link_graph(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> D
     return (
         parsed.withColumn("host", F.expr(urls.domain_of("norm")))
         .join(wanted, "host")
-        .selectExpr("site", "norm", "page_id", f"{targets} AS links")
+        .selectExpr("site", "norm", "page_id", f"coalesce({targets}, array()) AS links")
         .groupBy("site", "norm")
         .agg(F.min_by("links", "page_id").alias("links"))
     )
@@ -131,24 +126,19 @@ def crawl(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFr
     graph = materialize_bucketed(link_graph(requests, snapshot, robots), "graph", ["site", "norm"])
     deepest = requests.agg(F.max("max_depth")).head()[0]
     frontier = materialize(_seeds(requests), "frontier")
-    levels: list[DataFrame] = []
-    visited: list[DataFrame] = []
-    for depth in range((deepest if deepest is not None else -1) + 1):
+    queued = [frontier.selectExpr("site", "0 AS depth", "norm")]
+    for depth in range(deepest or 0):
+        visited = reduce(DataFrame.unionByName, queued)
         found = frontier.join(graph, ["site", "norm"])
-        levels.append(
-            frontier.join(graph.select("site", "norm"), ["site", "norm"], "left_semi").selectExpr(
-                "site", f"{depth} AS depth", "norm AS url"
-            )
-        )
-        visited.append(frontier.select("site", "norm"))
-        if depth == deepest:
-            break
-        seen = reduce(DataFrame.unionByName, visited)
-        candidates = _candidates(found, seen, depth).persist()
+        candidates = _candidates(found, visited, depth).persist()
         frontier = materialize(_admit(candidates), "frontier")
         candidates.unpersist()
         if frontier.isEmpty():
             break
-    if not levels:
-        return requests.selectExpr("site", "0 AS depth", "base_url AS url").filter("false")
-    return reduce(DataFrame.unionByName, levels)
+        queued.append(frontier.selectExpr("site", f"{depth + 1} AS depth", "norm"))
+    stored = graph.select("site", "norm")
+    return (
+        reduce(DataFrame.unionByName, queued)
+        .join(stored, ["site", "norm"], "left_semi")
+        .selectExpr("site", "depth", "norm AS url")
+    )

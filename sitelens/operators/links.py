@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sitelens.functions import urls
-from sitelens.functions.html import raw_hrefs, read_html
+from sitelens.functions.html import raw_hrefs, read_html, with_hrefs
 from sitelens.functions.sql import each, each_indexed, keep, let, struct, zipped
 from sitelens.functions.text import strip
 
@@ -86,9 +86,8 @@ def distinct_parsed(hrefs: str, base_url: str) -> str:
 
 def crawl_base(pages: DataFrame, *keep_columns: str) -> DataFrame:
     """Pages with ``norm``, the canonical URL links resolve against, and ``hrefs``."""
-    parsed = pages.withColumn("page", read_html(pages["html"], ["hrefs"]))
-    return parsed.selectExpr(
-        "page_id", *keep_columns, f"{urls.crawl_form_of('url')} AS norm", "page.hrefs AS hrefs"
+    return with_hrefs(pages.select("page_id", *keep_columns, "url", "html")).selectExpr(
+        "page_id", *keep_columns, f"{urls.crawl_form_of('url')} AS norm", "hrefs"
     )
 
 
@@ -112,6 +111,11 @@ def internal_links(pages: DataFrame, *keep_columns: str) -> DataFrame:
 
 def parsed_pages(pages: DataFrame, *keep_columns: str, fields: tuple[str, ...]) -> DataFrame:
     """Pages with the parsed ``fields``; ``hrefs`` becomes ``links``."""
+    if fields == ("hrefs",):
+        linked = with_hrefs(pages)
+        return linked.selectExpr(
+            "page_id", "url", *keep_columns, f"{distinct_parsed('hrefs', 'url')} AS links"
+        )
     parsed = pages.withColumn("page", read_html(pages["html"], fields))
     plain = [f"page.{f} AS {f}" for f in fields if f != "hrefs"]
     links = [f"{distinct_parsed('page.hrefs', 'url')} AS links"] if "hrefs" in fields else []

@@ -48,15 +48,19 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = number_by_key(
         hosted(spark, sf_dir).select("page_id", "url", "host"), ["host"], "page_id", "k"
     )
-    children = (
-        slim.filter("k > 1")
-        .groupBy("host", F.expr("k div 2").alias("k"))
+    # Every page appears once as itself and once below its parent, so one
+    # aggregation brings a page and its children together.
+    roles = slim.selectExpr("host", "page_id", "url", "k", "explode(array(k, k div 2)) AS node")
+    tree = (
+        roles.filter("node > 0")
+        .groupBy("host", "node")
         .agg(
-            F.max(F.expr("if(k % 2 = 0, url, NULL)")).alias("left_url"),
-            F.max(F.expr("if(k % 2 = 1, url, NULL)")).alias("right_url"),
+            F.max(F.expr("if(k = node, page_id, NULL)")).alias("page_id"),
+            F.max(F.expr("if(k = 2 * node, url, NULL)")).alias("left_url"),
+            F.max(F.expr("if(k = 2 * node + 1, url, NULL)")).alias("right_url"),
         )
+        .withColumnRenamed("node", "k")
     )
-    tree = slim.join(children, ["host", "k"], "left").drop("url")
     return (
         pages(spark, sf_dir)
         .join(tree, "page_id")

@@ -62,16 +62,15 @@ def materialize_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFram
     """As :func:`materialize`, hash-bucketed on ``keys``.
 
     Joins on exactly these keys then read the table in place; only the other
-    side moves. One task per bucket writes one file.
+    side moves. ``df`` must come out of an aggregation by ``keys``: its shuffle
+    partitions are then the buckets, and no second shuffle is needed.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, label)
     table = f"sitelens_{label}_{uuid.uuid4().hex}"
     (
-        df.repartition(buckets, *keys)
-        .write.format("parquet")
-        .option("path", path)
+        df.write.format("parquet")
+        .option("path", scratch_path(spark, label))
         .bucketBy(buckets, *keys)
         .sortBy(*keys)
         .saveAsTable(table)
