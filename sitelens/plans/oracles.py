@@ -27,6 +27,13 @@ def _authority(url: str) -> str:
     return f"regexp_extract({url}, '^[a-z]+://([^/?#]*)', 1)"
 
 
+def _decoded(text: str) -> str:
+    """The references that occur in the given pages; ``&amp`` needs no semicolon."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"')):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return f"regexp_replace({text}, '&amp\\b;?', '&', 'g')"
+
+
 def _dir_form(url: str) -> str:
     bare = _bare(url)
     path = f"regexp_replace({bare}, '^[a-z]+://[^/]*', '')"
@@ -264,19 +271,17 @@ ORACLES["internal_links"] = _with(*_LINKS, select="SELECT page_id, pos, link FRO
 ORACLES["parsed_pages"] = _with(
     *_PARSED,
     select=f"""
-SELECT p.page_id, trim(replace(replace(replace(
-           regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1),
-           '&quot;', '"'), '&copy;', '©'), '&amp;', '&')) AS title,
+SELECT p.page_id, trim({_decoded("regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
        CAST(count(l.link) AS INTEGER) AS n_links
 FROM linked_pages p LEFT JOIN parsed_links l ON l.page_id = p.page_id GROUP BY p.page_id, p.html""",
 )
-ORACLES["page_text"] = """
+_UNTAGGED = """regexp_replace(regexp_replace(html,
+    '(?is)<!--.*?-->|<!doctype[^>]*>|<(?:script|style|noscript|template)[^>]*>.*?</(?:script|style|noscript|template)\\s*>',
+    chr(1), 'g'), '<[^>]*>', chr(1), 'g')"""
+ORACLES["page_text"] = f"""
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(flat, chr(1)),
            lambda t: trim(t, concat(' ', chr(9), chr(10), chr(13)))), lambda t: t <> ''), ' ') AS text
-FROM (SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(html,
-    '(?is)<!--.*?-->|<!doctype[^>]*>|<(?:script|style|noscript|template)[^>]*>.*?</(?:script|style|noscript|template)\\s*>',
-    chr(1), 'g'), '<[^>]*>', chr(1), 'g'),
-    '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS flat FROM pages) f"""
+FROM (SELECT page_id, {_decoded(_UNTAGGED)} AS flat FROM pages) f"""
 ORACLES["same_host_links"] = _with(
     *_PARSED,
     select=f"SELECT page_id, pos, link FROM parsed_ranked WHERE {_authority('link')} = host",
@@ -289,11 +294,11 @@ SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l)
 FROM (SELECT page_id, list_filter(regexp_extract_all(html, '(?i)href=[''"](.*?)[''"]', 1),
                                   lambda h: h <> '') AS l FROM linked_pages) x""",
 )
-ORACLES["page_metadata"] = """
+_HEADING = "regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')"
+ORACLES["page_metadata"] = f"""
 SELECT page_id, regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS html_lang,
        CAST(len(regexp_extract_all(html, '(?i)<meta\\s[^>]*(?:name|property)=')) AS INTEGER) AS n_meta,
-       trim(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1),
-            '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&')) AS h1
+       trim({_decoded(_HEADING)}) AS h1
 FROM pages"""
 ORACLES["document_links"] = _with(
     *_PARSED,
