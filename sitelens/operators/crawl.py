@@ -28,7 +28,7 @@ _BUCKET_BITS = _POS_BITS + 10
 
 
 def link_graph(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFrame:
-    """``site, norm, links``: admitted targets of each stored page of each site.
+    """``site, norm, page_id, links``: admitted targets of each stored page of each site.
 
     ``snapshot`` has ``page_id, url, html``; a page with NULL ``html`` (a binary
     body) is stored but has no links. Robots verdicts do not depend on depth, so
@@ -48,7 +48,7 @@ def link_graph(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> D
         .join(wanted, "host")
         .selectExpr("site", "norm", "page_id", f"coalesce({targets}, array()) AS links")
         .groupBy("site", "norm")
-        .agg(F.min_by("links", "page_id").alias("links"))
+        .agg(F.min_by("links", "page_id").alias("links"), F.min("page_id").alias("page_id"))
     )
 
 
@@ -115,7 +115,14 @@ def _admit(candidates: DataFrame) -> DataFrame:
 
 
 def crawl(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFrame:
-    """Reachable pages as ``site, depth, url``.
+    """Reachable pages as ``site, depth, url``; see :func:`crawl_pages`."""
+    return crawl_pages(requests, snapshot, robots).select("site", "depth", "url")
+
+
+def crawl_pages(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFrame:
+    """Reachable pages as ``site, depth, rank, url, page_id``.
+
+    ``rank`` orders the pages of one level as a breadth-first walk meets them.
 
     ``requests``: ``site, base_url, max_depth, max_pages, user_agent``;
     ``snapshot``: ``page_id, url, html``; ``robots``: ``site, text``. The seed is
@@ -126,19 +133,19 @@ def crawl(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFr
     graph = materialize_bucketed(link_graph(requests, snapshot, robots), "graph", ["site", "norm"])
     deepest = requests.agg(F.max("max_depth")).head()[0]
     frontier = materialize(_seeds(requests), "frontier")
-    queued = [frontier.selectExpr("site", "0 AS depth", "norm")]
+    queued = [frontier.selectExpr("site", "0 AS depth", "rank", "norm")]
     for depth in range(deepest or 0):
-        visited = reduce(DataFrame.unionByName, queued)
+        visited = reduce(DataFrame.unionByName, queued).select("site", "norm")
         found = frontier.join(graph, ["site", "norm"])
         candidates = _candidates(found, visited, depth).persist()
         frontier = materialize(_admit(candidates), "frontier")
         candidates.unpersist()
         if frontier.isEmpty():
             break
-        queued.append(frontier.selectExpr("site", f"{depth + 1} AS depth", "norm"))
-    stored = graph.select("site", "norm")
+        queued.append(frontier.selectExpr("site", f"{depth + 1} AS depth", "rank", "norm"))
+    stored = graph.select("site", "norm", "page_id")
     return (
         reduce(DataFrame.unionByName, queued)
-        .join(stored, ["site", "norm"], "left_semi")
-        .selectExpr("site", "depth", "norm AS url")
+        .join(stored, ["site", "norm"])
+        .selectExpr("site", "depth", "rank", "norm AS url", "page_id")
     )

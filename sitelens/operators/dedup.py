@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def stable(links: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Distinct ``keys`` with the ``order`` columns of their first occurrence."""
-    first = F.min(F.struct(*order)).alias("first")
-    return links.groupBy(*keys).agg(first).select(*keys, "first.*")
+# A position inside a page is below 2**28: a text is at most 2 GB and a link
+# takes at least eight characters.
+_PAGE_STEP = 1 << 28
+
+
+def stable(links: DataFrame, keys: list[str], page: str, pos: str) -> DataFrame:
+    """Distinct ``keys`` with the ``page`` and ``pos`` of their first occurrence.
+
+    Both go into one exact decimal: unlike a struct, its minimum is kept by hash
+    aggregation, so no row is sorted before the shuffle.
+    """
+    place = F.expr(f"cast({page} AS decimal(20,0)) * {_PAGE_STEP} + {pos}")
+    return (
+        links.groupBy(*keys)
+        .agg(F.min(place).alias("place"))
+        .selectExpr(
+            *keys,
+            f"cast(floor(place / {_PAGE_STEP}) AS bigint) AS {page}",
+            f"cast(pmod(place, {_PAGE_STEP}) AS int) AS {pos}",
+        )
+    )
 
 
 def unordered(links: DataFrame, keys: list[str]) -> DataFrame:

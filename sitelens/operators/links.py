@@ -148,18 +148,24 @@ def document_links(parsed: DataFrame) -> DataFrame:
     )
 
 
-def broken_links(pages: DataFrame, *group: str) -> DataFrame:
-    """Internal link targets without a stored page, with the number of linking pages.
+def link_targets(pages: DataFrame, *keep_columns: str) -> DataFrame:
+    """Canonical internal targets, each once per page.
 
-    Targets are deduplicated inside the page, so the count needs no distinct,
-    and counted before the anti join, so a target everybody links to is one row.
+    In-page dedup works on the page's own array, so it costs no shuffle and
+    spares the next one most of its rows.
     """
-    base = crawl_base(pages, *group)
     targets = each(internal("hrefs", "norm"), lambda l: urls.crawl_form(f"{l}.parts"))
-    missing = (
-        base.selectExpr(*group, f"explode(array_distinct({targets})) AS url")
-        .groupBy(*group, "url")
-        .count()
+    return crawl_base(pages, *keep_columns).selectExpr(
+        "page_id", *keep_columns, f"explode(array_distinct({targets})) AS url"
     )
+
+
+def broken_links(pages: DataFrame, *group: str) -> DataFrame:
+    """Internal link targets without a stored page, with the number of linking pages.
+
+    A page names a target once, so the count needs no distinct. Counting comes
+    before the anti join, so a target everybody links to is one row there.
+    """
+    named = link_targets(pages, *group).groupBy(*group, "url").count()
     stored = pages.selectExpr(f"{urls.crawl_form_of('url')} AS url")
-    return missing.join(stored, "url", "left_anti").withColumnRenamed("count", "n_referrers")
+    return named.join(stored, "url", "left_anti").withColumnRenamed("count", "n_referrers")

@@ -8,6 +8,8 @@ from sitelens.functions import urls
 from sitelens.functions.html import raw_hrefs, read_html
 from sitelens.functions.sql import each, keep, let, struct, text, texts
 
+LANGUAGE_FIELDS = ("html_lang", "hreflangs")
+
 
 def localized_urls(pages: DataFrame, base_domain: str) -> DataFrame:
     """Raw hrefs in directory form that lie in ``base_domain``, an expression per page.
@@ -44,13 +46,21 @@ def url_segments(located: DataFrame, base_domain: str) -> DataFrame:
 
 
 def page_locales(pages: DataFrame, rules: dict[str, dict], *keep_columns: str) -> DataFrame:
-    """Locales of each page; a page may have several.
+    """Locales of each page; a page may have several."""
+    parsed = pages.withColumn("page", read_html(pages["html"], LANGUAGE_FIELDS))
+    return classify(
+        parsed.selectExpr("page_id", *keep_columns, "url", "page.html_lang", "page.hreflangs"),
+        rules,
+        *keep_columns,
+    )
+
+
+def classify(parsed: DataFrame, rules: dict[str, dict], *keep_columns: str) -> DataFrame:
+    """Locales of parsed pages: by subdomain, path prefix, or language of the markup.
 
     ``rules`` is configuration (a few locales), so it becomes conditions of one
-    projection and no join. A page belongs to a locale by subdomain, by path
-    prefix, or by the language of its markup.
+    projection and no join.
     """
-    parsed = pages.withColumn("page", read_html(pages["html"], ["html_lang", "hreflangs"]))
 
     def matched(p: str) -> str:
         tests = []
@@ -68,7 +78,7 @@ def page_locales(pages: DataFrame, rules: dict[str, dict], *keep_columns: str) -
         "page_id",
         *keep_columns,
         "url",
-        "array_compact(concat(array(page.html_lang), page.hreflangs)) AS langs",
+        "array_compact(concat(array(html_lang), hreflangs)) AS langs",
     ).selectExpr(
         "page_id", *keep_columns, "url", f"explode({let(urls.parse('url'), matched)}) AS lang"
     )

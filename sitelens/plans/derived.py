@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelens.operators.ranking import number_by_key, number_by_order
+from sitelens.sources.snapshots import spread
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _BARE = "split_part(split_part(url, '#', 1), '?', 1)"
@@ -19,15 +20,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose markup is going to be parsed."""
+    return spread(pages(spark, sf_dir), "page_id")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def hosted(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """``page_id, url, host, bare`` and the ``extra`` columns asked for."""
-    return pages(spark, sf_dir).selectExpr(
-        "page_id", "url", f"{_HOST} AS host", f"{_BARE} AS bare", *extra
-    )
+    scan = markup(spark, sf_dir) if "html" in extra else pages(spark, sf_dir)
+    return scan.selectExpr("page_id", "url", f"{_HOST} AS host", f"{_BARE} AS bare", *extra)
 
 
 def host_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("node", "k")
     )
     return (
-        pages(spark, sf_dir)
+        markup(spark, sf_dir)
         .join(tree, "page_id")
         .selectExpr(
             "page_id",

@@ -343,6 +343,13 @@ ORACLES["crawl_reachable"] = _with(
 SELECT host, CAST(min(depth) AS INTEGER) AS depth, url
 FROM reached WHERE url IN (SELECT norm FROM snapshot) GROUP BY host, url""",
 )
+_REACHED = f""", reached(host, depth, url, max_depth) AS (
+  SELECT host, 0, {_crawl_form('base_url')}, max_depth FROM sites
+  UNION
+  SELECT r.host, r.depth + 1, e.dst, r.max_depth
+  FROM reached r JOIN edges e ON e.host = r.host AND e.src = r.url WHERE r.depth < r.max_depth),
+scanned AS (SELECT DISTINCT r.host, s.page_id FROM reached r JOIN snapshot s ON s.norm = r.url)
+"""
 ORACLES["crawl_budget"] = _with(
     *_VERDICTS,
     "snapshot",
@@ -421,6 +428,23 @@ SELECT s.host,
        (SELECT count(*) FROM located l WHERE l.host = s.host) AS n_locale_urls
 FROM sites s""",
 )
+# The documents and locales of a scan are those of its pages' canonical URLs.
+ORACLES["scan_report"] = _with(
+    *dict.fromkeys(
+        _VERDICTS + ("sites", "snapshot", "edges", "parsed_links", "locale_rules", "located") + _HIDDEN
+    ),
+    recursive=True,
+    select=_REACHED
+    + f"""SELECT s.host,
+       (SELECT count(*) FROM scanned p WHERE p.host = s.host) AS n_pages,
+       (SELECT count(*) FROM parsed_links l JOIN scanned p ON p.page_id = l.page_id
+        WHERE p.host = s.host AND {_DOCUMENT}) AS n_documents,
+       (SELECT count(*) FROM hidden h WHERE h.base = regexp_extract(s.base_url, '^[a-z]+://[^/]*'))
+           AS n_hidden,
+       (SELECT count(*) FROM located l JOIN scanned p ON p.page_id = l.page_id
+        WHERE p.host = s.host) AS n_locale_urls
+FROM sites s""",
+)
 ORACLES["report_roundtrip"] = _with(
     *_ALL,
     select="""

@@ -10,7 +10,7 @@ from sitelens.functions import urls
 from sitelens.functions.sql import let
 from sitelens.operators import admission, crawl, dedup, links, locales, outcomes, robots
 from sitelens.operators.discovery import hidden_resources
-from sitelens.plans import derived, report
+from sitelens.plans import derived, report, scan
 from sitelens.session import materialize, scratch_path, tune, write_table
 from sitelens.sources import reports, requests, sitemaps, snapshots, wordlists
 from sitelens.streaming import jobs
@@ -144,7 +144,7 @@ def parsed_pages(spark, sf_dir):
 
 @query
 def page_text(spark, sf_dir):
-    return links.parsed_pages(derived.pages(spark, sf_dir), fields=("text",)).select(
+    return links.parsed_pages(derived.markup(spark, sf_dir), fields=("text",)).select(
         "page_id", "text"
     )
 
@@ -164,7 +164,7 @@ def raw_hrefs(spark, sf_dir):
 @query
 def page_metadata(spark, sf_dir):
     parsed = links.parsed_pages(
-        derived.pages(spark, sf_dir), fields=("html_lang", "meta", "headings")
+        derived.markup(spark, sf_dir), fields=("html_lang", "meta", "headings")
     )
     return parsed.selectExpr(
         "page_id",
@@ -209,15 +209,14 @@ def broken_links(spark, sf_dir):
 @query
 def stable_dedup(spark, sf_dir):
     found = links.internal_links(derived.linked_pages(spark, sf_dir), "host")
-    first = dedup.stable(found, ["host", "link"], ["page_id", "pos"])
+    first = dedup.stable(found, ["host", "link"], "page_id", "pos")
     return first.selectExpr("host", "link AS url", "page_id AS first_page", "pos AS first_pos")
 
 
 @query
 def distinct_links(spark, sf_dir):
-    found = links.internal_links(derived.linked_pages(spark, sf_dir), "host")
     return dedup.unordered(
-        found.selectExpr("host", f"{urls.crawl_form_of('link')} AS url"), ["host", "url"]
+        links.link_targets(derived.linked_pages(spark, sf_dir), "host"), ["host", "url"]
     )
 
 
@@ -264,7 +263,7 @@ def localized_urls(spark, sf_dir):
 
 @query
 def page_locales(spark, sf_dir):
-    return locales.page_locales(derived.pages(spark, sf_dir), derived.locale_rules()).select(
+    return locales.page_locales(derived.markup(spark, sf_dir), derived.locale_rules()).select(
         "page_id", "lang"
     )
 
@@ -302,27 +301,54 @@ def report_hidden(spark, sf_dir):
 
 @query
 def report_locales(spark, sf_dir):
-    pages = derived.hosted(spark, sf_dir, "html").withColumnRenamed("host", "site")
-    return _as_host(report.locales_table(pages, derived.locale_rules()))
+    pages = derived.hosted(spark, sf_dir, "html").selectExpr("*", "host AS site", "0 AS k")
+    entries = report.parsed_entries(pages, locales.LANGUAGE_FIELDS)
+    return _as_host(report.locales_table(entries, derived.locale_rules()))
 
 
 def _report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four flat tables; pages are parsed once and read back slim."""
     entries = materialize(report.parsed_entries(_site_pages(spark, sf_dir)), "entries")
     responses = derived.responses(spark, sf_dir)
-    pages = derived.hosted(spark, sf_dir, "html").withColumnRenamed("host", "site")
     return {
         "pages": report.pages_table(entries),
         "documents": report.documents_table(entries, responses),
         "hidden": report.hidden_table(_bases(spark, sf_dir), _words(spark, sf_dir), responses),
-        "locales": report.locales_table(pages, derived.locale_rules()),
+        "locales": report.locales_table(entries, derived.locale_rules()),
     }
 
 
 @query
 def site_report(spark, sf_dir):
+    """Counts need no parsed text, no sizes and no positions."""
+    pages = _site_pages(spark, sf_dir)
+    located = derived.hosted(spark, sf_dir, "html").withColumnRenamed("host", "site")
+    return _as_host(
+        report.counts(
+            derived.sites(spark, sf_dir),
+            pages=derived.hosted(spark, sf_dir).withColumnRenamed("host", "site"),
+            documents=report.document_entries(report.parsed_entries(pages, ("hrefs",))),
+            hidden=report.hidden_table(
+                _bases(spark, sf_dir), _words(spark, sf_dir), derived.responses(spark, sf_dir)
+            ),
+            locales=locales.page_locales(located, derived.locale_rules(), "site"),
+        )
+    )
+
+
+@query
+def scan_report(spark, sf_dir):
+    """Crawl of every site, then the report of the pages it reached."""
     sites = derived.sites(spark, sf_dir)
-    return _as_host(report.counts(sites, **_report_tables(spark, sf_dir)))
+    tables = scan.scan(
+        sites,
+        derived.linked_pages(spark, sf_dir),
+        derived.robots(spark, sf_dir),
+        _words(spark, sf_dir),
+        derived.responses(spark, sf_dir),
+        derived.locale_rules(),
+    )
+    return _as_host(report.counts(sites, **tables))
 
 
 @query

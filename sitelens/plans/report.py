@@ -16,7 +16,7 @@ from sitelens.functions import urls
 from sitelens.functions.sql import each_indexed, keep, let, struct, text
 from sitelens.operators.discovery import hidden_resources
 from sitelens.operators.links import parsed_pages
-from sitelens.operators.locales import page_locales
+from sitelens.operators.locales import LANGUAGE_FIELDS, classify
 from sitelens.operators.ranking import number_by_order
 from sitelens.schemas import DOCUMENT_INFO, HIDDEN_INFO, PAGE_INFO
 
@@ -34,9 +34,13 @@ MIME_TYPES = {
 PART_ENTRIES = 10_000
 
 
-def parsed_entries(pages: DataFrame) -> DataFrame:
-    """Raw report entries: ``page_id, site, k, url`` with links, meta and headings."""
-    return parsed_pages(pages, "site", "k", fields=("hrefs", "meta", "headings"))
+# All a report takes from the markup, read in one pass.
+ENTRY_FIELDS = ("hrefs", "meta", "headings", *LANGUAGE_FIELDS)
+
+
+def parsed_entries(pages: DataFrame, fields: tuple[str, ...] = ENTRY_FIELDS) -> DataFrame:
+    """Raw report entries: ``page_id, site, k, url`` with links and the other ``fields``."""
+    return parsed_pages(pages, "site", "k", fields=fields)
 
 
 def pages_table(entries: DataFrame) -> DataFrame:
@@ -52,17 +56,23 @@ def pages_table(entries: DataFrame) -> DataFrame:
     )
 
 
-def documents_table(entries: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per document link; size from the stored answers, 0 if unknown."""
-    sizes = responses.groupBy("url").agg(F.max("size").alias("size"))
-    mime = " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in MIME_TYPES.items())
+def document_entries(entries: DataFrame) -> DataFrame:
+    """One row per document link: ``site, k, pos, url``."""
     placed = keep(
         each_indexed("links", lambda l, i: struct(pos=i, url=l)),
         lambda l: urls.is_document(f"{l}.url"),
     )
+    return entries.selectExpr("site", "k", f"explode({placed}) AS l").selectExpr(
+        "site", "k", "l.pos", "l.url"
+    )
+
+
+def documents_table(entries: DataFrame, responses: DataFrame) -> DataFrame:
+    """Document links with name, size and type; size 0 if there is no stored answer."""
+    sizes = responses.groupBy("url").agg(F.max("size").alias("size"))
+    mime = " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in MIME_TYPES.items())
     return (
-        entries.selectExpr("site", "k", f"explode({placed}) AS l")
-        .selectExpr("site", "k", "l.pos", "l.url")
+        document_entries(entries)
         .join(sizes, "url", "left")
         .selectExpr(
             "site",
@@ -87,9 +97,12 @@ def hidden_table(bases: DataFrame, words: DataFrame, responses: DataFrame) -> Da
     )
 
 
-def locales_table(pages: DataFrame, rules: dict[str, dict]) -> DataFrame:
-    """``site, lang, pos, url``: URLs of each locale in sorted order, not deduplicated."""
-    found = page_locales(pages, rules, "site")
+def locales_table(entries: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """``site, lang, pos, url``: URLs of each locale in sorted order, not deduplicated.
+
+    ``entries``: ``page_id, site, url`` and the language fields.
+    """
+    found = classify(entries, rules, "site")
     ordered = number_by_order(found, ["site", "lang"], ["url", "page_id"], "pos")
     return ordered.select("site", "lang", "pos", "url")
 

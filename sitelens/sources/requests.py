@@ -8,12 +8,13 @@ from sitelens.functions.sql import keep, let, raw, texts
 from sitelens.functions.urls import parse
 
 # Request fields and their defaults (NULL where required or absent).
+# The default agent is our own name.
 DEFAULTS = {
     "base_url": None,
     "max_depth": "3",
     "max_pages": "1000",
     "timeout": "10.0",
-    "user_agent": "SiteScoutBot/1.0",
+    "user_agent": "SiteLensBot/1.0",
     "rate_limit": "1.0",
     "retry_times": "3",
     "wordlists": None,

@@ -13,6 +13,16 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSE).parquet(path)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give every core a part of a scan that has fewer tasks than there are cores.
+
+    Parsing costs far more than moving a small table. A large scan has plenty of
+    tasks of its own and is never shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def page_scan(responses: DataFrame, *keep_columns: str) -> DataFrame:
     """Exactly one of ``text`` and ``body`` is set, by content type.
 

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sitelens.functions import urls
-from sitelens.functions.sql import each
-from sitelens.operators.links import crawl_base, internal
+from sitelens.operators.links import link_targets
 from sitelens.operators.outcomes import fetch_outcomes
 from sitelens.session import scratch_path
 
@@ -26,19 +24,13 @@ def new_links(pages: DataFrame) -> DataFrame:
     The seen set is exact and grows with the links, as the visited set of a
     crawl does. It is hashed over site and URL, so a hot site is spread.
     """
-    targets = each(internal("hrefs", "norm"), lambda l: urls.crawl_form(f"{l}.parts"))
-    found = crawl_base(pages, "site").selectExpr(
-        "site", f"explode(array_distinct({targets})) AS url"
-    )
+    found = link_targets(pages, "site").select("site", "url")
     return found.dropDuplicates(["site", "url"])
 
 
 def recent_new_links(pages: DataFrame, event_time: str, delay: str) -> DataFrame:
     """As :func:`new_links` with bounded state: a link counts as new again after ``delay``."""
-    targets = each(internal("hrefs", "norm"), lambda l: urls.crawl_form(f"{l}.parts"))
-    found = crawl_base(pages, "site", event_time).selectExpr(
-        "site", event_time, f"explode(array_distinct({targets})) AS url"
-    )
+    found = link_targets(pages, "site", event_time).select("site", event_time, "url")
     return found.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["site", "url"])
 
 

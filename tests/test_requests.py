@@ -39,5 +39,5 @@ def test_rules(spark, request_json, want):
 def test_defaults(spark):
     rows = [("a", "{" + OK + "}"), ("b", "{" + OK + ',"max_depth":0,"timeout":2,"user_agent":"T"}')]
     got = with_defaults(spark.createDataFrame(rows, "site STRING, request STRING")).orderBy("site").collect()
-    assert tuple(got[0]) == ("a", "http://x.example", 3, 1000, 10.0, "SiteScoutBot/1.0", 1.0, 3)
+    assert tuple(got[0]) == ("a", "http://x.example", 3, 1000, 10.0, "SiteLensBot/1.0", 1.0, 3)
     assert tuple(got[1]) == ("b", "http://x.example", 0, 1000, 2.0, "T", 1.0, 3)
