@@ -42,11 +42,6 @@ def each_indexed(array: str, body: Callable[[str, str], str]) -> str:
     return f"transform({array}, ({item}, {index}) -> {body(item, index)})"
 
 
-def zipped(left: str, right: str, body: Callable[[str, str], str]) -> str:
-    a, b = _name(), _name()
-    return f"zip_with({left}, {right}, ({a}, {b}) -> {body(a, b)})"
-
-
 def keep(array: str, test: Callable[[str], str]) -> str:
     item = _name()
     return f"filter({array}, {item} -> {test(item)})"

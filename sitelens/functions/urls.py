@@ -15,6 +15,7 @@ from sitelens.functions.sql import each, keep, let, raw, struct, text
 _RFC3986 = raw(
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 )
+_BARE_PATH = raw(r"^(?!//)[^:?#;\x00-\x20]*+\z")
 _LAST_PARAMS = raw(r"(?s);([^/]*)\z")
 _DOT_SEGMENT = raw(r"(?s)(?:^|/)\.\.?(?:/|\z)")
 
@@ -68,13 +69,27 @@ def _cut_params(p: str) -> str:
     )
 
 
+def _only_path(url: str) -> str:
+    return struct(scheme="''", authority="''", path=url, params="''", query="''", fragment="''")
+
+
+def is_rooted_path(url: str) -> str:
+    """A path from the root and nothing else, without dot segments."""
+    return f"(startswith({url}, '/') AND {url} RLIKE {_BARE_PATH} AND NOT contains({url}, '/.'))"
+
+
 def parse_each(urls: str) -> str:
     """Array of part structs, one per URL of an array.
 
     Fields: scheme (lower-cased), authority, path, params, query, fragment;
-    absent ones are empty.
+    absent ones are empty. Bare paths, the most common links, take one match.
     """
-    return each(each(each(urls, clean), _split), _cut_params)
+
+    def parts(url: str) -> str:
+        full = let(let(clean(url), _split), _cut_params)
+        return f"if({url} RLIKE {_BARE_PATH}, {_only_path(url)}, {full})"
+
+    return each(urls, parts)
 
 
 def parse(url: str) -> str:
@@ -179,7 +194,10 @@ def _merged_path(b: str, r: str) -> str:
     )
     plain = let(
         joined,
-        lambda path: f"if({path} RLIKE {_DOT_SEGMENT}, {_remove_dot_segments(path)}, {path})",
+        lambda path: (
+            f"if(contains({path}, '.') AND {path} RLIKE {_DOT_SEGMENT},"
+            f" {_remove_dot_segments(path)}, {path})"
+        ),
     )
     return let(
         plain,

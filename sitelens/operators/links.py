@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from sitelens.functions import urls
 from sitelens.functions.html import raw_hrefs, read_html, with_hrefs
-from sitelens.functions.sql import each, each_indexed, keep, let, struct, zipped
+from sitelens.functions.sql import each, each_indexed, keep, let, struct
 from sitelens.functions.text import strip
 
 
@@ -24,31 +24,42 @@ def followed(hrefs: str) -> str:
 def resolved(placed: str, base: str) -> str:
     """Add ``link`` (absolute URL) and ``parts`` to structs of ``pos`` and ``href``.
 
-    ``base`` names a part struct, so it is split once per page.
+    ``base`` names a part struct, so it is split once per page. Links that are
+    just a path from the root, the most common ones, skip the general rules.
     """
-    refs = zipped(
-        placed,
-        urls.parse_each(each(placed, lambda l: f"{l}.href")),
-        lambda l, ref: struct(
-            pos=f"{l}.pos", href=f"{l}.href", ref=ref, alone=urls.stands_alone(base, ref)
-        ),
-    )
-    targets = each(
-        refs,
-        lambda l: struct(
-            pos=f"{l}.pos",
-            href=f"{l}.href",
-            alone=f"{l}.alone",
-            parts=urls.resolve(base, f"{l}.ref", f"{l}.alone"),
-        ),
-    )
+
+    def link_struct(l: str, link: str, parts: str) -> str:
+        return struct(pos=f"{l}.pos", href=f"{l}.href", link=link, parts=parts)
+
+    def below_root(l: str) -> str:
+        link = f"concat({base}.scheme, '://', {base}.authority, {l}.href)"
+        parts = struct(
+            scheme=f"{base}.scheme",
+            authority=f"{base}.authority",
+            path=f"{l}.href",
+            params="''",
+            query="''",
+            fragment="''",
+        )
+        return link_struct(l, link, parts)
+
+    def by_rule(l: str) -> str:
+        def given(ref: str, alone: str) -> str:
+            return let(
+                urls.resolve(base, ref, alone),
+                lambda p: link_struct(l, f"if({alone}, {l}.href, {urls.assemble(p)})", p),
+            )
+
+        return let(
+            urls.parse(f"{l}.href"),
+            lambda ref: let(urls.stands_alone(base, ref), lambda alone: given(ref, alone)),
+        )
+
+    on_web = f"{base}.scheme IN ('http', 'https') AND {base}.authority <> ''"
     return each(
-        targets,
-        lambda l: struct(
-            pos=f"{l}.pos",
-            href=f"{l}.href",
-            link=f"if({l}.alone, {l}.href, {urls.assemble(f'{l}.parts')})",
-            parts=f"{l}.parts",
+        placed,
+        lambda l: (
+            f"if({on_web} AND {urls.is_rooted_path(f'{l}.href')}, {below_root(l)}, {by_rule(l)})"
         ),
     )
 

@@ -154,10 +154,11 @@ def report_parts(
         "named_struct('k', k, 'v', named_struct('url', url, 'links', links, 'meta', meta,"
         " 'headings', headings, 'headers', headers)) AS page",
     )
-    document_rows = documents.selectExpr(
+    placed_documents = number_by_order(documents, ["site"], ["k", "pos"], "place")
+    document_rows = placed_documents.selectExpr(
         "site",
-        part("k"),
-        "named_struct('k', k, 'pos', pos, 'v', named_struct('name', name, 'url', url,"
+        part("place"),
+        "named_struct('place', place, 'v', named_struct('name', name, 'url', url,"
         " 'size', size, 'mime', mime)) AS document",
     )
     placed_hidden = number_by_order(hidden, ["site"], ["url", "status"], "place")
@@ -184,22 +185,14 @@ def report_parts(
             "site",
             "part",
             f"cast({_in_order('page', 'k')} AS ARRAY<{PAGE_INFO}>) AS pages",
-            f"cast({_in_order('document', 'k', 'pos')} AS ARRAY<{DOCUMENT_INFO}>) AS documents",
+            f"cast({_in_order('document', 'place')} AS ARRAY<{DOCUMENT_INFO}>) AS documents",
             f"cast({_in_order('hidden', 'place')} AS ARRAY<{HIDDEN_INFO}>) AS hidden_resources",
             "map_from_entries(locale) AS locales",
         )
     )
 
 
-def _in_order(column: str, *keys: str) -> str:
-    """Values of collected structs, ordered by their keys (maps cannot be sorted)."""
-
-    def compared(a: str, b: str) -> str:
-        tests = " ".join(
-            f"WHEN {a}.{k} < {b}.{k} THEN -1 WHEN {a}.{k} > {b}.{k} THEN 1" for k in keys
-        )
-        return f"CASE {tests} ELSE 0 END"
-
-    return let(
-        f"array_sort({column}, (x, y) -> {compared('x', 'y')})", lambda s: f"{s}.v"
-    )
+def _in_order(column: str, key: str) -> str:
+    """Values of collected structs, ordered by ``key`` (maps cannot be compared)."""
+    by_key = f"(x, y) -> cast(sign(x.{key} - y.{key}) AS int)"
+    return let(f"array_sort({column}, {by_key})", lambda s: f"{s}.v")

@@ -75,4 +75,7 @@ def materialize_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFram
         .sortBy(*keys)
         .saveAsTable(table)
     )
-    return spark.table(table)
+    written = spark.table(table)
+    # The files stay; only the name was needed, to carry the bucketing.
+    spark.sql(f"DROP TABLE {table}")
+    return written

@@ -47,7 +47,7 @@ def joined(rows, site):
 @pytest.mark.parametrize("size", [4, 10_000])
 def test_parts_make_the_whole_report(spark, tables, size):
     rows = reports.as_json(report.report_parts(**tables, entries=size)).collect()
-    assert len([r for r in rows if r.site == "big"]) == (7 if size == 4 else 1)
+    assert len([r for r in rows if r.site == "big"]) == (13 if size == 4 else 1)
     big = joined(rows, "big")
     assert [p["url"] for p in big["pages"]] == [f"http://big/{k}" for k in range(1, 26)]
     assert big["pages"][0] == {
@@ -58,7 +58,12 @@ def test_parts_make_the_whole_report(spark, tables, size):
     assert big["hidden_resources"][3]["status"] is None and "status" in big["hidden_resources"][3]
     assert big["locales"] == {lang: [f"u{i:02}" for i in range(23)] for lang in ("de", "fr")}
     assert joined(rows, "small")["pages"][0]["url"] == "http://small"
-    assert all("é" in r.json for r in rows if r.site == "big")
+    with_pages = [r.json for r in rows if r.site == "big" and json.loads(r.json)["pages"]]
+    assert with_pages and all("é" in text for text in with_pages)
+    for row in rows:
+        part = json.loads(row.json)
+        assert all(len(part[n]) <= size for n in ("pages", "documents", "hidden_resources"))
+        assert all(len(urls) <= size for urls in part["locales"].values())
 
 
 def test_round_trip(spark, tables, tmp_path):
