@@ -267,17 +267,18 @@ _HAS_HREF = rf"(?i){_WS}href{_WS}*+="
 
 
 def with_hrefs(pages: DataFrame) -> DataFrame:
-    """Pages with ``hrefs``, every ``<a href>`` value in document order.
+    """Pages with ``hrefs`` in place of ``html``: every ``<a href>`` value in order.
 
     Plain markup is read in the JVM; only the text of other pages goes through
     the tokenizer, as NULL is sent for the rest.
     """
+    others = [c for c in pages.columns if c != "html"]
     native = pages.withColumn("native_hrefs", F.expr(plain_hrefs("html")))
-    rest = F.expr("if(native_hrefs IS NULL, html, NULL)")
-    return (
-        native.withColumn("page", read_html(rest, ["hrefs"]))
-        .withColumn("hrefs", F.expr("coalesce(native_hrefs, page.hrefs)"))
-        .drop("native_hrefs", "page")
+    # ``rest`` is a column of its own, so that the markup is not carried past the
+    # Python stage next to it.
+    split = native.selectExpr(*others, "native_hrefs", "if(native_hrefs IS NULL, html, NULL) AS rest")
+    return split.withColumn("page", read_html(F.col("rest"), ["hrefs"])).selectExpr(
+        *others, "if(rest IS NULL, native_hrefs, page.hrefs) AS hrefs"
     )
 
 

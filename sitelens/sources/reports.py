@@ -22,6 +22,7 @@ def write_reports(parts: DataFrame, path: str) -> None:
     parts.write.option("ignoreNullFields", "false").json(path)
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Read reports back with the fixed schema."""
-    return spark.read.schema(f"site STRING, part INT, {REPORT}").json(path)
+def read_reports(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """Read reports back with the fixed schema; ``pretty`` for one indented report per file."""
+    reader = spark.read.schema(f"site STRING, part INT, {REPORT}")
+    return reader.option("multiLine", pretty).json(path)

@@ -85,10 +85,10 @@ def test_native_links_agree_with_the_tokenizer(spark, pages):
 
 def test_all_pages_get_links(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(PIECES)] + [(-1, None)], "i INT, html STRING")
-    rows = with_hrefs(df).collect()
+    rows = with_hrefs(df.selectExpr("*", "html AS source")).collect()
     assert len(rows) == len(PIECES) + 1
     for row in rows:
-        assert row.hrefs == (None if row.html is None else _parse(row.html, False).hrefs)
+        assert row.hrefs == (None if row.source is None else _parse(row.source, False).hrefs)
 
 
 def test_plain_markup_stays_native(spark):

@@ -31,6 +31,12 @@ def test_no_pairs_and_no_row_python(spark, name):
     assert text.count("ArrowEvalPython") <= 1
 
 
+@pytest.mark.parametrize("name", sorted(set(LAZY) - TOKENIZED - {"report_pages", "report_documents", "report_locales"}))
+def test_links_are_read_natively(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert "parse_batch" not in text or "parse_batch(rest" in text
+
+
 def test_scans_read_only_what_is_needed(spark):
     text = plan(QUERIES["url_canonical"](spark, SF_DIR))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text
@@ -40,7 +46,10 @@ def test_scans_read_only_what_is_needed(spark):
 
 def test_native_links_send_no_plain_text_to_python(spark):
     text = plan(QUERIES["internal_links"](spark, SF_DIR))
-    assert "parse_batch(if (isnull(native_hrefs" in text
+    node = text[text.index("ArrowEvalPython") :].splitlines()
+    assert "parse_batch(rest" in node[0]
+    # The projection below hands on no markup of plain pages.
+    assert "if (isnull(native_hrefs" in node[1] and ", html#" not in node[1].split("Project")[1][:60]
 
 
 def test_rounds_read_the_graph_in_place(spark):

@@ -76,9 +76,12 @@ def test_round_trip(spark, tables, tmp_path):
     assert [(s, p, json.loads(j)) for s, p, j in mine] == [(s, p, json.loads(j)) for s, p, j in theirs]
 
 
-def test_pretty(spark, tables):
+def test_pretty(spark, tables, tmp_path):
     text = reports.as_json(report.report_parts(**tables), pretty=True).filter("site = 'small'").head().json
     assert "\n  " in text and list(json.loads(text)) == ["pages", "documents", "hidden_resources", "locales"]
+    (tmp_path / "report.json").write_text(text, encoding="utf-8")
+    again = reports.read_reports(spark, str(tmp_path / "report.json"), pretty=True).head()
+    assert [p.url for p in again.pages] == ["http://small"] and again.documents == []
 
 
 def test_counts(spark, tables):
