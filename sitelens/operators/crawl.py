@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sitelens.functions import robots as rules
 from sitelens.functions import urls
-from sitelens.functions.sql import each, keep, let
+from sitelens.functions.sql import each, keep
 from sitelens.operators.links import crawl_base, internal
 from sitelens.operators.robots import site_rules
 from sitelens.session import materialize, materialize_bucketed

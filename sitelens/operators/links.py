@@ -92,7 +92,8 @@ def internal(hrefs: str, base_url: str) -> str:
 
 def distinct_parsed(hrefs: str, base_url: str) -> str:
     """Parsed-page links: canonical, external ones too, first occurrence kept."""
-    return f"array_distinct({each(resolved_hrefs(hrefs, base_url), lambda l: urls.parsed_form(f'{l}.parts'))})"
+    forms = each(resolved_hrefs(hrefs, base_url), lambda l: urls.parsed_form(f"{l}.parts"))
+    return f"array_distinct({forms})"
 
 
 def crawl_base(pages: DataFrame, *keep_columns: str) -> DataFrame:

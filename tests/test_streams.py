@@ -3,8 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from sitelens.functions import urls
 from sitelens.operators.links import internal_links
 from sitelens.operators.outcomes import fetch_outcomes
