@@ -21,8 +21,12 @@ from sitelens.session import materialize, materialize_bucketed
 
 # A link's place among the admitted ones is the long ``rank * 2**28 + pos``. A page
 # text is at most 2 GB and a link takes at least eight characters, so a position
-# stays below 2**28; ranks may grow to 2**35 pages in one level of one site.
+# stays below 2**28; a level of one site beyond 2**35 pages is an error.
 _POS_BITS = 28
+_PLACE = (
+    f"if(rank < {1 << 63 - _POS_BITS}, shiftleft(rank, {_POS_BITS}) + pos,"
+    " raise_error('too many pages in one level of one site'))"
+)
 # Parents per ranking bucket: 2**10 of them.
 _BUCKET_BITS = _POS_BITS + 10
 
@@ -72,7 +76,7 @@ def _candidates(found: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
         )
         .groupBy("site", "norm")
         .agg(
-            F.min(F.expr(f"shiftleft(rank, {_POS_BITS}) + pos")).alias("place"),
+            F.min(F.expr(_PLACE)).alias("place"),
             F.max("max_depth").alias("max_depth"),
             F.max("max_pages").alias("max_pages"),
             F.max("seen").alias("seen"),
