@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm import lines, mixing, warc
+from sitelens.llm import divergence, lines, mixing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_distribution_divergence": op3_distribution_divergence,
     "op5_source_mix": op5_source_mix,
     "op6_line_dedup": op6_line_dedup,
     "op10_warc_revisits": op10_warc_revisits,
