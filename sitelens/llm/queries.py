@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm import divergence, lines, mixing, warc
+from sitelens.llm.common import labelled
+from sitelens.llm import divergence, entropy, lines, mixing, randomness, templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.secrets(_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +36,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = labelled(_table(spark, sf_dir, "labels"), "quality").filter("y = 1")
+    return entropy.score(_table(spark, sf_dir, "documents"), good)
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
     return warc.deduplicated(pages).select(
@@ -35,8 +49,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_template_decontamination": op2_template_decontamination,
     "op3_distribution_divergence": op3_distribution_divergence,
+    "op4_random_secrets": op4_random_secrets,
     "op5_source_mix": op5_source_mix,
     "op6_line_dedup": op6_line_dedup,
+    "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_warc_revisits": op10_warc_revisits,
 }
