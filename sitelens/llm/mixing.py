@@ -105,7 +105,7 @@ def _streams(sizes: DataFrame, buckets: int) -> DataFrame:
     )
     return (
         placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets, ["sid", "bucket"])
+        .join(offsets.hint("merge"), ["sid", "bucket"])
         .select("row_id", "sid", (F.col("offset") + F.col("inside")).alias("start"), "size")
     )
 
@@ -140,7 +140,8 @@ def slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) ->
     inside = Window.partitionBy("shard", "sid").orderBy("slot")
     numbered = (
         drawn.withColumn("k", F.row_number().over(inside) - 1)
-        .join(first, ["shard", "sid"])
+        # Rows made by explode are estimated far too low; these sides grow with the data.
+        .join(first.hint("merge"), ["shard", "sid"])
         .select("sid", (F.col("first") + F.col("k")).alias("index"))
         .withColumn("blocks", array([p["blocks"] for p in plan])[F.col("sid")])
         .withColumn("turn", F.expr("index div blocks"))
@@ -200,11 +201,11 @@ def mix(
         F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"),
     )
     taken = (
-        parts.join(slots(spark, known, shard_slots, seed), ["sid", "block"])
+        parts.join(slots(spark, known, shard_slots, seed).hint("merge"), ["sid", "block"])
         .withColumn("overlap", F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})"))
         .groupBy("row_id")
         .agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     )
-    return placed.join(taken, "row_id", "left").select(
+    return placed.join(taken.hint("merge"), "row_id", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
