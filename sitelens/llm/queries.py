@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelens.llm.common import labelled
-from sitelens.llm import divergence, entropy, lines, mixing, randomness, templates, warc
+from sitelens.llm import divergence, entropy, gam, lines, mixing, randomness, templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_gam_quality": op1_gam_quality,
     "op2_template_decontamination": op2_template_decontamination,
     "op3_distribution_divergence": op3_distribution_divergence,
     "op4_random_secrets": op4_random_secrets,
