@@ -9,7 +9,7 @@ the ``k``-th similarity found: the neighbours are exact. They vote by squared
 similarity against a prior weight for the share of positive examples that have no
 vocabulary term at all; leave-one-out votes of the examples calibrate the result.
 
-At most ``sample`` labelled rows outside the held-out fold become examples, chosen by
+Near copies under one label count as one example. At most ``sample`` labelled rows outside the held-out fold become examples, chosen by
 hash, and the vocabulary has at most ``max_terms`` terms, so the index is bounded and
 goes to every task. All texts are scored whole.
 
@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sitelens.llm.common import bounded_sample, fold, labelled, prepared
@@ -39,6 +40,7 @@ from sitelens.session import materialize
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
 _BLOCK = 32
+_LIFT = 4
 
 
 def word_terms(word: str) -> list[str]:
@@ -63,15 +65,44 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def chosen_terms(examples: DataFrame, n0: int, n1: int, min_chi: float, max_terms: int) -> list[tuple[str, int]]:
-    """Terms, with their number of examples, that occur unevenly under the two labels."""
+@F.pandas_udf(T.LongType())
+def _sketch(texts: pd.Series) -> pd.Series:
+    """The least hash of a text's three-word windows: near copies mostly share it."""
+
+    def one(text: str | None) -> int:
+        words = (text or "").lower().split()
+        windows = (" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+        return min(map(xxhash.xxh64_intdigest, windows)) - (1 << 63)
+
+    return texts.map(one)
+
+
+def distinct_examples(examples: DataFrame) -> DataFrame:
+    """One of the near copies under a label: a text that was copied a lot proves no more than once."""
+    return (
+        examples.withColumn("sketch", _sketch("text"))
+        .groupBy("y", "sketch")
+        .agg(F.min(F.struct("doc_id", "text")).alias("first"))
+        .select("first.doc_id", "first.text", "y")
+    )
+
+
+def chosen_terms(
+    examples: DataFrame, n0: int, n1: int, min_chi: float, min_share: float, max_terms: int
+) -> list[tuple[str, int]]:
+    """Terms, with their number of examples, that occur unevenly under the two labels.
+
+    A term must occur in three examples and in ``min_share`` of those of one label,
+    and there ``_LIFT`` times as often as under the other.
+    """
     n = float(n0 + n1)
     counted = (
         examples.select("text", "y")
         .mapInArrow(_count_terms, "term string, n0 bigint, n1 bigint")
         .groupBy("term")
         .agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b"))
-        .filter("a + b >= 2")
+        .filter(f"a + b >= 3 AND (a >= {min_share * n0} OR b >= {min_share * n1})")
+        .filter(f"abs(ln((a + 0.5D) / {n0} / ((b + 0.5D) / {n1}))) >= ln({_LIFT}D)")
     )
     chi = f"{n} * pow(b * ({n0} - a) - a * ({n1} - b), 2) / ({n0}D * {n1} * (a + b) * greatest({n} - a - b, 1))"
     top = (
@@ -221,15 +252,19 @@ def _vectorize(vectors: Vectors):
 
 
 def fit(
-    documents: DataFrame, learnt: DataFrame, sample: int = 16_000, max_terms: int = 8192, min_chi: float = 15.0, k: int = 16
-) -> Model | None:
+    documents: DataFrame, learnt: DataFrame, sample: int = 16_000,
+    max_terms: int = 8192, min_chi: float = 15.0,
+    min_share: float = 0.02, k: int = 16,
+) -> Model | None:
     """Model of ``learnt`` (``doc_id, y``) rows whose texts are in ``documents``; None without any."""
     prepared(documents.sparkSession)
     # Bounded by the parameter, so the sample's ids can be broadcast.
     ids = bounded_sample(learnt, "doc_id", sample).select(F.col("doc_id").alias("_id"), "y")
     examples = materialize(
-        documents.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(
-            F.col("_id").cast("bigint").alias("doc_id"), "text", "y"
+        distinct_examples(
+            documents.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(
+                F.col("_id").cast("bigint").alias("doc_id"), "text", "y"
+            )
         ),
         "toxicity-examples",
     )
@@ -237,7 +272,7 @@ def fit(
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 + n1:
         return None
-    terms = chosen_terms(examples, n0, n1, min_chi, max_terms) if n0 and n1 else []
+    terms = chosen_terms(examples, n0, n1, min_chi, min_share, max_terms) if n0 and n1 else []
     idf = np.log((n0 + n1 + 1) / (np.array([n for _, n in terms], np.float64) + 1))
     vectors = Vectors({t: i for i, (t, _) in enumerate(terms)}, idf)
     rows = sorted(
