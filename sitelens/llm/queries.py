@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelens.llm.common import labelled
-from sitelens.llm import divergence, entropy, gam, lines, mixing, neighbours, randomness, templates, warc
+from sitelens.llm import divergence, entropy, gam, jaccard, lines, mixing, neighbours, randomness, templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = labelled(_table(spark, sf_dir, "labels"), "quality").filter("y = 1")
     return entropy.score(_table(spark, sf_dir, "documents"), good)
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_line_dedup": op6_line_dedup,
     "op7_nearest_toxicity": op7_nearest_toxicity,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_warc_revisits": op10_warc_revisits,
 }
