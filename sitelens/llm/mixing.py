@@ -157,7 +157,7 @@ def slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) ->
 
 
 def mix(
-    documents: DataFrame, block: int = 32, shard_slots: int = 1024, seed: int = 7, rows_per_bucket: int = 20_000
+    documents: DataFrame, block: int = 32, shard_slots: int = 1024, seed: int = 7, rows_per_bucket: int = 2_000
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
     spark = documents.sparkSession
