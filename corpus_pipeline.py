@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sitelens.llm.common import words
 from sitelens.llm import jaccard, lines, mixing, neighbours, templates
 from sitelens.session import materialize
 
@@ -24,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group that shares four fifths of its five-word shingles.
 
     The smallest id of a group stays. Documents without words or without id are no
-    copies of each other and stay; rows repeated under one id count as one document,
-    of which the row with the smallest text hash stays.
+    copies of each other and stay. Of different texts under one id, that with the
+    smallest hash stays.
     """
     found = jaccard.linked(docs, n=5, percent=80)
     kept = (
@@ -34,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         .agg(F.min("text_id").alias("_text"))
         .withColumnRenamed("doc_id", "_doc")
     )
-    alone = (F.col("doc_id").isNull()) | (F.coalesce(F.trim("text"), F.lit("")) == "")
+    alone = F.col("doc_id").isNull() | (F.size(words("text")) == 0)
     marked = docs.withColumn("_alone", alone).join(
         kept, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_text")), "left"
     )
