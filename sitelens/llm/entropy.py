@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitelens.llm.common import prepared
 
 _COUNTED = "slot int, background bigint, target bigint"
-_SCORED = "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double"
+_SCORED = "doc_id bigint, n_tokens bigint, loss_background double, loss_target double, loss_without double"
 _START = 1
 
 
@@ -120,14 +120,19 @@ def _scorer(hashing: tuple[int, int], model, mass: float):
         scales = (totals[1] / max(1, totals[0]), 1.0)
         for batch in batches:
             rows = []
-            for doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = slots(text)
                 n = len(tokens[0])
-                b, t = (
-                    mean_loss(tokens, counts, slots.words, counted, mass, total, scale) if n else 0.0
-                    for counts, total, counted, scale in zip((background, target), totals, (True, own), scales)
+                # Whether the target model counts the text is joined on later, to a slim row.
+                found = (
+                    mean_loss(tokens, counts, slots.words, own, mass, total, scale) if n else 0.0
+                    for counts, total, scale, own in (
+                        (background, totals[0], scales[0], True),
+                        (target, totals[1], scales[1], False),
+                        (target, totals[1], scales[1], True),
+                    )
                 )
-                rows.append((doc_id, n, t, b, b - t))
+                rows.append((doc_id, n, *found))
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -146,12 +151,13 @@ def score(
     """
     spark = prepared(documents.sparkSession)
     ids = target_ids.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
-    marked = documents.join(ids, F.col("doc_id") == F.col("_id"), "left").select(
-        F.col("doc_id").cast("bigint"), "text", F.col("_id").isNotNull().alias("own")
-    )
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    mine = F.col("doc_id") == F.col("_id")
     hashing = (word_bits, pair_bits)
     counted = (
-        marked.select("text", "own")
+        # The ids grow with the labels: the same join at every size.
+        texts.join(ids.hint("merge"), mine, "left")
+        .select("text", F.col("_id").isNotNull().alias("own"))
         .mapInArrow(_counter(hashing), _COUNTED)
         .groupBy("slot")
         .agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
@@ -162,7 +168,16 @@ def score(
     at = counted.column("slot").to_numpy()
     model[0, at] = counted.column("background").to_numpy()
     model[1, at] = counted.column("target").to_numpy()
-    if not model[1].any():
+    alone = not model[1].any()
+    if alone:
         model[1] = model[0]
-        marked = marked.withColumn("own", F.lit(True))
-    return marked.mapInArrow(_scorer(hashing, spark.sparkContext.broadcast(model), mass), _SCORED)
+    losses = texts.mapInArrow(_scorer(hashing, spark.sparkContext.broadcast(model), mass), _SCORED)
+    counted_in = F.lit(True) if alone else F.col("_id").isNotNull()
+    loss_target = F.when(counted_in, F.col("loss_without")).otherwise(F.col("loss_target"))
+    return losses.join(ids, mine, "left").select(
+        "doc_id",
+        "n_tokens",
+        loss_target.alias("loss_target"),
+        "loss_background",
+        (F.col("loss_background") - loss_target).alias("score"),
+    )
