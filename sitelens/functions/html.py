@@ -36,12 +36,13 @@ _TYPES = {
 FIELDS = tuple(_TYPES)
 _TEXT_FIELDS = {"title", "text", "headings"}
 
-# HTML void elements, subtrees that are not visible text, headings.
+# HTML void elements, subtrees that are not visible text (scripts and the
+# readings beside ruby text), headings.
 _VOID = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
-_HIDDEN = frozenset(("script", "style", "noscript", "template"))
+_HIDDEN = frozenset(("script", "style", "noscript", "template", "rt", "rp"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -105,11 +106,11 @@ class _Page(_Attributes):
         self.node.clear()
         if not piece:
             return
+        if self.title_depth >= 0:  # a title counts wherever it stands
+            self.title.append(piece)
         if any(self.count.get(name) for name in _HIDDEN):
             return
         self.words.append(piece)
-        if self.title_depth >= 0:
-            self.title.append(piece)
         if self.heading is not None:
             self.heading.append(piece)
 

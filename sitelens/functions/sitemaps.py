@@ -47,8 +47,7 @@ def decode_entities(value: str) -> str:
 
 
 def locations(xml: str) -> str:
-    """All locations in order, stripped, empty ones dropped, duplicates kept."""
+    """All locations in order, stripped, duplicates kept; those without any text dropped."""
     found = f"regexp_extract_all({xml}, {raw(_LOCATION)}, 1)"
     unwrapped = each(found, lambda l: f"regexp_replace({l}, {raw(_CDATA)}, '$1')")
-    clean = each(unwrapped, lambda l: strip(decode_entities(l)))
-    return keep(clean, lambda l: f"{l} <> ''")
+    return each(keep(unwrapped, lambda l: f"{l} <> ''"), lambda l: strip(decode_entities(l)))

@@ -124,7 +124,25 @@ def crawl(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFr
 
 
 def crawl_pages(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFrame:
-    """Reachable pages as ``site, depth, rank, url, page_id``.
+    """Reachable pages as ``site, depth, rank, url, page_id``; see :func:`_levels`."""
+    queued, stored = _levels(requests, snapshot, robots)
+    return queued.join(stored, ["site", "norm"]).selectExpr(
+        "site", "depth", "rank", "norm AS url", "page_id"
+    )
+
+
+def crawl_misses(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFrame:
+    """URLs that the crawl asks for and that have no stored page: ``site, depth, url``."""
+    queued, stored = _levels(requests, snapshot, robots)
+    return queued.join(stored, ["site", "norm"], "left_anti").selectExpr(
+        "site", "depth", "norm AS url"
+    )
+
+
+def _levels(
+    requests: DataFrame, snapshot: DataFrame, robots: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Visited URLs as ``site, depth, rank, norm``, and stored ones as ``site, norm, page_id``.
 
     ``rank`` orders the pages of one level as a breadth-first walk meets them.
 
@@ -141,15 +159,9 @@ def crawl_pages(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) ->
     for depth in range(deepest or 0):
         visited = reduce(DataFrame.unionByName, queued).select("site", "norm")
         found = frontier.join(graph, ["site", "norm"])
-        candidates = _candidates(found, visited, depth).persist()
+        candidates = materialize(_candidates(found, visited, depth), "candidates")
         frontier = materialize(_admit(candidates), "frontier")
-        candidates.unpersist()
         if frontier.isEmpty():
             break
         queued.append(frontier.selectExpr("site", f"{depth + 1} AS depth", "rank", "norm"))
-    stored = graph.select("site", "norm", "page_id")
-    return (
-        reduce(DataFrame.unionByName, queued)
-        .join(stored, ["site", "norm"])
-        .selectExpr("site", "depth", "rank", "norm AS url", "page_id")
-    )
+    return reduce(DataFrame.unionByName, queued), graph.select("site", "norm", "page_id")

@@ -34,8 +34,14 @@ def hidden_resources(bases: DataFrame, words: DataFrame, responses: DataFrame) -
         .groupBy("tail")
         .agg(F.sum("n").alias("n"))
     )
-    answered = responses.filter(urls.is_success("status")).withColumn(
-        "url", F.expr(urls.directory_form_of("url"))
+    # A probe has one answer: of several stored ones, that with the lowest status.
+    rest = [c for c in responses.columns if c not in ("url", "status")]
+    answered = (
+        responses.filter(urls.is_success("status"))
+        .groupBy(F.expr(urls.directory_form_of("url")).alias("url"))
+        .agg(F.min(F.struct("status", *rest)).alias("answer"))
+        .select("url", "answer.*")
+        .select(*responses.columns)
     )
     cuts = answered.selectExpr(
         "*",

@@ -27,7 +27,8 @@ def _backoff(retries: str) -> str:
 def fetch_outcomes(attempts: DataFrame, retry_times: int = 3) -> DataFrame:
     """One outcome per URL: page, not_found, timeout, exhausted or pending.
 
-    The first attempt that is not retried decides; NULL status is a timeout.
+    The first attempt that is not retried decides; NULL status is a timeout. A row
+    that was logged twice counts once.
     Attempts beyond ``retry_times + 1`` are never made.
     """
     tries = retry_times + 1
@@ -37,7 +38,7 @@ def fetch_outcomes(attempts: DataFrame, retry_times: int = 3) -> DataFrame:
         .agg(
             F.expr(f"min(attempt) FILTER (WHERE {_FINAL})").alias("decided"),
             F.expr(f"min_by(coalesce(status, -1), attempt) FILTER (WHERE {_FINAL})").alias("code"),
-            F.expr("cast(count(*) AS int)").alias("made"),
+            F.expr("cast(max(attempt) AS int)").alias("made"),
         )
     )
     retries = f"(coalesce(decided - 1, least(made, {retry_times})))"

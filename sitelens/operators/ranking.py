@@ -47,8 +47,10 @@ def number_by_order(df: DataFrame, group: list[str], order: list[str], out: str)
 
     Rows are range-partitioned by group and order, so a hot group spans many
     partitions, then written once with their running number: the range cut must
-    not change between the two readings below.
+    not change between the two readings below. Choosing the cut reads the rows too,
+    so they are written before it instead of worked out twice.
     """
+    df = materialize(df, "unranked")
     numbered = materialize(
         df.repartitionByRange(*group, *order)
         .sortWithinPartitions(*group, *order)

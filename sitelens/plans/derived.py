@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelens.operators.ranking import number_by_key, number_by_order
-from sitelens.sources.snapshots import spread
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _BARE = "split_part(split_part(url, '#', 1), '?', 1)"
@@ -22,7 +21,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose markup is going to be parsed."""
-    return spread(pages(spark, sf_dir), "page_id")
+    return pages(spark, sf_dir)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +104,13 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sitemap per page, with one filled and one empty location."""
+    """One sitemap per page: one location filled, one empty, one blank."""
     return hosted(spark, sf_dir).selectExpr(
         "host",
         "page_id",
         """concat('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
             '<url><loc> ', replace(url, '&', '&amp;'), ' </loc></url>',
-            '<url><loc></loc></url></urlset>') AS xml""",
+            '<url><loc></loc></url><url><loc> </loc></url></urlset>') AS xml""",
     )
 
 
@@ -123,7 +122,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["ts", "event_id"],
         "rn",
     )
-    return ordered.selectExpr(
+    # A log may hold a row twice.
+    logged = ordered.withColumn("copy", F.expr("explode(if(rn % 7 = 3, array(1, 2), array(1)))"))
+    return logged.selectExpr(
         "concat('http://site.example/u', user_id, '/', (rn - 1) div 5) AS url",
         "cast((rn - 1) % 5 + 1 AS int) AS attempt",
         "ts",
@@ -150,7 +151,6 @@ def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw wordlist lines: padded paths, blanks and repeats."""
     paths = (
         hosted(spark, sf_dir)
-        .filter("page_id % 5 = 0")
         .selectExpr("concat(' ', regexp_replace(bare, '^[a-z]+://[^/]*/', ''), ' ') AS line")
     )
     per_host = host_summary(spark, sf_dir).selectExpr(
@@ -161,13 +161,21 @@ def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored answers for hidden-resource discovery."""
-    return hosted(spark, sf_dir, "length(html) AS size").selectExpr(
-        "bare AS url",
+    answers = hosted(spark, sf_dir, "length(html) AS size").selectExpr(
+        # Some are stored twice, as a file and as a folder.
+        "explode(if(page_id % 6 = 1, array(bare, bare || '/'), array(bare))) AS url",
         """CASE WHEN page_id % 10 = 5 THEN 403 WHEN page_id % 15 = 0 THEN 204
                 ELSE 200 END AS status""",
         "'text/html' AS content_type",
         "cast(size AS bigint) AS size",
     )
+    files = host_summary(spark, sf_dir).selectExpr(
+        "regexp_extract(bare, '^[a-z]+://[^/]*', 0) || '/files/report-1.PDF' AS url",
+        "200 AS status",
+        "'application/pdf' AS content_type",
+        "1000 + page_id % 7 AS size",
+    )
+    return answers.unionByName(files)
 
 
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,23 +183,26 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosted(spark, sf_dir).selectExpr(
         "page_id",
         "host AS site",
-        """concat('{',
+        """CASE page_id % 17 WHEN 3 THEN '{"base_url":' WHEN 5 THEN '[1]' WHEN 7 THEN 'null' ELSE concat('{',
             concat_ws(',',
                 CASE WHEN page_id % 11 = 0 THEN NULL
                      WHEN page_id % 11 = 1 THEN '"base_url":"ftp://x"'
                      ELSE concat('"base_url":"', bare, '"') END,
-                CASE page_id % 7 WHEN 0 THEN '"max_depth":-1' WHEN 1 THEN '"max_depth":2' END,
+                CASE page_id % 7 WHEN 0 THEN '"max_depth":-1' WHEN 1 THEN '"max_depth":2.0' END,
                 CASE page_id % 6 WHEN 0 THEN '"max_pages":0' WHEN 1 THEN '"max_pages":50' END,
-                CASE page_id % 9 WHEN 0 THEN '"timeout":0.0' WHEN 1 THEN '"timeout":2.5' END,
+                CASE WHEN page_id % 23 = 2 THEN '"timeout":null' WHEN page_id % 9 = 0 THEN '"timeout":0.0' WHEN page_id % 9 = 1 THEN '"timeout":2.5' END,
                 CASE page_id % 13 WHEN 0 THEN '"user_agent":""' END,
                 CASE page_id % 8 WHEN 0 THEN '"rate_limit":-2' WHEN 1 THEN '"rate_limit":2.0' END,
                 CASE page_id % 10 WHEN 0 THEN '"retry_times":-1' WHEN 1 THEN '"retry_times":1' END,
                 CASE WHEN page_id % 12 = 0 THEN '"colour":"red"' END,
-                CASE page_id % 4 WHEN 0 THEN NULL
-                     WHEN 1 THEN '"wordlists":{}'
-                     WHEN 2 THEN concat('"wordlists":{"paths":"lists/', host, '.txt"}')
+                CASE page_id % 29 WHEN 1 THEN '"localization":{"fr":{"subdomain":"fr."}}' WHEN 3 THEN '"localization":5'
+                     WHEN 2 THEN '"localization":{"fr":{"subdomain":"fr.","path_prefix":"/fr","hreflangs":["fr"]}}' END,
+                CASE WHEN page_id % 19 = 4 THEN '"wordlists":["a"]'
+                     WHEN page_id % 4 = 0 THEN NULL
+                     WHEN page_id % 4 = 1 THEN '"wordlists":{}'
+                     WHEN page_id % 4 = 2 THEN concat('"wordlists":{"paths":"lists/', host, '.txt"}')
                      ELSE '"wordlists":{"paths":"lists/missing.txt"}' END),
-            '}') AS request""",
+            '}') END AS request""",
     )
 
 

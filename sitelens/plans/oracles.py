@@ -150,14 +150,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 
 _CTE["wordlist"] = """
 SELECT concat(' ', regexp_replace(bare, '^[a-z]+://[^/]*/', ''), ' ') AS line
-FROM hosted_pages WHERE page_id % 5 = 0
+FROM hosted_pages
 UNION ALL SELECT '' AS line FROM hosted_pages WHERE k = 1
 UNION ALL SELECT 'admin?x=1' AS line FROM hosted_pages WHERE k = 2"""
 
 _CTE["words"] = "SELECT trim(line) AS word FROM wordlist WHERE trim(line) <> ''"
 
 _CTE["responses"] = """
-SELECT bare AS url, CASE WHEN page_id % 10 = 5 THEN 403 WHEN page_id % 15 = 0 THEN 204
+SELECT regexp_extract(bare, '^[a-z]+://[^/]*') || '/files/report-1.PDF' AS url, 200 AS status,
+       'application/pdf' AS content_type, 1000 + page_id % 7 AS size
+FROM hosted_pages WHERE k = 1
+UNION ALL
+SELECT unnest(CASE WHEN page_id % 6 = 1 THEN [bare, bare || '/'] ELSE [bare] END) AS url, CASE WHEN page_id % 10 = 5 THEN 403 WHEN page_id % 15 = 0 THEN 204
        ELSE 200 END AS status, 'text/html' AS content_type, CAST(length(html) AS BIGINT) AS size
 FROM hosted_pages"""
 
@@ -166,8 +170,9 @@ _CTE["bases"] = "SELECT DISTINCT regexp_extract(bare, '^[a-z]+://[^/]*') AS base
 _CTE["hidden"] = f"""
 SELECT c.base, c.target AS url, r.status, r.content_type, r.size
 FROM (SELECT base, {_dir_form("(base || '/' || word)")} AS target FROM bases CROSS JOIN words) c
-JOIN (SELECT *, {_dir_form('url')} AS target FROM responses) r ON r.target = c.target
-WHERE r.status BETWEEN 200 AND 299"""
+JOIN (SELECT *, {_dir_form('url')} AS target FROM responses WHERE status BETWEEN 200 AND 299
+      QUALIFY row_number() OVER (PARTITION BY {_dir_form('url')} ORDER BY status, content_type, size) = 1) r
+  ON r.target = c.target"""
 
 _CTE["locale_rules"] = """
 SELECT * FROM (VALUES ('jp', ['ja', 'ja-JP']), ('kr', ['ko', 'ko-KR']), ('cn', ['zh', 'zh-CN']),
@@ -189,19 +194,19 @@ _VERDICTS = _LINKS + ("robots", "robots_lines", "directives", "agent_rules", "ve
 _DOCUMENT = "regexp_matches(lower(link), '\\.(pdf|docx?|xlsx?|pptx?)$')"
 
 _OUTCOMES = """
-, decided AS (
-  SELECT url, min(attempt) FILTER (WHERE final) AS tried,
-         arg_min(coalesce(status, -1), attempt) FILTER (WHERE final) AS code, count(*) AS made
-  FROM (SELECT *, status IS NULL OR NOT (status = 429 OR status = 0 OR status BETWEEN 500 AND 599)
-               AS final FROM attempts WHERE attempt <= 4) a GROUP BY url),
-retried AS (SELECT *, CAST(coalesce(tried - 1, least(made, 3)) AS INT) AS n FROM decided)
-SELECT url, CASE WHEN tried IS NULL AND made >= 4 THEN 'exhausted' WHEN tried IS NULL THEN 'pending'
-                 WHEN code = -1 THEN 'timeout' WHEN code = 404 THEN 'not_found' ELSE 'page' END
-            AS outcome,
-       CAST(coalesce(tried, made) AS INT) AS attempts, CAST(nullif(code, -1) AS INT) AS status,
-       CAST(coalesce(list_sum(list_transform(range(1, n + 1), lambda i: least(pow(2, i), 60))), 0)
-            AS INT) AS backoff_s
-FROM retried"""
+, tried AS (
+  SELECT url, attempt, status, status IS NULL OR NOT (status IN (0, 429) OR status BETWEEN 500 AND 599) AS final
+  FROM attempts WHERE attempt <= 4),
+-- The row that decides: the first final one, else the last one that was made.
+deciding AS (
+  SELECT * FROM tried
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY final DESC, CASE WHEN final THEN attempt ELSE -attempt END) = 1)
+SELECT url,
+       CASE WHEN NOT final THEN CASE attempt WHEN 4 THEN 'exhausted' ELSE 'pending' END
+            WHEN status IS NULL THEN 'timeout' WHEN status = 404 THEN 'not_found' ELSE 'page' END AS outcome,
+       attempt AS attempts, CASE WHEN final THEN status END AS status,
+       CAST(CASE WHEN final THEN [0, 2, 6, 14] ELSE [2, 6, 14, 14] END[attempt] AS INT) AS backoff_s
+FROM deciding"""
 
 ORACLES["page_scan"] = """
 SELECT page_id, url, page_id % 5 <> 0 AS is_text,
@@ -233,22 +238,24 @@ WHERE (a.value = '*' OR contains('testagent/1.0', lower(a.value)))
 ORACLES["sitemap_urls"] = _with(
     "hosted_pages",
     select="""
-SELECT host, page_id, CAST(0 AS INTEGER) AS pos, trim(url) AS url FROM hosted_pages""",
+SELECT host, page_id, CAST(0 AS INTEGER) AS pos, trim(url) AS url FROM hosted_pages
+UNION ALL SELECT host, page_id, CAST(1 AS INTEGER), '' FROM hosted_pages""",
 )
 ORACLES["request_violations"] = _with(
     "hosted_pages",
     select="""
-SELECT host, page_id, unnest(list_filter([
+SELECT host, page_id, unnest(CASE WHEN page_id % 17 IN (3, 5, 7) THEN ['not a JSON object'] ELSE list_filter([
     CASE WHEN page_id % 11 = 0 THEN 'base_url missing' WHEN page_id % 11 = 1 THEN 'base_url not http' END,
     CASE WHEN page_id % 7 = 0 THEN 'max_depth' END,
     CASE WHEN page_id % 6 = 0 THEN 'max_pages' END,
-    CASE WHEN page_id % 9 = 0 THEN 'timeout' END,
+    CASE WHEN page_id % 23 = 2 OR page_id % 9 = 0 THEN 'timeout' END,
+    CASE WHEN page_id % 29 IN (1, 3) THEN 'localization' END,
     CASE WHEN page_id % 13 = 0 THEN 'user_agent' END,
     CASE WHEN page_id % 8 = 0 THEN 'rate_limit' END,
     CASE WHEN page_id % 10 = 0 THEN 'retry_times' END,
     CASE WHEN page_id % 12 = 0 THEN 'unknown field colour' END,
-    CASE WHEN page_id % 4 = 0 THEN 'wordlists missing' WHEN page_id % 4 = 3 THEN 'wordlist not found' END
-    ], lambda r: r IS NOT NULL)) AS rule
+    CASE WHEN page_id % 19 = 4 THEN 'wordlists' WHEN page_id % 4 = 0 THEN 'wordlists missing' WHEN page_id % 4 = 3 THEN 'wordlist not found' END
+    ], lambda r: r IS NOT NULL) END) AS rule
 FROM hosted_pages""",
 )
 ORACLES["url_canonical"] = f"""
@@ -343,28 +350,57 @@ ORACLES["crawl_reachable"] = _with(
 SELECT host, CAST(min(depth) AS INTEGER) AS depth, url
 FROM reached WHERE url IN (SELECT norm FROM snapshot) GROUP BY host, url""",
 )
-_REACHED = f""", reached(host, depth, url, max_depth) AS (
+_WALK = f""", reached(host, depth, url, max_depth) AS (
   SELECT host, 0, {_crawl_form('base_url')}, max_depth FROM sites
   UNION
   SELECT r.host, r.depth + 1, e.dst, r.max_depth
-  FROM reached r JOIN edges e ON e.host = r.host AND e.src = r.url WHERE r.depth < r.max_depth),
+  FROM reached r JOIN edges e ON e.host = r.host AND e.src = r.url WHERE r.depth < r.max_depth)
+"""
+_REACHED = _WALK.rstrip() + """,
 scanned AS (SELECT DISTINCT r.host, s.page_id FROM reached r JOIN snapshot s ON s.norm = r.url)
 """
+ORACLES["crawl_misses"] = _with(
+    *_VERDICTS,
+    "sites",
+    "snapshot",
+    "edges",
+    recursive=True,
+    select=_WALK
+    + """SELECT host, CAST(min(depth) AS INTEGER) AS depth, url
+FROM reached WHERE url NOT IN (SELECT norm FROM snapshot) GROUP BY host, url""",
+)
+
+
+def _budget_level(depth: int) -> str:
+    """One level of a budgeted crawl: new targets in order, and those that there is room for."""
+    before = " UNION ALL ".join(f"SELECT host, norm FROM level{d}" for d in range(depth))
+    return f""",
+next{depth} AS (
+  SELECT f.host, e.dst AS norm, min([f.rank, e.pos]) AS place, f.max_pages, f.seen
+  FROM level{depth - 1} f JOIN edges e ON e.host = f.host AND e.src = f.norm
+  WHERE (f.host, e.dst) NOT IN ({before}) GROUP BY f.host, e.dst, f.max_pages, f.seen),
+level{depth} AS (
+  SELECT host, norm, row_number() OVER (PARTITION BY host ORDER BY place) AS rank, max_pages,
+         seen + least(count(*) OVER (PARTITION BY host), ceil((max_pages - seen) / 2)) AS seen
+  FROM next{depth}
+  QUALIFY row_number() OVER (PARTITION BY host ORDER BY place) <= ceil((max_pages - seen) / 2))"""
+
+
 ORACLES["crawl_budget"] = _with(
     *_VERDICTS,
     "snapshot",
     "edges",
-    select=f""", seeds AS (
-  SELECT host, {_crawl_form('bare')} AS norm, 2 + page_id % 8 AS max_pages
-  FROM hosted_pages WHERE k = 1),
-queued AS (
-  SELECT s.host, e.dst, s.max_pages, row_number() OVER (PARTITION BY s.host ORDER BY e.pos) AS rn
-  FROM seeds s JOIN edges e ON e.host = s.host AND e.src = s.norm WHERE e.dst <> s.norm)
-SELECT host, CAST(0 AS INTEGER) AS depth, norm AS url FROM seeds
-WHERE norm IN (SELECT norm FROM snapshot)
-UNION ALL
-SELECT host, CAST(1 AS INTEGER), dst FROM queued
-WHERE rn <= ceil((max_pages - 1) / 2) AND dst IN (SELECT norm FROM snapshot)""",
+    select=f""", level0 AS (
+  SELECT host, {_crawl_form('bare')} AS norm, CAST(1 AS BIGINT) AS rank, 8 + 16 * (page_id % 5) AS max_pages,
+         CAST(1 AS DOUBLE) AS seen
+  FROM hosted_pages WHERE k = 1)"""
+    + "".join(map(_budget_level, (1, 2, 3)))
+    + "\n"
+    + " UNION ALL ".join(
+        f"SELECT host, CAST({d} AS INTEGER) AS depth, norm AS url FROM level{d}"
+        " WHERE norm IN (SELECT norm FROM snapshot)"
+        for d in range(4)
+    ),
 )
 ORACLES["localized_urls"] = _with(
     "hosted_pages",
@@ -445,13 +481,51 @@ ORACLES["scan_report"] = _with(
         WHERE p.host = s.host) AS n_locale_urls
 FROM sites s""",
 )
+_CTE["report_rows"] = f"""
+SELECT host, 'site' AS section, 0 AS seq, NULL AS url, NULL AS n_links, NULL AS size, NULL AS kind, NULL AS status
+FROM sites
+UNION ALL SELECT host, 'pages', k, url, n_links, NULL, NULL, NULL FROM report_entries
+UNION ALL
+SELECT l.host, 'documents', row_number() OVER (PARTITION BY l.host ORDER BY h.k, l.pos), l.link, NULL,
+       coalesce(r.size, 0), 'application/pdf', NULL
+FROM parsed_ranked l JOIN hosted_pages h ON h.page_id = l.page_id
+LEFT JOIN (SELECT url, max(size) AS size FROM responses GROUP BY url) r ON r.url = l.link
+WHERE {_DOCUMENT}
+UNION ALL
+SELECT {_authority('base')}, 'hidden_resources',
+       row_number() OVER (PARTITION BY {_authority('base')} ORDER BY url, status), url, NULL, size, content_type, status
+FROM hidden
+UNION ALL
+SELECT host, 'locales', row_number() OVER (PARTITION BY host, lang ORDER BY url), url, NULL, NULL, lang, NULL
+FROM located"""
+ORACLES["site_report_json"] = _with(
+    *_ALL,
+    "report_rows",
+    select="""
+SELECT host, section, CAST(seq AS BIGINT) AS seq, url, CAST(n_links AS INTEGER) AS n_links,
+       CAST(size AS BIGINT) AS size, kind, CAST(status AS INTEGER) AS status
+FROM report_rows""",
+)
+_SECTION_COUNTS = ", ".join(
+    f"count(*) FILTER (WHERE section = '{x}') AS n_{x}" for x in ("pages", "documents", "hidden_resources", "locales")
+)
 ORACLES["report_roundtrip"] = _with(
     *_ALL,
+    "report_rows",
+    select=f"""
+SELECT host, {_SECTION_COUNTS}, CAST(coalesce(sum(n_links), 0) AS BIGINT) AS n_links,
+       CAST(coalesce(sum(size) FILTER (WHERE section = 'documents'), 0) AS BIGINT) AS document_bytes,
+       CAST(coalesce(sum(size) FILTER (WHERE section = 'hidden_resources'), 0) AS BIGINT) AS hidden_bytes,
+       max(url) FILTER (WHERE section = 'locales') AS last_locale_url
+FROM report_rows GROUP BY host""",
+)
+ORACLES["last_entry_locales"] = _with(
+    "hosted_pages",
+    "locale_rules",
+    "located",
     select="""
-SELECT s.host,
-       (SELECT count(*) FROM report_entries e WHERE e.host = s.host) AS n_pages,
-       (SELECT count(*) FROM report_docs d WHERE d.host = s.host) AS n_documents
-FROM sites s""",
+SELECT host, lang, url AS urls FROM located
+WHERE page_id IN (SELECT max(page_id) FROM hosted_pages GROUP BY host)""",
 )
 ORACLES["rate_audit"] = """
 SELECT user_id AS site, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n

@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 _AGENT = "'TestAgent/1.0'"
+# Files of a stored table that is streamed, half of them in a batch.
+_STREAM_FILES = 8
 _RATE_LIMIT, _RATE_WINDOW, _RATE_DELAY = 3, "1 day", "1 hour"
 
 
@@ -240,11 +242,22 @@ def crawl_reachable(spark, sf_dir):
     )
 
 
+@query
+def crawl_misses(spark, sf_dir):
+    return _as_host(
+        crawl.crawl_misses(
+            derived.sites(spark, sf_dir),
+            derived.linked_pages(spark, sf_dir),
+            derived.robots(spark, sf_dir),
+        )
+    )
+
+
 @query
 def crawl_budget(spark, sf_dir):
-    """Depth 1 under budgets of 2 to 9 pages, most of which bind."""
-    requested = derived.sites(spark, sf_dir, max_pages="2 + page_id % 8").withColumn(
-        "max_depth", F.lit(1)
+    """Three levels under budgets of which some bind early, some late."""
+    requested = derived.sites(spark, sf_dir, max_pages="8 + 16 * (page_id % 5)").withColumn(
+        "max_depth", F.lit(3)
     )
     return _as_host(
         crawl.crawl(
@@ -286,7 +299,7 @@ def report_pages(spark, sf_dir):
 
 @query
 def report_documents(spark, sf_dir):
-    entries = report.parsed_entries(_site_pages(spark, sf_dir))
+    entries = report.parsed_entries(_site_pages(spark, sf_dir), ("hrefs",))
     table = report.documents_table(entries, derived.responses(spark, sf_dir))
     return _as_host(table).select("host", "name", "url", "size", "mime")
 
@@ -306,6 +319,25 @@ def report_locales(spark, sf_dir):
     return _as_host(report.locales_table(entries, derived.locale_rules()))
 
 
+@query
+def last_entry_locales(spark, sf_dir):
+    """Locale lists of each site's last page."""
+    located = derived.hosted(spark, sf_dir, "html").withColumnRenamed("host", "site")
+    named = locales.page_locales(located, derived.locale_rules(), "site")
+    entries = (
+        named.groupBy("site", "page_id")
+        .agg(F.collect_list(F.struct("lang", F.array("url"))).alias("found"))
+        .selectExpr("site", "page_id AS seq", "map_from_entries(found) AS locales")
+    )
+    last = located.groupBy("site").agg(F.max("page_id").alias("seq"))
+    whole = last.join(entries, ["site", "seq"], "left").selectExpr(
+        "site", "seq", "coalesce(locales, cast(map() AS map<string,array<string>>)) AS locales"
+    )
+    return _as_host(report.last_entry_locales(whole)).selectExpr(
+        "host", "lang", "array_join(urls, ' ') AS urls"
+    )
+
+
 def _report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four flat tables; pages are parsed once and read back slim."""
     entries = materialize(report.parsed_entries(_site_pages(spark, sf_dir)), "entries")
@@ -351,22 +383,42 @@ def scan_report(spark, sf_dir):
     return _as_host(report.counts(sites, **tables))
 
 
+def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_rows(derived.sites(spark, sf_dir), **_report_tables(spark, sf_dir))
+
+
+def _field(name: str) -> str:
+    return f"get_json_object(json, '$.{name}')"
+
+
 @query
 def site_report_json(spark, sf_dir):
-    parts = report.report_parts(**_report_tables(spark, sf_dir))
-    return _as_host(reports.as_json(parts))
+    """Values read back from the JSON text of each entry."""
+    rows = reports.as_json(_report_rows(spark, sf_dir))
+    return _as_host(rows).selectExpr(
+        "host",
+        "section",
+        "seq",
+        f"{_field('url')} AS url",
+        f"cast(json_array_length({_field('links')}) AS int) AS n_links",
+        f"cast({_field('size')} AS bigint) AS size",
+        f"coalesce({_field('mime')}, {_field('type')}, {_field('lang')}) AS kind",
+        f"cast({_field('status')} AS int) AS status",
+    )
 
 
 @query
 def report_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "reports")
-    reports.write_reports(report.report_parts(**_report_tables(spark, sf_dir)), path)
+    reports.write_reports(_report_rows(spark, sf_dir), path)
+    read = reports.read_reports(spark, path)
     return _as_host(
-        reports.read_reports(spark, path)
-        .groupBy("site")
-        .agg(
-            F.expr("cast(sum(size(pages)) AS bigint)").alias("n_pages"),
-            F.expr("cast(sum(size(documents)) AS bigint)").alias("n_documents"),
+        read.groupBy("site").agg(
+            *(F.expr(f"count_if(section = '{s}')").alias(f"n_{s}") for s in report.SECTIONS),
+            F.expr("cast(coalesce(sum(size(page.links)), 0) AS bigint)").alias("n_links"),
+            F.expr("cast(coalesce(sum(document.size), 0) AS bigint)").alias("document_bytes"),
+            F.expr("cast(coalesce(sum(hidden.size), 0) AS bigint)").alias("hidden_bytes"),
+            F.expr("max(locale.url)").alias("last_locale_url"),
         )
     )
 
@@ -377,14 +429,15 @@ def report_roundtrip(spark, sf_dir):
 @query
 def stream_new_links(spark, sf_dir):
     pages = _site_pages(spark, sf_dir)
-    stream = jobs.stream_of(pages, write_table(pages, "pages"))
+    stream = jobs.stream_of(pages, write_table(pages.repartition(_STREAM_FILES), "pages"), _STREAM_FILES // 2)
     return _as_host(jobs.run_new_links(stream))
 
 
 @query
 def stream_fetch_outcomes(spark, sf_dir):
     attempts = derived.attempts(spark, sf_dir)
-    return jobs.run_fetch_outcomes(jobs.stream_of(attempts, write_table(attempts, "attempts")))
+    folder = write_table(attempts.repartition(_STREAM_FILES), "attempts")
+    return jobs.run_fetch_outcomes(jobs.stream_of(attempts, folder, _STREAM_FILES // 2))
 
 
 @query
@@ -392,8 +445,8 @@ def rate_audit(spark, sf_dir):
     events = derived.events(spark, sf_dir)
     stream = (
         spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+        # A pattern: the table may be one file or a folder of part files.
+        .parquet(f"{sf_dir}/events.parque[t]")
         .selectExpr("user_id AS site", "cast(ts AS timestamp) AS ts")
     )
     return jobs.run_rate_audit(stream, _RATE_LIMIT, _RATE_WINDOW, _RATE_DELAY)

@@ -1,9 +1,8 @@
-"""Report tables per site, their counts, and the nested report.
+"""Report tables per site, their counts, and the report as rows.
 
-The flat tables are the result at scale. The nested form is cut into parts of
-bounded length along the order of its entries, so a hot site becomes many parts
-and no row or task holds a whole site; small sites have exactly one part, which
-is their whole report.
+The flat tables are the result at scale. As one report, every entry is a row with
+its site, section and number in the section; a hot site is many rows, and no row or
+task holds a whole site. A site whose scan found nothing has its own row too.
 """
 
 from __future__ import annotations
@@ -13,12 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from sitelens.functions import urls
-from sitelens.functions.sql import each_indexed, keep, let, struct, text
+from sitelens.functions.sql import each_indexed, keep, struct, text
 from sitelens.operators.discovery import hidden_resources
 from sitelens.operators.links import parsed_pages
 from sitelens.operators.locales import LANGUAGE_FIELDS, classify
 from sitelens.operators.ranking import number_by_order
-from sitelens.schemas import DOCUMENT_INFO, HIDDEN_INFO, PAGE_INFO
+from sitelens.schemas import DOCUMENT_INFO, HIDDEN_INFO, LOCALE_INFO, PAGE_INFO
 
 # Media types by document extension.
 MIME_TYPES = {
@@ -31,7 +30,9 @@ MIME_TYPES = {
     "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
 }
 
-PART_ENTRIES = 10_000
+SECTIONS = ("pages", "documents", "hidden_resources", "locales")
+# The row that each site has, whatever was found.
+SITE = "site"
 
 
 # All a report takes from the markup, read in one pass.
@@ -133,66 +134,33 @@ def counts(
     )
 
 
-def report_parts(
-    pages: DataFrame,
-    documents: DataFrame,
-    hidden: DataFrame,
-    locales: DataFrame,
-    entries: int = PART_ENTRIES,
+def report_rows(
+    sites: DataFrame, pages: DataFrame, documents: DataFrame, hidden: DataFrame, locales: DataFrame
 ) -> DataFrame:
-    """``site, part`` and the four report sections of that part.
+    """``site, section, seq`` and one of ``page, document, hidden, locale`` per entry.
 
-    The parts of a site put together in order are its whole report.
+    ``seq`` counts from 1 in the order of the section; URLs of a locale are counted
+    inside their locale. Each of the ``sites`` has a row of section ``SITE``, seq 0.
     """
-
-    def part(place: str) -> str:
-        return f"cast(({place} - 1) div {entries} AS int) AS part"
-
-    page_rows = pages.selectExpr(
-        "site",
-        part("k"),
-        "named_struct('k', k, 'v', named_struct('url', url, 'links', links, 'meta', meta,"
-        " 'headings', headings, 'headers', headers)) AS page",
-    )
-    placed_documents = number_by_order(documents, ["site"], ["k", "pos"], "place")
-    document_rows = placed_documents.selectExpr(
-        "site",
-        part("place"),
-        "named_struct('place', place, 'v', named_struct('name', name, 'url', url,"
-        " 'size', size, 'mime', mime)) AS document",
-    )
-    placed_hidden = number_by_order(hidden, ["site"], ["url", "status"], "place")
-    hidden_rows = placed_hidden.selectExpr(
-        "site",
-        part("place"),
-        "named_struct('place', place, 'v', named_struct('url', url, 'status', status,"
-        " 'type', type, 'size', size)) AS hidden",
-    )
-    locale_rows = (
-        locales.selectExpr("site", "lang", part("pos"), "pos", "url")
-        .groupBy("site", "part", "lang")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "url"))).alias("found"))
-        .selectExpr(
-            "site", "part", "named_struct('lang', lang, 'urls', found.url) AS locale"
-        )
-    )
-    rows = [page_rows, document_rows, hidden_rows, locale_rows]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    return (
-        union.groupBy("site", "part")
-        .agg(*(F.collect_list(c).alias(c) for c in ("page", "document", "hidden", "locale")))
-        .selectExpr(
-            "site",
-            "part",
-            f"cast({_in_order('page', 'k')} AS ARRAY<{PAGE_INFO}>) AS pages",
-            f"cast({_in_order('document', 'place')} AS ARRAY<{DOCUMENT_INFO}>) AS documents",
-            f"cast({_in_order('hidden', 'place')} AS ARRAY<{HIDDEN_INFO}>) AS hidden_resources",
-            "map_from_entries(locale) AS locales",
-        )
-    )
-
-
-def _in_order(column: str, key: str) -> str:
-    """Values of collected structs, ordered by ``key`` (maps cannot be compared)."""
-    by_key = f"(x, y) -> cast(sign(x.{key} - y.{key}) AS int)"
-    return let(f"array_sort({column}, {by_key})", lambda s: f"{s}.v")
+    placed_documents = number_by_order(documents, ["site"], ["k", "pos"], "seq")
+    placed_hidden = number_by_order(hidden, ["site"], ["url", "status"], "seq")
+    rows = [
+        sites.selectExpr("site", f"'{SITE}' AS section", "cast(0 AS bigint) AS seq"),
+        pages.selectExpr(
+            "site", "'pages' AS section", "cast(k AS bigint) AS seq",
+            f"cast(struct(url, links, meta, headings, headers) AS {PAGE_INFO}) AS page",
+        ),
+        placed_documents.selectExpr(
+            "site", "'documents' AS section", "seq",
+            f"cast(struct(name, url, size, mime) AS {DOCUMENT_INFO}) AS document",
+        ),
+        placed_hidden.selectExpr(
+            "site", "'hidden_resources' AS section", "seq",
+            f"cast(struct(url, status, type, size) AS {HIDDEN_INFO}) AS hidden",
+        ),
+        locales.selectExpr(
+            "site", "'locales' AS section", "cast(pos AS bigint) AS seq",
+            f"cast(struct(lang, url) AS {LOCALE_INFO}) AS locale",
+        ),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)

@@ -35,7 +35,7 @@ def scan(
 ) -> dict[str, DataFrame]:
     """The four flat report tables of each requested site.
 
-    Hand them to ``report.counts`` or ``report.report_parts``. Reached pages are
+    Hand them to ``report.counts`` or ``report.report_rows``. Reached pages are
     parsed once and read back slim.
     """
     pages = scanned_pages(requests, snapshot, robots)

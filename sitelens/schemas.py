@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-RESPONSE = "url STRING, content_type STRING, body BINARY"
-REQUEST = (
-    "site STRING, base_url STRING, max_depth INT, max_pages BIGINT, timeout DOUBLE, "
-    "user_agent STRING, rate_limit DOUBLE, retry_times INT"
-)
 PAGE_INFO = (
     "STRUCT<url: STRING, links: ARRAY<STRING>, meta: MAP<STRING, STRING>, "
     "headings: MAP<STRING, ARRAY<STRING>>, headers: MAP<STRING, STRING>>"
 )
 DOCUMENT_INFO = "STRUCT<name: STRING, url: STRING, size: BIGINT, mime: STRING>"
 HIDDEN_INFO = "STRUCT<url: STRING, status: INT, type: STRING, size: BIGINT>"
-REPORT = (
-    f"pages ARRAY<{PAGE_INFO}>, documents ARRAY<{DOCUMENT_INFO}>, "
-    f"hidden_resources ARRAY<{HIDDEN_INFO}>, locales MAP<STRING, ARRAY<STRING>>"
+LOCALE_INFO = "STRUCT<lang: STRING, url: STRING>"
+REPORT_ROW = (
+    f"site STRING, section STRING, seq BIGINT, page {PAGE_INFO}, document {DOCUMENT_INFO}, "
+    f"hidden {HIDDEN_INFO}, locale {LOCALE_INFO}"
 )

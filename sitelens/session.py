@@ -23,6 +23,11 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     # Splits a hot host's partition of a join into advisory-size pieces.
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Streaming state on disk: seen sets and retry states outgrow a heap.
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     return spark
 
 

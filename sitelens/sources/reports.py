@@ -1,28 +1,26 @@
-"""Report sink and source: JSON lines, one per site and part."""
+"""Report sink and source: JSON lines, one per entry."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.schemas import REPORT
+from sitelens.schemas import REPORT_ROW
 
-_SECTIONS = "pages, documents, hidden_resources, locales"
+_ENTRIES = ("page", "document", "hidden", "locale")
 
 
-def as_json(parts: DataFrame, pretty: bool = False) -> DataFrame:
-    """``site, part, json``; NULL fields are written, other alphabets kept as they are."""
+def as_json(rows: DataFrame, pretty: bool = False) -> DataFrame:
+    """``site, section, seq, json``; NULL fields are written, other alphabets kept as they are."""
     options = f"map('ignoreNullFields', 'false', 'pretty', '{str(pretty).lower()}')"
-    return parts.selectExpr(
-        "site", "part", f"to_json(struct({_SECTIONS}), {options}) AS json"
-    )
+    texts = ", ".join(f"to_json({e}, {options})" for e in _ENTRIES)
+    return rows.selectExpr("site", "section", "seq", f"coalesce({texts}, '{{}}') AS json")
 
 
-def write_reports(parts: DataFrame, path: str) -> None:
-    """Write the nested reports as JSON lines, with their site and part."""
-    parts.write.option("ignoreNullFields", "false").json(path)
+def write_reports(rows: DataFrame, path: str) -> None:
+    """Write report rows as JSON lines, with their site, section and number."""
+    rows.write.json(path)
 
 
-def read_reports(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
-    """Read reports back with the fixed schema; ``pretty`` for one indented report per file."""
-    reader = spark.read.schema(f"site STRING, part INT, {REPORT}")
-    return reader.option("multiLine", pretty).json(path)
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Read report rows back with the fixed schema."""
+    return spark.read.schema(REPORT_ROW).json(path)

@@ -6,13 +6,19 @@ the last run, and their state lives in the stream's checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from sitelens.operators.links import link_targets
 from sitelens.operators.outcomes import fetch_outcomes
 from sitelens.session import scratch_path
 
 
+def _start_empty(schema: StructType, path: str) -> None:
+    """An empty table at ``path``, so that a stream without any rows can be read back."""
+    SparkSession.active().createDataFrame([], schema).write.parquet(path)
+
+
 def _run(writer) -> None:
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
@@ -39,6 +45,7 @@ def run_new_links(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     links = new_links(pages)
     out, state = scratch_path(spark, "new-links"), scratch_path(spark, "new-links-state")
+    _start_empty(links.schema, out)
     _run(links.writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
     return spark.read.schema(links.schema).parquet(out)
 
@@ -53,6 +60,8 @@ def run_fetch_outcomes(attempts: DataFrame, retry_times: int = 3) -> DataFrame:
     outcomes = fetch_outcomes(attempts, retry_times)
     out, state = scratch_path(spark, "outcomes"), scratch_path(spark, "outcomes-state")
 
+    _start_empty(outcomes.schema, f"{out}/batch=-1")
+
     def write_batch(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
@@ -94,6 +103,7 @@ def run_rate_audit(requests: DataFrame, limit: int, window: str, delay: str) ->
     spark = requests.sparkSession
     audited = over_limit(requests, limit, window, delay)
     out, state = scratch_path(spark, "rate-audit"), scratch_path(spark, "rate-audit-state")
+    _start_empty(audited.schema, out)
     _run(
         audited.writeStream.outputMode("append")
         .format("parquet")

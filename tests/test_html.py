@@ -98,3 +98,10 @@ def test_plain_markup_stays_native(spark):
     )
     df = spark.createDataFrame([(markup * 2000,)], "html STRING")
     assert df.select(F.expr(plain_hrefs("html"))).head()[0] == ["/a?x=1&y=2&z=3"] * 2000
+
+
+def test_titles_count_anywhere_and_ruby_readings_do_not(spark):
+    pages = ["<noscript><title>x</title></noscript>", "<p>K<ruby>a<rp>(</rp><rt>kan</rt><rp>)</rp></ruby> z</p>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id INT, html STRING")
+    rows = df.withColumn("page", read_html(df["html"], ("title", "text"))).orderBy("page_id").collect()
+    assert rows[0].page.title == "x" and rows[1].page.text == "K a z"

@@ -11,12 +11,12 @@ SF_DIR = "/root/testdata/sf0.001"
 # Queries that run jobs while they are built are covered by their lazy parts.
 LAZY = sorted(
     set(QUERIES)
-    - {"crawl_reachable", "crawl_budget", "site_report", "site_report_json", "report_roundtrip"}
+    - {"crawl_reachable", "crawl_budget", "crawl_misses", "site_report", "site_report_json", "report_roundtrip"}
     - {name for name in QUERIES if name.startswith("stream")}
     - {"rate_audit"}
 )
 # Queries that need page text or other fields than links.
-TOKENIZED = {"page_text", "page_metadata", "parsed_pages", "page_locales"}
+TOKENIZED = {"page_text", "page_metadata", "parsed_pages", "page_locales", "last_entry_locales"}
 
 
 def plan(df):
@@ -31,7 +31,7 @@ def test_no_pairs_and_no_row_python(spark, name):
     assert text.count("ArrowEvalPython") <= 1
 
 
-@pytest.mark.parametrize("name", sorted(set(LAZY) - TOKENIZED - {"report_pages", "report_documents", "report_locales"}))
+@pytest.mark.parametrize("name", sorted(set(LAZY) - TOKENIZED - {"report_pages", "report_locales"}))
 def test_links_are_read_natively(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "parse_batch" not in text or "parse_batch(rest" in text

@@ -32,56 +32,51 @@ def tables(spark):
     }
 
 
-def joined(rows, site):
-    """Parts of a site put together in order."""
-    whole = {"pages": [], "documents": [], "hidden_resources": [], "locales": {}}
-    for row in sorted((r for r in rows if r.site == site), key=lambda r: r.part):
-        part = json.loads(row.json)
-        for name in ("pages", "documents", "hidden_resources"):
-            whole[name] += part[name]
-        for lang, urls in part["locales"].items():
-            whole["locales"].setdefault(lang, []).extend(urls)
-    return whole
-
-
-@pytest.mark.parametrize("size", [4, 10_000])
-def test_parts_make_the_whole_report(spark, tables, size):
-    rows = reports.as_json(report.report_parts(**tables, entries=size)).collect()
-    assert len([r for r in rows if r.site == "big"]) == (13 if size == 4 else 1)
-    big = joined(rows, "big")
-    assert [p["url"] for p in big["pages"]] == [f"http://big/{k}" for k in range(1, 26)]
-    assert big["pages"][0] == {
+@pytest.fixture()
+def rows(spark, tables):
+    sites = spark.createDataFrame([("big",), ("small",), ("empty",)], "site STRING")
+    return report.report_rows(sites, **tables)
+
+
+def section(rows, site, name):
+    found = [r for r in reports.as_json(rows).collect() if (r.site, r.section) == (site, name)]
+    return [(r.seq, json.loads(r.json)) for r in sorted(found, key=lambda r: (r.seq, r.json))]
+
+
+def test_rows_make_the_whole_report(rows):
+    pages = section(rows, "big", "pages")
+    assert [(n, p["url"]) for n, p in pages] == [(k, f"http://big/{k}") for k in range(1, 26)]
+    assert pages[0][1] == {
         "url": "http://big/1", "links": ["l1"], "meta": {"m": "é"}, "headings": {"h1": ["t"]}, "headers": {},
     }
-    assert [d["url"] for d in big["documents"]] == [f"http://big/{k}-{p}.pdf" for k in range(1, 26) for p in (0, 1)]
-    assert [h["url"] for h in big["hidden_resources"]] == [f"http://big/h{i:02}" for i in range(12)]
-    assert big["hidden_resources"][3]["status"] is None and "status" in big["hidden_resources"][3]
-    assert big["locales"] == {lang: [f"u{i:02}" for i in range(23)] for lang in ("de", "fr")}
-    assert joined(rows, "small")["pages"][0]["url"] == "http://small"
-    with_pages = [r.json for r in rows if r.site == "big" and json.loads(r.json)["pages"]]
-    assert with_pages and all("é" in text for text in with_pages)
-    for row in rows:
-        part = json.loads(row.json)
-        assert all(len(part[n]) <= size for n in ("pages", "documents", "hidden_resources"))
-        assert all(len(urls) <= size for urls in part["locales"].values())
-
-
-def test_round_trip(spark, tables, tmp_path):
-    parts = report.report_parts(**tables, entries=4)
-    reports.write_reports(parts, str(tmp_path / "r"))
+    documents = section(rows, "big", "documents")
+    assert [n for n, _ in documents] == list(range(1, 51))
+    assert [d["url"] for _, d in documents] == [f"http://big/{k}-{p}.pdf" for k in range(1, 26) for p in (0, 1)]
+    hidden = section(rows, "big", "hidden_resources")
+    assert [h["url"] for _, h in hidden] == [f"http://big/h{i:02}" for i in range(12)]
+    assert hidden[3][1]["status"] is None and "status" in hidden[3][1]
+    locales = section(rows, "big", "locales")
+    assert [(n, x["url"]) for n, x in locales if x["lang"] == "de"] == [(i + 1, f"u{i:02}") for i in range(23)]
+    assert [p["url"] for _, p in section(rows, "small", "pages")] == ["http://small"]
+
+
+def test_an_empty_scan_has_a_report(rows):
+    assert section(rows, "empty", report.SITE) == [(0, {})]
+    assert [r.section for r in rows.collect() if r.site == "empty"] == [report.SITE]
+
+
+def test_round_trip(spark, rows, tmp_path):
+    reports.write_reports(rows, str(tmp_path / "r"))
     again = reports.read_reports(spark, str(tmp_path / "r"))
     mine, theirs = (
-        sorted(map(tuple, reports.as_json(df).collect())) for df in (parts, again)
+        sorted((r.site, r.section, r.seq, r.json) for r in reports.as_json(df).collect()) for df in (rows, again)
     )
-    assert [(s, p, json.loads(j)) for s, p, j in mine] == [(s, p, json.loads(j)) for s, p, j in theirs]
+    assert mine == theirs and any("é" in r[3] for r in mine)
 
 
-def test_pretty(spark, tables, tmp_path):
-    text = reports.as_json(report.report_parts(**tables), pretty=True).filter("site = 'small'").head().json
-    assert "\n  " in text and list(json.loads(text)) == ["pages", "documents", "hidden_resources", "locales"]
-    (tmp_path / "report.json").write_text(text, encoding="utf-8")
-    again = reports.read_reports(spark, str(tmp_path / "report.json"), pretty=True).head()
-    assert [p.url for p in again.pages] == ["http://small"] and again.documents == []
+def test_pretty(rows):
+    text = reports.as_json(rows, pretty=True).filter("site = 'small' AND section = 'pages'").head().json
+    assert "\n  " in text and json.loads(text)["url"] == "http://small"
 
 
 def test_counts(spark, tables):

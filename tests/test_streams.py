@@ -53,3 +53,12 @@ def test_links_are_new_again_after_the_delay(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "state")).start()
     query.awaitTermination()
     assert spark.table("recent").count() == 1
+
+
+def test_empty_streams_give_empty_tables(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id INT, site STRING, url STRING, html STRING")
+    assert jobs.run_new_links(in_files(pages, tmp_path / "pages", 1)).count() == 0
+    attempts = spark.createDataFrame([], "url STRING, attempt INT, status INT")
+    assert jobs.run_fetch_outcomes(in_files(attempts, tmp_path / "attempts", 1)).count() == 0
+    requests = spark.createDataFrame([], "site STRING, ts TIMESTAMP")
+    assert jobs.run_rate_audit(in_files(requests, tmp_path / "requests", 1), 2, "1 day", "3 hours").count() == 0
