@@ -93,7 +93,7 @@ def _running(df: DataFrame, group: str, bucket: str, amount: str, out: str) -> D
 def _streams(sizes: DataFrame, buckets: int) -> DataFrame:
     """``row_id, sid, start, size``: where each document lies in its source's stream."""
     placed = sizes.filter("size > 0").select(
-        "row_id", "sid", "size", F.xxhash64(F.lit("order"), "row_id").alias("place")
+        "row_id", "sid", "size", "place"
     ).withColumn("bucket", F.expr(f"cast(floor((place / 18446744073709551616D + 0.5D) * {buckets}) AS int)"))
     offsets = _running(
         placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words")), "sid", "bucket", "words", "offset"
@@ -167,6 +167,8 @@ def mix(
             "doc_id",
             "source",
             F.size(words("text")).cast("long").alias("size"),
+            # The order of a stream follows from the rows, not from how they were read.
+            F.xxhash64(F.lit("order"), "doc_id", "text").alias("place"),
             F.monotonically_increasing_id().alias("row_id"),
         ),
         "mix-sizes",
