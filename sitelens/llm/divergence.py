@@ -141,7 +141,8 @@ def distance(counts: str, reference: str) -> str:
         return f"if({p} > 0, {p} * log2(2 * {p} / ({p} + {q})), 0D)"
 
     terms = f"zip_with({counts}, {reference}, (c, q) -> {let('c / n', lambda p: part(p, 'q') + ' + ' + part('q', p))})"
-    return f"transform(array({_total(counts)}), n -> sqrt(greatest(0D, aggregate({terms}, 0D, (s, x) -> s + x) / 2)))[0]"
+    summed = f"sqrt(greatest(0D, aggregate({terms}, 0D, (s, x) -> s + x) / 2))"
+    return f"if({reference} IS NULL, NULL, transform(array({_total(counts)}), n -> {summed})[0])"
 
 
 def quality_rules(

@@ -53,7 +53,8 @@ class Hashing:
         known = self.known
         for token in set(tokens).difference(known):
             known[token] = xxhash.xxh64_intdigest(token)
-        full = np.array([_START, *(known[t] for t in tokens)], np.uint64)
+        full = np.empty(len(tokens) + 1, np.uint64)
+        full[0], full[1:] = _START, np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         word = (full >> np.uint64(64 - self.word_bits)).astype(np.int64)
         mixed = (full[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ full[1:]
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -40,10 +40,12 @@ from pyspark.sql import DataFrame, functions as F
 from sitelens.llm.common import prepared
 from sitelens.session import materialize
 
-#: Groups of n-gram hashes: the coordinates of a point.
+#: Groups of n-gram hashes: the coordinates of a point in the tree. Pairs that pass
+#: there are bounded again by finer points, of about two n-grams a group.
 GROUPS = 64
+_FINEST = 4096
 _LEAF = 32
-_POINT = "doc_id bigint, text_id bigint, node bigint, n int, counts binary, prefix array<bigint>"
+_POINT = "doc_id bigint, text_id bigint, node bigint, n int, counts binary, fine binary, prefix array<bigint>"
 #: Node numbers that are looked up by broadcast; above, by shuffle.
 _MAX_BROADCAST = 1_000_000
 
@@ -63,7 +65,7 @@ class Shingles:
         known = self.known
         for word in set(words).difference(known):
             known[word] = xxhash.xxh64_intdigest(word)
-        hashes = np.array([known[w] for w in words], np.uint64)
+        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = min(self.n, len(words))
         mixed = np.full(len(words) - size + 1, size, np.uint64)
         for i in range(size):
@@ -74,13 +76,13 @@ class Shingles:
         return np.unique(mixed.view(np.int64))
 
 
-def group_counts(shingles: np.ndarray) -> bytes:
-    """A point in 65 bytes: a shift, and the coordinates shifted by it, rounded up.
+def group_counts(shingles: np.ndarray, groups: int = GROUPS) -> bytes:
+    """A point as a shift and a byte per coordinate, shifted by it and rounded up.
 
     Rounded up, coordinates still bound the overlap from above; below 256 they are exact.
     """
     # Low bits make the groups, high bits the order: the two owe each other nothing.
-    counts = np.bincount(shingles & (GROUPS - 1), minlength=GROUPS)
+    counts = np.bincount(shingles & (groups - 1), minlength=groups)
     shift = 0
     while -(-int(counts.max()) >> shift) > 255:
         shift += 1
@@ -92,6 +94,20 @@ def _coordinates(points: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return packed[:, 1:] << packed[:, :1]
 
 
+def _fine_groups(n: int) -> int:
+    """A power of two near half the set's size."""
+    return min(_FINEST, max(GROUPS, 1 << (n // 2).bit_length()))
+
+
+def shared_at_most(one: bytes, two: bytes) -> int:
+    """Summed coordinate minima of two packed points; groups of the finer one are put together."""
+    p, q = (np.frombuffer(x, np.uint8, offset=1).astype(np.int64) << x[0] for x in (one, two))
+    if len(p) != len(q):
+        size = min(len(p), len(q))
+        p, q = (x.reshape(-1, size).sum(axis=0) for x in (p, q))
+    return int(np.minimum(p, q).sum())
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -104,13 +120,14 @@ def _points(n: int, percent: int):
             for doc_id, text_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text)
                 if not len(found):
-                    rows.append((doc_id, text_id, None, 0, None, None))
+                    rows.append((doc_id, text_id, None, 0, None, None, None))
                     continue
                 node = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
                 prefix = found[: _prefix_length(len(found), percent)].tolist()
-                rows.append((doc_id, text_id, node, len(found), group_counts(found), prefix))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-            columns = list(zip(*rows)) or [()] * 6
+                fine = group_counts(found, _fine_groups(len(found)))
+                rows.append((doc_id, text_id, node, len(found), group_counts(found), fine, prefix))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _POINT.split(", ")]
             )
@@ -271,14 +288,17 @@ def _sets(n: int):
 def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
     """The ``a, b`` pairs whose whole sets are similar enough.
 
-    ``owners`` has per ``node`` the ``text_id`` of one of its texts.
+    ``owners`` has per ``node`` the ``text_id`` and ``doc_id`` of one of its documents.
     """
     wanted = materialize(pairs.selectExpr("inline(array(struct(a AS node), struct(b AS node)))").distinct().join(
         owners, "node"), "pair-nodes")
     few = wanted.limit(_MAX_BROADCAST + 1).count() <= _MAX_BROADCAST
     chosen = (
-        texts.withColumn("text_id", F.xxhash64("text"))
-        .join(F.broadcast(wanted) if few else wanted, "text_id")
+        texts.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
+        .join(
+            F.broadcast(wanted) if few else wanted,
+            (F.col("_text") == F.col("text_id")) & F.col("_doc").eqNullSafe(F.col("doc_id")),
+        )
         .select("node", "text")
     )
     sets = materialize(
@@ -309,8 +329,8 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     # Equal sets are one node; one of its rows stands for it.
     owners = materialize(
         slim.filter("node IS NOT NULL").groupBy("node").agg(
-            F.min(F.struct("row", "text_id", "n")).alias("o"), F.min("doc_id").alias("first_doc")
-        ).select("node", "o.row", "o.text_id", "o.n", "first_doc"),
+            F.min(F.struct("row", "text_id", "doc_id", "n")).alias("o"), F.min("doc_id").alias("first_doc")
+        ).select("node", "o.row", "o.text_id", "o.doc_id", "o.n", "first_doc"),
         "nodes",
     )
     own = points.join(owners.select("row"), "row", "left_semi")
@@ -322,10 +342,10 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
         "buckets",
     )
     sized = owners.select("node", "n").join(
-        own.select(F.col("node").alias("node"), "counts"), "node"
+        own.select("node", "counts", "fine"), "node"
     )
     vectors = materialize(sized.join(shared.select("node").distinct(), "node", "left_semi"), "vectors")
-    ids = owners.select("node", "text_id")
+    ids = owners.select("node", "text_id", "doc_id")
     first = verified(
         _bounded(shared.filter("leader IS NOT NULL").selectExpr("leader AS a", "node AS b").distinct(), vectors, percent),
         texts, ids, n, percent,
@@ -355,7 +375,7 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
         .sortWithinPartitions("shingle", "i", "j", "node")
     )
     rest = materialize(dealt.mapInArrow(_searched(percent), "a bigint, b bigint").distinct(), "second-pairs")
-    links = first.unionByName(verified(rest, texts, ids, n, percent))
+    links = first.unionByName(verified(_bounded(rest, vectors, percent), texts, ids, n, percent))
     final = owners.select("node", "first_doc").join(components(links), "node", "left").selectExpr(
         "node", "first_doc", "coalesce(component, node) AS component"
     )
@@ -370,16 +390,18 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed coordinate minima allow the similarity."""
-    one = vectors.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"))
-    two = vectors.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("c_b"))
+    """Pairs whose summed minima of the finer coordinates allow the similarity."""
+    one = vectors.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("c_a"))
+    two = vectors.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("c_b"))
     columns = ["a", "b", "n_a", "n_b", "c_a", "c_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            p, q = _coordinates(batch.column(4)), _coordinates(batch.column(5))
-            ok = (100 + percent) * np.minimum(p, q).sum(axis=1, dtype=np.int64) >= percent * (n + m).astype(np.int64)
+            room = np.array(
+                [shared_at_most(p, q) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64
+            )
+            ok = (100 + percent) * room >= percent * (n.astype(np.int64) + m)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     joined = pairs.join(two, "b").join(one, "a").select(*columns)
