@@ -10,8 +10,9 @@ How points meet in a task: two sets of Jaccard similarity ``t`` share one of the
 that of the hashes. Points are dealt by those n-grams, into buckets.
 
 * Equal sets are one point from the start.
-* First pass: each member of a bucket is tried against the bucket's first point only.
-  Groups of near copies fall together here, in linear work.
+* First pass: each member of a bucket is tried against the bucket's first point, in
+  crowded buckets also against one before it. Groups of near copies fall together
+  here, in linear work.
 * Second pass: buckets that still hold points of different components are searched
   whole with the tree, pairs inside a component passed over. Large buckets are cut into
   blocks, and tasks take pairs of blocks.
@@ -44,6 +45,8 @@ from sitelens.session import materialize
 #: there are bounded again by finer points, of about two n-grams a group.
 GROUPS = 64
 _FINEST = 4096
+# From this place in a bucket on, a member tries one before it too.
+_CROWD = 8
 _LEAF = 32
 _POINT = "doc_id bigint, text_id bigint, node bigint, n int, counts binary, fine binary, prefix array<bigint>"
 #: Node numbers that are looked up by broadcast; above, by shuffle.
@@ -141,13 +144,27 @@ def _alike(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _leaders(percent: int):
-    """Rows of buckets with company, each with its bucket's first point if sizes allow a link."""
+    """Rows of buckets with company, each with the points to try first if sizes allow a link.
 
-    def emit(shingle, node, n, leader, leader_n, shared) -> pa.RecordBatch:
+    ``leader`` is the bucket's first point. In a group in which many pairs link, but few
+    with the first, ``before`` leads on: an earlier member of the bucket, another one in
+    each bucket, as a hash of member and bucket has it.
+    """
+
+    def emit(shingle, node, n, leader, leader_n, shared, place) -> pa.RecordBatch:
         ok = shared & (leader != node) & _alike(n, leader_n, percent)
+        mixed = (shingle ^ (node >> 7)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        back = 1 + (mixed >> np.uint64(40)).astype(np.int64) % np.maximum(place, 1)
+        at = np.maximum(np.arange(len(node)) - back, 0)
+        tried = (place >= _CROWD) & _alike(n, n[at], percent)
         return pa.RecordBatch.from_arrays(
-            [pa.array(shingle[shared]), pa.array(node[shared]), pa.array(leader[shared], mask=~ok[shared])],
-            ["shingle", "node", "leader"],
+            [
+                pa.array(shingle[shared]),
+                pa.array(node[shared]),
+                pa.array(leader[shared], mask=~ok[shared]),
+                pa.array(node[at][shared], mask=~tried[shared]),
+            ],
+            ["shingle", "node", "leader", "before"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +178,7 @@ def _leaders(percent: int):
             new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             leader, leader_n, company = node[first], n[first], ~new
+            place = np.arange(len(new)) - first
             if held is not None:
                 same = first == 0
                 leader, leader_n = np.where(same, held[3], leader), np.where(same, held[4], leader_n)
@@ -168,9 +186,9 @@ def _leaders(percent: int):
             company[:-1] |= ~new[1:]
             held = (shingle[-1], node[-1], n[-1], leader[-1], leader_n[-1], company[-1])
             cut = slice(0, len(new) - 1)
-            yield emit(*(x[cut] for x in (shingle, node, n, leader, leader_n, company)))
+            yield emit(*(x[cut] for x in (shingle, node, n, leader, leader_n, company, place)))
         if held is not None:
-            yield emit(*(np.array([x]) for x in held))
+            yield emit(*(np.array([x]) for x in (*held, 0)))
 
     return run
 
@@ -338,7 +356,7 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
         own.select(F.explode("prefix").alias("shingle"), "node", "n")
         .repartition("shingle")
         .sortWithinPartitions("shingle", "node")
-        .mapInArrow(_leaders(percent), "shingle bigint, node bigint, leader bigint"),
+        .mapInArrow(_leaders(percent), "shingle bigint, node bigint, leader bigint, before bigint"),
         "buckets",
     )
     sized = owners.select("node", "n").join(
@@ -346,11 +364,11 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     )
     vectors = materialize(sized.join(shared.select("node").distinct(), "node", "left_semi"), "vectors")
     ids = owners.select("node", "text_id", "doc_id")
-    first = verified(
-        _bounded(shared.filter("leader IS NOT NULL").selectExpr("leader AS a", "node AS b").distinct(), vectors, percent),
-        texts, ids, n, percent,
-    )
-    first = materialize(first, "first-links")
+    tried = shared.selectExpr(
+        "node", "explode(array_compact(array(leader, before))) AS other"
+    ).selectExpr("least(node, other) AS a", "greatest(node, other) AS b").distinct()
+    near = _bounded(_bounded(tried, vectors, "counts", percent), vectors, "fine", percent)
+    first = materialize(verified(near, texts, ids, n, percent), "first-links")
     groups = components(first)
     grouped = materialize(
         vectors.join(groups, "node", "left").selectExpr("node", "n", "counts", "coalesce(component, node) AS component"),
@@ -375,7 +393,7 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
         .sortWithinPartitions("shingle", "i", "j", "node")
     )
     rest = materialize(dealt.mapInArrow(_searched(percent), "a bigint, b bigint").distinct(), "second-pairs")
-    links = first.unionByName(verified(_bounded(rest, vectors, percent), texts, ids, n, percent))
+    links = first.unionByName(verified(_bounded(rest, vectors, "fine", percent), texts, ids, n, percent))
     final = owners.select("node", "first_doc").join(components(links), "node", "left").selectExpr(
         "node", "first_doc", "coalesce(component, node) AS component"
     )
@@ -389,10 +407,10 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     )
 
 
-def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed minima of the finer coordinates allow the similarity."""
-    one = vectors.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("c_a"))
-    two = vectors.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("c_b"))
+def _bounded(pairs: DataFrame, vectors: DataFrame, point: str, percent: int) -> DataFrame:
+    """Pairs whose summed coordinate minima allow the similarity; ``point`` names the coordinates."""
+    one = vectors.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(point).alias("c_a"))
+    two = vectors.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(point).alias("c_b"))
     columns = ["a", "b", "n_a", "n_b", "c_a", "c_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
