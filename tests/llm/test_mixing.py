@@ -10,7 +10,7 @@ from sitelens.llm import mixing
     "sizes, want",
     [
         ([100, 100, 100], [50, 100, 150]),
-        ([10, 100, 1000], [30, 360, 720]),
+        ([10, 100, 1000], [30, 300, 780]),
         ([1000, 1, 1], [1002 - 6, 3, 3]),
         ([0, 10], [0, 10]),
         ([0, 0], [0, 0]),
