@@ -213,6 +213,7 @@ def wordlist_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locale_rules() -> dict[str, dict]:
     """Locale settings: the three national segments and three that occur in the data."""
+    # Path segments and their language tags.
     codes = {
         "jp": ("ja", "ja-JP"),
         "kr": ("ko", "ko-KR"),

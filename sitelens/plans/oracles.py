@@ -376,31 +376,44 @@ def _budget_level(depth: int) -> str:
     before = " UNION ALL ".join(f"SELECT host, norm FROM level{d}" for d in range(depth))
     return f""",
 next{depth} AS (
-  SELECT f.host, e.dst AS norm, min([f.rank, e.pos]) AS place, f.max_pages, f.seen
+  SELECT f.host, e.dst AS norm, min([f.rank, e.pos]) AS place, f.max_pages, f.max_depth, f.seen
   FROM level{depth - 1} f JOIN edges e ON e.host = f.host AND e.src = f.norm
-  WHERE (f.host, e.dst) NOT IN ({before}) GROUP BY f.host, e.dst, f.max_pages, f.seen),
+  WHERE f.max_depth >= {depth} AND (f.host, e.dst) NOT IN ({before})
+  GROUP BY f.host, e.dst, f.max_pages, f.max_depth, f.seen),
 level{depth} AS (
-  SELECT host, norm, row_number() OVER (PARTITION BY host ORDER BY place) AS rank, max_pages,
+  SELECT host, norm, row_number() OVER (PARTITION BY host ORDER BY place) AS rank, max_pages, max_depth,
          seen + least(count(*) OVER (PARTITION BY host), ceil((max_pages - seen) / 2)) AS seen
   FROM next{depth}
   QUALIFY row_number() OVER (PARTITION BY host ORDER BY place) <= ceil((max_pages - seen) / 2))"""
 
 
-ORACLES["crawl_budget"] = _with(
-    *_VERDICTS,
-    "snapshot",
-    "edges",
-    select=f""", level0 AS (
-  SELECT host, {_crawl_form('bare')} AS norm, CAST(1 AS BIGINT) AS rank, 8 + 16 * (page_id % 5) AS max_pages,
-         CAST(1 AS DOUBLE) AS seen
-  FROM hosted_pages WHERE k = 1)"""
-    + "".join(map(_budget_level, (1, 2, 3)))
-    + "\n"
-    + " UNION ALL ".join(
-        f"SELECT host, CAST({d} AS INTEGER) AS depth, norm AS url FROM level{d}"
-        " WHERE norm IN (SELECT norm FROM snapshot)"
-        for d in range(4)
-    ),
+def _budget_crawl(max_pages: str, max_depth: str, sound: str = "true") -> str:
+    return _with(
+        *_VERDICTS,
+        "snapshot",
+        "edges",
+        select=f""", level0 AS (
+  SELECT host, {_crawl_form('bare')} AS norm, CAST(1 AS BIGINT) AS rank, {max_pages} AS max_pages,
+         {max_depth} AS max_depth, CAST(1 AS DOUBLE) AS seen
+  FROM hosted_pages WHERE k = 1 AND {sound})"""
+        + "".join(map(_budget_level, (1, 2, 3)))
+        + "\n"
+        + " UNION ALL ".join(
+            f"SELECT host, CAST({d} AS INTEGER) AS depth, norm AS url FROM level{d}"
+            " WHERE norm IN (SELECT norm FROM snapshot)"
+            for d in range(4)
+        ),
+    )
+
+
+ORACLES["crawl_budget"] = _budget_crawl("8 + 16 * (page_id % 5)", "3")
+ORACLES["requested_crawl"] = _budget_crawl(
+    "CASE WHEN page_id % 6 = 1 THEN 50 ELSE 1000 END",
+    "CASE WHEN page_id % 7 = 1 THEN 2 ELSE 3 END",
+    """page_id % 17 NOT IN (3, 5, 7) AND page_id % 11 NOT IN (0, 1) AND page_id % 7 <> 0 AND page_id % 6 <> 0
+    AND page_id % 23 <> 2 AND page_id % 9 <> 0 AND page_id % 29 NOT IN (1, 3) AND page_id % 13 <> 0
+    AND page_id % 8 <> 0 AND page_id % 10 <> 0 AND page_id % 12 <> 0 AND page_id % 19 <> 4
+    AND page_id % 4 IN (1, 2)""",
 )
 ORACLES["localized_urls"] = _with(
     "hosted_pages",

@@ -253,6 +253,20 @@ def crawl_misses(spark, sf_dir):
     )
 
 
+@query
+def requested_crawl(spark, sf_dir):
+    """From raw JSON requests, one per host, to the pages that the sound ones reach."""
+    firsts = derived.host_summary(spark, sf_dir).select("page_id")
+    accepted = requests.accepted(
+        derived.raw_requests(spark, sf_dir).join(firsts, "page_id"),
+        derived.wordlist_catalogue(spark, sf_dir),
+        "page_id",
+    )
+    return _as_host(
+        crawl.crawl(accepted, derived.linked_pages(spark, sf_dir), derived.robots(spark, sf_dir))
+    )
+
+
 @query
 def crawl_budget(spark, sf_dir):
     """Three levels under budgets of which some bind early, some late."""
