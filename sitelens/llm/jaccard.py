@@ -13,6 +13,8 @@ that of the hashes. Points are dealt by those n-grams, into buckets.
 * First pass: each member of a bucket is tried against the bucket's first point, in
   crowded buckets also against one before it. Groups of near copies fall together
   here, in linear work.
+* The same once more for buckets that still hold points of different components: each
+  member is tried against one earlier member.
 * Second pass: buckets that still hold points of different components are searched
   whole with the tree, pairs inside a component passed over. Large buckets are cut into
   blocks, and tasks take pairs of blocks.
@@ -41,9 +43,11 @@ from pyspark.sql import DataFrame, functions as F
 from sitelens.llm.common import prepared
 from sitelens.session import materialize
 
-#: Groups of n-gram hashes: the coordinates of a point in the tree. Pairs that pass
-#: there are bounded again by finer points, of about two n-grams a group.
-GROUPS = 64
+#: Groups of n-gram hashes: the coordinates of a point. The tree puts them together to
+#: ``_COARSE``; pairs that pass there are bounded by all, and at last by finer points, of
+#: about two n-grams a group.
+GROUPS = 256
+_COARSE = 64
 _FINEST = 4096
 # From this place in a bucket on, a member tries one before it too.
 _CROWD = 8
@@ -193,6 +197,25 @@ def _leaders(percent: int):
     return run
 
 
+def _partners(percent: int):
+    """Pairs of members of different components: each member with an earlier one of its bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, node, n, group = (batch.column(i).to_numpy() for i in range(4))
+            new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+            place = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            mixed = (shingle ^ (node >> 5)).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            at = np.maximum(np.arange(len(new)) - 1 - (mixed >> np.uint64(40)).astype(np.int64) % np.maximum(place, 1), 0)
+            ok = (place > 0) & (group != group[at]) & _alike(n, n[at], percent)
+            found = np.unique(np.column_stack([np.minimum(node, node[at]), np.maximum(node, node[at])])[ok], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return run
+
+
 class CountTree:
     """Leaves of points that lie together in size and counts, under their largest coordinates."""
 
@@ -256,13 +279,18 @@ def _searched(percent: int):
         block, node, n, group = (table.column(k).to_numpy() for k in (3, 4, 5, 6))
         counts = _coordinates(table.column(7))
         left, right = [], []
+        coarse = counts.reshape(-1, GROUPS // _COARSE, _COARSE).sum(axis=1)
+        n = n.astype(np.int64)
         for s, e in zip(bounds, bounds[1:]):
             if e - s < 2 or group[s:e].min() == group[s:e].max():
                 continue
             cross = block[s:e] == i_block[s] if i_block[s] != j_block[s] else None
-            for p, q in CountTree(counts[s:e], n[s:e].astype(np.int64), group[s:e]).pairs(percent, cross):
-                left.append(np.minimum(node[s:e][p], node[s:e][q]))
-                right.append(np.maximum(node[s:e][p], node[s:e][q]))
+            for p, q in CountTree(coarse[s:e], n[s:e], group[s:e]).pairs(percent, cross):
+                p, q = p + s, q + s
+                room = np.minimum(counts[p], counts[q]).sum(axis=1)
+                ok = (100 + percent) * room >= percent * (n[p] + n[q])
+                left.append(np.minimum(node[p], node[q])[ok])
+                right.append(np.maximum(node[p], node[q])[ok])
         if left:
             found = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -369,22 +397,21 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     ).selectExpr("least(node, other) AS a", "greatest(node, other) AS b").distinct()
     near = _bounded(_bounded(tried, vectors, "counts", percent), vectors, "fine", percent)
     first = materialize(verified(near, texts, ids, n, percent), "first-links")
-    groups = components(first)
-    grouped = materialize(
-        vectors.join(groups, "node", "left").selectExpr("node", "n", "counts", "coalesce(component, node) AS component"),
-        "grouped",
-    )
-    rows = shared.select("shingle", "node").join(grouped.select("node", "component"), "node")
-    open_ = (
-        rows.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .filter("lo <> hi")
-        .selectExpr("shingle", f"cast(ceil(m / {block_rows}) AS int) AS k")
+    grouped, open_rows = _open_buckets(shared, vectors, first, block_rows)
+    partners = (
+        open_rows.join(grouped.select("node", "n", "component").hint("merge"), "node")
+        .select("shingle", "node", "n", "component")
+        .repartition("shingle")
+        .sortWithinPartitions("shingle", "node")
+        .mapInArrow(_partners(percent), "a bigint, b bigint")
+        .distinct()
     )
+    near = _bounded(_bounded(partners, vectors, "counts", percent), vectors, "fine", percent)
+    first = materialize(first.unionByName(verified(near, texts, ids, n, percent)), "more-links")
+    grouped, open_rows = _open_buckets(shared, vectors, first, block_rows)
     # A bucket of k blocks goes to k (k + 1) / 2 tasks, two blocks to each.
     dealt = (
-        materialize(rows.join(open_.hint("merge"), "shingle").select("shingle", "node", "k"), "open-buckets")
-        .withColumn("block", F.expr("cast(pmod(xxhash64(node, 1), k) AS int)"))
+        open_rows.withColumn("block", F.expr("cast(pmod(xxhash64(node, 1), k) AS int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
         .selectExpr("shingle", "least(block, other) AS i", "greatest(block, other) AS j", "block", "node")
         .join(grouped.hint("merge"), "node")
@@ -407,6 +434,30 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     )
 
 
+def _open_buckets(
+    shared: DataFrame, vectors: DataFrame, links: DataFrame, block_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Points with their component so far, and the ``shingle, node, k`` rows of buckets that hold several.
+
+    ``k`` is the number of blocks that the bucket is cut into.
+    """
+    grouped = materialize(
+        vectors.join(components(links), "node", "left").selectExpr(
+            "node", "n", "counts", "coalesce(component, node) AS component"
+        ),
+        "grouped",
+    )
+    rows = shared.select("shingle", "node").join(grouped.select("node", "component"), "node")
+    several = (
+        rows.groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .filter("lo <> hi")
+        .selectExpr("shingle", f"cast(ceil(m / {block_rows}) AS int) AS k")
+    )
+    found = rows.join(several.hint("merge"), "shingle").select("shingle", "node", "k")
+    return grouped, materialize(found, "open-buckets")
+
+
 def _bounded(pairs: DataFrame, vectors: DataFrame, point: str, percent: int) -> DataFrame:
     """Pairs whose summed coordinate minima allow the similarity; ``point`` names the coordinates."""
     one = vectors.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(point).alias("c_a"))
