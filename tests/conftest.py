@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        # Results of more than a megabyte are fetched from this address.
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
