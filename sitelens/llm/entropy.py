@@ -1,52 +1,59 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of the target documents and one of all documents, share one
-vocabulary and one form: words fall into ``2 ** word_bits`` classes and word pairs
-into ``2 ** pair_bits`` classes by hash, and pair probabilities are smoothed with the
-word probabilities, those with the uniform one. Background counts are scaled to the
+vocabulary and one form: pair probabilities are smoothed with the word probabilities,
+those with the uniform one over the corpus's words. Background counts are scaled to the
 target's number of tokens, so that both are smoothed alike. A document's score is the mean over
 its tokens of background loss less target loss, in nats: above 0, it reads more like
 the target than like the corpus.
 
-Counting covers every document: a task adds up its own texts, the shuffle adds up the
-tasks. The tables' size is fixed by the two bit numbers, whatever the corpus holds,
-and so is what is broadcast for scoring.
+Every word and pair of the corpus is counted on its own, under a 63-bit hash, so the
+counts grow with the corpus. Documents are dealt into blocks of about ``block_bytes`` of
+text. A block adds up its own texts, so that a hot word is one row in each block; sums by
+key over the blocks, less the block's own counts, return to the blocks that hold the key
+and are written as a table. A block is then scored with its own and the others' counts:
+no task holds more than a block's part of the model, and the driver holds three sums.
 
 Defined cases. Words are lower-cased; the word before the first is a start mark. A
 null or empty text has no tokens and score 0, both losses are 0. Every document is
 scored without its own counts in the models that count it, so that none vouches for
 itself. Without target documents both models are the background and every score is 0.
 Repeated rows count each for itself. An empty table gives no rows. Further columns are
-ignored; the result has its own columns only.
+ignored; the result has its own columns only. ``word_bits`` and ``pair_bits``, if given,
+fold words and pairs into so many classes; without them nothing is folded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sitelens.llm.common import prepared
+from sitelens.session import materialize
 
-_COUNTED = "slot int, background bigint, target bigint"
-_SCORED = "doc_id bigint, n_tokens bigint, loss_background double, loss_target double, loss_without double"
+_COUNTED = "block int, key bigint, background int, target int"
+_SCORED = "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double"
 _START = 1
 
 
 class Hashing:
-    """Word and pair classes of texts; words are remembered between texts, up to a bound."""
-
-    def __init__(self, word_bits: int, pair_bits: int):
-        self.word_bits, self.pair_bits = word_bits, pair_bits
-        self.words = 1 << word_bits
-        self.slots = self.words + (1 << pair_bits)
+    """Word and pair keys of texts; words are remembered between texts, up to a bound."""
+
+    def __init__(self, word_bits: int | None = None, pair_bits: int | None = None):
+        self.words = None if word_bits is None else 1 << word_bits
+        # Words lie at 0 and above; pairs below, or above the words where those are folded.
+        self.word_shift = np.uint64(1 if word_bits is None else 64 - word_bits)
+        self.pair_shift = np.uint64(1 if pair_bits is None else 64 - pair_bits)
+        self.pairs_from = -(1 << 63) if self.words is None else self.words
         self.known: dict[bytes, int] = {}
 
+    def is_word(self, key: str) -> str:
+        return f"{key} >= 0" + (f" AND {key} < {self.words}" if self.words else "")
+
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots of each token: its word, its pair with the word before, and that word."""
+        """Keys of each token: its word, its pair with the word before, and that word."""
         tokens = (text or "").lower().encode().split()
         if len(self.known) > 1_000_000:
             self.known.clear()
@@ -55,130 +62,151 @@ class Hashing:
             known[token] = xxhash.xxh64_intdigest(token)
         full = np.empty(len(tokens) + 1, np.uint64)
         full[0], full[1:] = _START, np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-        word = (full >> np.uint64(64 - self.word_bits)).astype(np.int64)
+        word = (full >> self.word_shift).astype(np.int64)
         mixed = (full[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ full[1:]
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        pair = (mixed >> np.uint64(64 - self.pair_bits)).astype(np.int64) + self.words
+        pair = (mixed >> self.pair_shift).astype(np.int64) + self.pairs_from
         return word[1:], pair, word[:-1]
 
 
-def _counter(hashing: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Hashing(*hashing)
-        sums = np.zeros((2, slots.slots), np.int64)
-        for batch in batches:
-            found: tuple[list, list] = ([], [])
-            for text, target in zip(*(c.to_pylist() for c in batch.columns)):
-                word, pair, _ = slots(text)
-                for kind in range(1 + target):
-                    found[kind].extend((word, pair))
-            for kind, parts in enumerate(found):
-                if parts:
-                    np.add.at(sums[kind], np.concatenate(parts), 1)
-        used = np.flatnonzero(sums[0])
-        for at in range(0, len(used), 100_000):
-            part = used[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(sums[0][part]), pa.array(sums[1][part])],
-                ["slot", "background", "target"],
-            )
+class Block:
+    """The tokens of a block's texts, end to end, with their documents' numbers."""
+
+    def __init__(self, table: pa.Table, slots: Hashing):
+        asked = table.column("asked").to_pylist()
+        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+        targets = {i for i, a in zip(ids, asked) if a}
+        self.ids = [i for i, a in zip(ids, asked) if not a]
+        self.is_target = np.array([i in targets for i in self.ids], bool)
+        tokens = [slots(t) for t, a in zip(texts, asked) if not a]
+        self.sizes = np.array([len(word) for word, _, _ in tokens], np.int64)
+        self.doc = np.repeat(np.arange(len(tokens)), self.sizes)
+        self.word, self.pair, self.before = (
+            np.concatenate([t[i] for t in tokens] or [np.zeros(0, np.int64)]) for i in range(3)
+        )
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in rising order, how often the block holds them, and its target texts."""
+        keys, at = np.unique(np.concatenate([self.word, self.pair]), return_inverse=True)
+        mine = np.tile(self.is_target[self.doc], 2)
+        return keys, np.bincount(at, minlength=len(keys)), np.bincount(at[mine], minlength=len(keys))
+
+
+def _found(keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of the asked keys among ``keys``, which rise; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0)
+
+
+def _counter(hashing: tuple[int | None, int | None]):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keys, background, target = Block(table, Hashing(*hashing)).counts()
+        return pa.table(
+            {
+                "block": pa.array(np.full(len(keys), key[0].as_py(), np.int32)),
+                "key": pa.array(keys),
+                "background": pa.array(background.astype(np.int32)),
+                "target": pa.array(target.astype(np.int32)),
+            }
+        )
 
     return run
 
 
-def mean_loss(
-    tokens: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray, words: int, own: bool, mass: float, total: int, scale: float
-) -> float:
-    """Mean loss of a text's tokens under one model; ``own`` takes the text's counts out first."""
-    word, pair, before = tokens
-    w, p, c = (counts[x].astype(np.float64) for x in tokens)
-    if own:
-        _, at_word, of_word = np.unique(word, return_inverse=True, return_counts=True)
-        _, at_pair, of_pair = np.unique(pair, return_inverse=True, return_counts=True)
-        w -= of_word[at_word]
-        p -= of_pair[at_pair]
-        c -= _occurrences(word, before)
-        total -= len(word)
-    w, p, c, total = w * scale, p * scale, c * scale, total * scale
-    # Classes may collide: a pair is never more frequent than its first word.
-    c = np.maximum(c, p)
-    unigram = (w + mass / words) / (total + mass)
-    return float(-np.log((p + mass * unigram) / (c + mass)).mean())
-
-
-def _occurrences(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """How often each asked value is among the values."""
-    found, counts = np.unique(values, return_counts=True)
-    at = np.minimum(np.searchsorted(found, asked), len(found) - 1)
-    return np.where(found[at] == asked, counts[at], 0)
-
-
-def _scorer(hashing: tuple[int, int], model, mass: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Hashing(*hashing)
-        background, target = model.value
-        totals = [int(m[: slots.words].sum()) for m in (background, target)]
-        scales = (totals[1] / max(1, totals[0]), 1.0)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = slots(text)
-                n = len(tokens[0])
-                # Whether the target model counts the text is joined on later, to a slim row.
-                found = (
-                    mean_loss(tokens, counts, slots.words, own, mass, total, scale) if n else 0.0
-                    for counts, total, scale, own in (
-                        (background, totals[0], scales[0], True),
-                        (target, totals[1], scales[1], False),
-                        (target, totals[1], scales[1], True),
-                    )
-                )
-                rows.append((doc_id, n, *found))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _SCORED.split(", ")]
+def _scorer(hashing: tuple[int | None, int | None], words: int, totals: tuple[int, int], mass: float):
+    alone = not totals[1]
+    scale = 1.0 if alone else totals[1] / max(1, totals[0])
+
+    def run(key: tuple, table: pa.Table, others: pa.Table) -> pa.Table:
+        block = Block(table, Hashing(*hashing))
+        doc, sizes = block.doc, block.sizes
+        keys, *own = block.counts()
+        asked, rest = others.column("key").to_numpy(), [others.column(c).to_numpy() for c in ("background", "target")]
+        order = np.argsort(asked)
+        models = [a + _found(asked[order], keys, b[order]) for a, b in zip(own, rest)]
+        # Each token's word, pair and word before: places among the keys, -1 for none.
+        places = [_found(keys, x, np.arange(1, len(keys) + 1)) - 1 for x in (block.word, block.pair, block.before)]
+        # What the documents themselves hold of these.
+        codes = [doc * (len(keys) + 1) + at + 1 for at in places]
+        held, times = np.unique(np.concatenate(codes[:2]), return_counts=True)
+        inside = [_found(held, code, times) * (at >= 0) for code, at in zip(codes, places)]
+
+        def loss(counts: np.ndarray, total: int, factor: float, counted: np.ndarray) -> np.ndarray:
+            """Mean loss of each document; what it adds to a model that counts it is taken out first."""
+            out = counted[doc]
+            w, p, c = (
+                (np.append(counts, 0)[at] - mine * out) * factor for at, mine in zip(places, inside)
             )
+            size = ((total - sizes * counted) * factor)[doc]
+            # Keys may collide: a pair is never more frequent than its first word.
+            c = np.maximum(c, p)
+            unigram = (w + mass / words) / (size + mass)
+            sums = np.bincount(doc, -np.log((p + mass * unigram) / (c + mass)), len(sizes))
+            return sums / np.maximum(sizes, 1)
+
+        background = loss(models[0], totals[0], scale, np.ones(len(sizes), np.int64))
+        target = background if alone else loss(models[1], totals[1], 1.0, block.is_target.astype(np.int64))
+        return pa.table(
+            {
+                "doc_id": pa.array(block.ids, pa.int64()),
+                "n_tokens": pa.array(sizes),
+                "loss_target": pa.array(target),
+                "loss_background": pa.array(background),
+                "score": pa.array(background - target),
+            }
+        )
 
     return run
 
 
 def score(
-    documents: DataFrame, target_ids: DataFrame, word_bits: int = 16, pair_bits: int = 20, mass: float = 8.0
+    documents: DataFrame,
+    target_ids: DataFrame,
+    word_bits: int | None = None,
+    pair_bits: int | None = None,
+    mass: float = 8.0,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Score all ``documents`` against those whose ``doc_id`` is in ``target_ids``.
 
     ``mass`` is the weight of the smoothing distribution, in counts.
     """
-    spark = prepared(documents.sparkSession)
-    ids = target_ids.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    mine = F.col("doc_id") == F.col("_id")
+    prepared(documents.sparkSession)
     hashing = (word_bits, pair_bits)
-    counted = (
-        # The ids grow with the labels: the same join at every size.
-        texts.join(ids.hint("merge"), mine, "left")
-        .select("text", F.col("_id").isNotNull().alias("own"))
-        .mapInArrow(_counter(hashing), _COUNTED)
-        .groupBy("slot")
-        .agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-        # The tables have a fixed number of slots, so this is bounded by the bit numbers.
-        .toArrow()
-    )
-    model = np.zeros((2, (1 << word_bits) + (1 << pair_bits)), np.int64)
-    at = counted.column("slot").to_numpy()
-    model[0, at] = counted.column("background").to_numpy()
-    model[1, at] = counted.column("target").to_numpy()
-    alone = not model[1].any()
-    if alone:
-        model[1] = model[0]
-    losses = texts.mapInArrow(_scorer(hashing, spark.sparkContext.broadcast(model), mass), _SCORED)
-    counted_in = F.lit(True) if alone else F.col("_id").isNotNull()
-    loss_target = F.when(counted_in, F.col("loss_without")).otherwise(F.col("loss_target"))
-    return losses.join(ids, mine, "left").select(
-        "doc_id",
-        "n_tokens",
-        loss_target.alias("loss_target"),
-        "loss_background",
-        (F.col("loss_background") - loss_target).alias("score"),
-    )
+    slots = Hashing(*hashing)
+    size = documents.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks = 1 + size // block_bytes
+    # A target's id meets its text in the block; rows without id are dealt by their text.
+    dealt = lambda *keys: F.pmod(F.xxhash64(F.lit("block"), *keys), F.lit(blocks)).cast("int").alias("block")
+    doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
+    texts = documents.select(
+        F.when(F.col("doc_id").isNull(), dealt(F.col("text"))).otherwise(dealt(F.col("doc_id").cast("bigint"))).alias("block"),
+        doc_id, "text", F.lit(False).alias("asked"),
+    ).unionByName(
+        target_ids.filter("doc_id IS NOT NULL").select(
+            dealt(F.col("doc_id").cast("bigint")), doc_id, F.lit(None).cast("string").alias("text"), F.lit(True).alias("asked")
+        ).distinct()
+    )
+    grouped = texts.groupBy("block")
+    over = "OVER (PARTITION BY key)"
+    counts = materialize(
+        grouped.applyInArrow(_counter(hashing), _COUNTED)
+        .selectExpr(
+            "block", "key", "background AS own", "target AS own_target",
+            f"sum(background) {over} - background AS background",
+            f"sum(target) {over} - target AS target",
+            f"min(block) {over} = block AS first",
+        )
+        # Words stay for the sums; pairs that no other block holds are known to their own.
+        .filter(f"background > 0 OR {slots.is_word('key')}"),
+        "language-model",
+    )
+    sums = counts.filter(slots.is_word("key")).agg(
+        F.sum("own").alias("background"), F.sum("own_target").alias("target"), F.sum(F.col("first").cast("long")).alias("words")
+    ).head()
+    totals = (sums["background"] or 0, sums["target"] or 0)
+    words = slots.words or (sums["words"] or 0) + 1
+    others = counts.filter("background > 0").select("block", "key", "background", "target")
+    return grouped.cogroup(others.groupBy("block")).applyInArrow(_scorer(hashing, words, totals, mass), _SCORED)

@@ -159,3 +159,37 @@ def test_no_targets_and_no_documents(spark, documents, odd):
     got = entropy.score(documents(odd), none, 8, 10).collect()
     assert len(got) == len(odd) and {round(r.score, 9) for r in got} == {0.0}
     assert entropy.score(documents([]), none, 8, 10).collect() == []
+
+
+def test_words_and_pairs_are_counted_apart(spark, documents):
+    # More words than the 2 ** 16 classes that they were once folded into, in blocks of a few texts.
+    rows = [(i, " ".join(f"w{i}x{j} the" for j in range(100))) for i in range(700)]
+    rows += [(900 + i, f"rare{i} word rare{i + 1} word") for i in range(4)]
+    ids = spark.createDataFrame([(i,) for i in range(0, 904, 3)], "doc_id BIGINT")
+    got = entropy.score(documents(rows), ids, block_bytes=100_000).collect()
+    mine = sorted((r.doc_id, r.n_tokens, round(r.score, 7)) for r in got)
+    targets, words = set(range(0, 904, 3)), {w for _, t in rows for w in t.split()}
+    assert len(words) > 1 << 16
+    models = []
+    for wanted in (range(904), targets):
+        counts: dict = {}
+        for d, t in rows:
+            full = ["", *t.split()]
+            for key in (*full[1:], *zip(full, full[1:])) if d in wanted else ():
+                counts[key] = counts.get(key, 0) + 1
+        models.append((counts, wanted, sum(n for k, n in counts.items() if isinstance(k, str))))
+    scale, want = models[1][2] / models[0][2], []
+    for d, t in rows:
+        full, losses = ["", *t.split()], []
+        own: dict = {}
+        for key in (*full[1:], *zip(full, full[1:])):
+            own[key] = own.get(key, 0) + 1
+        for (counts, wanted, total), factor in zip(models, (scale, 1.0)):
+            out = d in wanted
+            size, loss = (total - (len(full) - 1) * out) * factor, 0.0
+            for b, w in zip(full, full[1:]):
+                cw, cp, cb = ((counts.get(k, 0) - own.get(k, 0) * out) * factor for k in (w, (b, w), b))
+                loss -= math.log((cp + 8 * (cw + 8 / (len(words) + 1)) / (size + 8)) / (max(cb, cp) + 8))
+            losses.append(loss / (len(full) - 1))
+        want.append((d, len(full) - 1, round(losses[0] - losses[1], 7)))
+    assert mine == sorted(want)
