@@ -3,9 +3,9 @@
 Numbers, names and units become typed placeholders, so that a question with other
 numbers or names has the template of the original. Windows of ``window`` template
 tokens of the benchmark are hash-joined with those of all documents. Where a document
-holds enough of an item's windows, the two are aligned window by window, and the slot
-values are compared: one value of the item must stand for one value in the document
-and the other way round.
+holds enough of an item's windows, the two are aligned window by window, at each shift
+where enough of them lie, and the slot values are compared: one value of the item must
+stand for one value in the document and the other way round.
 
 Everything is built of native functions. The benchmark's windows are broadcast if
 their counted number is below ``max_broadcast``; beyond it both sides are shuffled.
@@ -19,7 +19,7 @@ ignored; the result has its own columns only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sitelens.functions.sql import let, raw
 from sitelens.session import materialize
@@ -92,11 +92,13 @@ def leaks(
     window: int = 5,
     similarity: float = 0.8,
     max_broadcast: int = 500_000,
+    insertion: int = 4,
 ) -> DataFrame:
     """``doc_id, item_id, similarity, n_slots, n_changed``: items that a document leaks.
 
     ``similarity`` is the share of an item's windows found in the document. A pair
-    whose slots are inconsistent is no leak.
+    leaks if its slots are consistent in any alignment: at one shift between item and
+    document, with up to ``insertion`` tokens more in between, or of first places.
     """
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(
         F.min("text").alias("item_text")
@@ -115,33 +117,55 @@ def leaks(
     # Few windows of a corpus are a benchmark's; only those travel on.
     met = materialize(held.join(F.broadcast(asked) if small else asked, "hash", "left_semi"), "benchmark-hits")
     pairs = met.join(F.broadcast(wanted) if small else wanted, "hash")
-    covered = (
-        pairs.groupBy("doc_id", "item_id", "n_windows", "item_pos")
+    hits = pairs.select(
+        "doc_id", "item_id", "n_windows", "item_pos", "doc_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift")
+    ).distinct()
+    place = F.struct("item_pos", "doc_pos")
+    # The first place of each window, however far apart they lie.
+    anywhere = (
+        hits.groupBy("doc_id", "item_id", "n_windows", "item_pos")
         .agg(F.min("doc_pos").alias("doc_pos"))
         .groupBy("doc_id", "item_id", "n_windows")
-        .agg(
-            F.count(F.lit(1)).alias("n_found"),
-            F.collect_list(F.struct("item_pos", "doc_pos")).alias("found"),
+        .agg(F.sort_array(F.collect_list(place)).alias("found"))
+    )
+    # One alignment for each shift: windows at it or little after it, the nearest one of each.
+    near = Window.partitionBy("doc_id", "item_id", "n_windows").orderBy("shift").rangeBetween(0, insertion)
+    by_shift = hits.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.collect_list(place).alias("at"))
+    in_order = "array_sort(flatten(collected), (l, r) -> CASE WHEN l.item_pos <> r.item_pos THEN l.item_pos - r.item_pos ELSE l.doc_pos - r.doc_pos END)"
+    at_shift = (
+        by_shift.withColumns({"collected": F.collect_list("at").over(near), "n_near": F.sum(F.size("at")).over(near)})
+        .filter(F.col("n_near") >= similarity * F.col("n_windows"))
+        .selectExpr(
+            "doc_id", "item_id", "n_windows",
+            let(in_order, lambda x: f"filter({x}, (f, i) -> i = 0 OR {x}[i - 1].item_pos <> f.item_pos)") + " AS found",
         )
-        .filter(F.col("n_found") >= similarity * F.col("n_windows"))
+    )
+    covered = (
+        anywhere.unionByName(at_shift)
+        .filter(F.size("found") >= similarity * F.col("n_windows"))
+        .groupBy("doc_id", "item_id", "n_windows")
+        .agg(F.collect_set("found").alias("alignments"))
     )
     # Only documents that hold an item's windows are read again, for their slot values.
     aligned = (
         covered.join(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
         .join(items, "item_id")
         .selectExpr(
-            "doc_id", "item_id", "n_found", "n_windows", "found",
+            "doc_id", "item_id", "n_windows", "alignments",
             f"{tokens('item_text')} AS mine", f"{tokens('text')} AS theirs",
         )
     )
     # Bound by name: in a lambda, a column that is used once would be worked out each time.
     compared = let(
         "struct(mine, theirs)",
-        lambda t: f"""array_distinct(flatten(transform(filter(found,
+        lambda t: f"""transform(alignments, found -> named_struct('n_found', size(found), 'pairs',
+            array_distinct(flatten(transform(filter(found,
             f -> f.doc_pos + {window} <= size({t}.theirs)), f -> {_slotted(
-                f'slice({t}.mine, f.item_pos + 1, {window})', f'slice({t}.theirs, f.doc_pos + 1, {window})')})))""",
+                f'slice({t}.mine, f.item_pos + 1, {window})', f'slice({t}.theirs, f.doc_pos + 1, {window})')})))))""",
+    )
+    slots = aligned.selectExpr("doc_id", "item_id", "n_windows", f"inline({compared})").selectExpr(
+        "doc_id", "item_id", "n_found / n_windows AS similarity", "pairs"
     )
-    slots = aligned.selectExpr("doc_id", "item_id", "n_found / n_windows AS similarity", f"{compared} AS pairs")
     return (
         slots.selectExpr(
             "doc_id", "item_id", "similarity",

@@ -60,3 +60,12 @@ def test_inconsistent_slots_are_no_leak(spark, documents):
 
 def test_empty_tables(spark, documents):
     assert found(spark, documents([])) == {} == found(spark, documents(ROWS), [])
+
+
+def test_a_copy_after_its_sibling_is_found(spark, documents):
+    item = "In a box there are 3 red balls, 4 blue balls and 5 green balls. What is the chance of drawing red?"
+    sibling = "In a box there are 7 red balls, 8 blue balls and 9 green balls. How many balls are there?"
+    rows = [(1, f"{sibling} {item}"), (2, f"{item} {sibling}"), (3, f"{sibling} {sibling} {item} {item}"), (4, sibling)]
+    got = found(spark, documents(rows), [(1, item)])
+    assert {(1, 1), (2, 1), (3, 1)} <= set(got)
+    assert all(got[d, 1].n_changed == 0 and got[d, 1].similarity == 1 for d in (1, 2, 3))
