@@ -5,7 +5,8 @@ blocks of ``block`` tokens. The output is a row of shards with a fixed number of
 slots. Each shard draws its multinomial source counts by stratified uniforms, one
 per slot. A slot is numbered inside its source, and a keyed permutation of the
 source's block numbers, another one for each pass over the source, maps the number
-to a block. Slots and blocks then join by source and block number.
+to a block. Slots and blocks then join by source and block number: ``Mix.shards`` gives
+the slots with their tokens, ``Mix.taken`` what they take of each document.
 
 Numbers inside a source come from sums over hash buckets (or shards) plus a running
 sum over the bucket totals, so no task sees a whole source. Everything is built of
@@ -15,7 +16,7 @@ Defined cases. A document's size is its number of words; null texts have size 0
 are never taken, they return with taken 0. Null is a source of its own, last in
 order. Sources without any words have target 0. Rows repeated under one id are
 documents of their own and return one row each. An empty table gives no rows.
-Further columns are ignored; the result has its own columns only.
+Further columns are ignored; the results have their own columns only.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _streams(sizes: DataFrame, buckets: int) -> DataFrame:
 
 
 def slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) -> DataFrame:
-    """``sid, block, times``: how often the mix takes each block.
+    """``sid, block, shard, slot, turn``: the block that each slot takes, and in which pass.
 
     ``plan`` has per source ``sid``, its number of ``blocks`` and the number of
     ``draws`` its target asks for.
@@ -142,72 +143,128 @@ def slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) ->
         drawn.withColumn("k", F.row_number().over(inside) - 1)
         # Rows made by explode are estimated far too low; these sides grow with the data.
         .join(first.hint("merge"), ["shard", "sid"])
-        .select("sid", (F.col("first") + F.col("k")).alias("index"))
+        .select("shard", "slot", "sid", (F.col("first") + F.col("k")).alias("index"))
         .withColumn("blocks", array([p["blocks"] for p in plan])[F.col("sid")])
         .withColumn("turn", F.expr("index div blocks"))
         # Stratified draws miss a count by a few slots at most; none passes the limit.
         .filter(F.col("turn") < PASSES)
         .withColumn("at", F.expr("index % blocks"))
     )
-    return (
-        numbered.select("sid", permuted("at", "blocks", f"{seed}, sid, turn").alias("block"))
-        .groupBy("sid", "block")
-        .agg(F.count(F.lit(1)).alias("times"))
+    return numbered.select(
+        "sid", permuted("at", "blocks", f"{seed}, sid, turn").alias("block"), "shard", "slot", "turn"
     )
 
 
-def mix(
+class Mix:
+    """A mix that is planned: where each document lies in its source, and the slots of the shards."""
+
+    def __init__(self, documents: DataFrame, block: int, shard_slots: int, seed: int, rows_per_bucket: int):
+        spark = documents.sparkSession
+        self.block = block
+        # Written once: the number that tells repeated rows apart must stay with its text.
+        self.rows = materialize(
+            documents.select(
+                "doc_id",
+                "source",
+                "text",
+                F.size(words("text")).cast("long").alias("size"),
+                # The order of a stream follows from the rows, not from how they were read.
+                F.xxhash64(F.lit("order"), "doc_id", "text").alias("place"),
+                F.monotonically_increasing_id().alias("row_id"),
+            ),
+            "mix-rows",
+        )
+        sizes = self.rows.drop("text")
+        # One row per source, a bounded list by nature.
+        totals = sorted(
+            (
+                (r["source"], r["size"], r["n"])
+                for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+            ),
+            key=lambda r: (r[0] is None, r[0] or ""),
+        )
+        targets = source_targets([r[:2] for r in totals])
+        known = [
+            {"sid": i, "source": s, "source_size": n, "target": t, "blocks": -(-n // block),
+             "draws": t * -(-n // block) / n if n else 0.0}
+            for i, ((s, n, _), t) in enumerate(zip(totals, targets))
+        ]
+        self.plan = spark.createDataFrame(
+            [(p["sid"], p["source"], p["source_size"], p["target"]) for p in known],
+            "sid int, source string, source_size long, target double",
+        )
+        self.placed = sizes.join(F.broadcast(self.plan), sizes["source"].eqNullSafe(self.plan["source"])).drop("source")
+        self.streams = self.slots = None
+        if any(p["draws"] for p in known):
+            buckets = max(1, -(-sum(r[2] for r in totals) // rows_per_bucket))
+            self.streams = _streams(self.placed, buckets)
+            self.slots = slots(spark, known, shard_slots, seed)
+
+    def parts(self, streams: DataFrame, *columns: str | Column) -> DataFrame:
+        """A row for each block that a document lies in, with the stretch that it has there."""
+        parts = streams.select(
+            "row_id", "sid", "start", "size", *columns,
+            F.explode(F.expr(f"sequence(start div {self.block}, (start + size - 1) div {self.block})")).alias("block"),
+        )
+        return parts.withColumns(
+            {
+                "since": F.expr(f"greatest(start, block * {self.block})"),
+                "overlap": F.expr(
+                    f"least(start + size, (block + 1) * {self.block}) - greatest(start, block * {self.block})"
+                ),
+            }
+        )
+
+    def taken(self) -> DataFrame:
+        """``doc_id, size, source_size, target, taken`` of every document."""
+        columns = ("doc_id", "size", "source_size", "target")
+        if self.streams is None:
+            return self.placed.select(*columns, F.lit(0).cast("long").alias("taken"))
+        times = self.slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+        taken = (
+            self.parts(self.streams)
+            .join(times.hint("merge"), ["sid", "block"])
+            .groupBy("row_id")
+            .agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+        )
+        return self.placed.join(taken.hint("merge"), "row_id", "left").select(
+            *columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        )
+
+    def shards(self) -> DataFrame:
+        """``shard, slot, source, block, pass, tokens``: the mix, one row per slot.
+
+        ``tokens`` are the words of the block in stream order; the last block of a
+        source may be shorter. Order by ``shard`` and ``slot`` to write shards.
+        """
+        if self.streams is None:
+            return self.plan.filter("false").selectExpr(
+                "0L AS shard", "0L AS slot", "source", "0L AS block", "0 AS pass", "array('') AS tokens"
+            )
+        texts = self.rows.select("row_id", words("text").alias("words"))
+        streams = self.streams.join(texts.hint("merge"), "row_id")
+        # Each block is cut from the texts once, of at most as many parts as it has tokens.
+        blocks = (
+            self.parts(streams, "words")
+            .select("sid", "block", "since", F.expr("slice(words, cast(since - start + 1 AS int), cast(overlap AS int))").alias("part"))
+            .groupBy("sid", "block")
+            .agg(F.sort_array(F.collect_list(F.struct("since", "part"))).alias("parts"))
+            .selectExpr("sid", "block", "flatten(parts.part) AS tokens")
+        )
+        return (
+            self.slots.join(blocks.hint("merge"), ["sid", "block"])
+            .join(F.broadcast(self.plan.select("sid", "source")), "sid")
+            .select("shard", "slot", "source", "block", F.col("turn").cast("int").alias("pass"), "tokens")
+        )
+
+
+def planned(
     documents: DataFrame, block: int = 32, shard_slots: int = 1024, seed: int = 7, rows_per_bucket: int = 2_000
-) -> DataFrame:
+) -> Mix:
+    """The mix of ``documents``: its ``shards()`` are the training data, ``taken()`` sums them by document."""
+    return Mix(documents, block, shard_slots, seed, rows_per_bucket)
+
+
+def mix(documents: DataFrame, **settings) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
-    spark = documents.sparkSession
-    # Written once: the number that tells repeated rows apart must stay.
-    sizes = materialize(
-        documents.select(
-            "doc_id",
-            "source",
-            F.size(words("text")).cast("long").alias("size"),
-            # The order of a stream follows from the rows, not from how they were read.
-            F.xxhash64(F.lit("order"), "doc_id", "text").alias("place"),
-            F.monotonically_increasing_id().alias("row_id"),
-        ),
-        "mix-sizes",
-    )
-    # One row per source, a bounded list by nature.
-    totals = sorted(
-        (
-            (r["source"], r["size"], r["n"])
-            for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-        ),
-        key=lambda r: (r[0] is None, r[0] or ""),
-    )
-    targets = source_targets([r[:2] for r in totals])
-    known = [
-        {"sid": i, "source": s, "source_size": n, "target": t, "blocks": -(-n // block),
-         "draws": t * -(-n // block) / n if n else 0.0}
-        for i, ((s, n, _), t) in enumerate(zip(totals, targets))
-    ]
-    plan = spark.createDataFrame(
-        [(p["sid"], p["source"], p["source_size"], p["target"]) for p in known],
-        "sid int, source string, source_size long, target double",
-    )
-    placed = sizes.join(F.broadcast(plan), sizes["source"].eqNullSafe(plan["source"])).drop("source")
-    if not any(p["draws"] for p in known):
-        return placed.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    buckets = max(1, -(-sum(r[2] for r in totals) // rows_per_bucket))
-    parts = _streams(placed, buckets).select(
-        "row_id",
-        "sid",
-        "start",
-        "size",
-        F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"),
-    )
-    taken = (
-        parts.join(slots(spark, known, shard_slots, seed).hint("merge"), ["sid", "block"])
-        .withColumn("overlap", F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})"))
-        .groupBy("row_id")
-        .agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
-    )
-    return placed.join(taken.hint("merge"), "row_id", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+    return planned(documents, **settings).taken()

@@ -52,3 +52,25 @@ def test_empty_tables(documents, odd):
     assert rows(mixing.mix(documents([]))) == []
     assert rows(mixing.mix(documents([(1, None), (2, "")]))) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     assert len(rows(mixing.mix(documents(odd)))) == len(odd)
+
+
+def test_shards_hold_the_texts(documents):
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(1 + i * 37 % 90)), None, f"s{i % 3}" if i % 7 else None) for i in range(120)]
+    made = mixing.planned(documents([*docs, (900, None, None, "s0")]), block=16, shard_slots=64)
+    taken = {r.doc_id: r.taken for r in made.taken().collect()}
+    shards = made.shards().collect()
+    text, source = {d: t.split() for d, t, _, _ in docs}, {d: s for d, _, _, s in docs}
+    places = sorted((r.shard, r.slot) for r in shards)
+    assert len(set(places)) == len(places) and max(s for _, s in places) < 64
+    counts, blocks = dict.fromkeys(taken, 0), {}
+    for r in shards:
+        assert 0 < len(r.tokens) <= 16 and 0 <= r["pass"] < 3
+        assert blocks.setdefault((r.source, r.block), r.tokens) == r.tokens
+        before = None
+        for token in r.tokens:
+            doc, at = map(int, token[1:].split("w"))
+            assert text[doc][at] == token and source[doc] == r.source
+            # Tokens follow each other in their document, and the next document starts anew.
+            assert before is None or at == (before[1] + 1 if before[0] == doc else 0)
+            before, counts[doc] = (doc, at), counts[doc] + 1
+    assert counts == taken
