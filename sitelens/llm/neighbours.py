@@ -9,7 +9,8 @@ the ``k``-th similarity found: the neighbours are exact. They vote by squared
 similarity against a prior weight for the share of positive examples that have no
 vocabulary term at all; leave-one-out votes of the examples calibrate the result.
 
-Near copies under one label count as one example. At most ``sample`` labelled rows outside the held-out fold become examples, chosen by
+Near copies under one label, confirmed by their three-word windows, count as one
+example. At most ``sample`` labelled rows outside the held-out fold become examples, chosen by
 hash, and the vocabulary has at most ``max_terms`` terms, so the index is bounded and
 goes to every task. All texts are scored whole.
 
@@ -77,14 +78,42 @@ def _sketch(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def distinct_examples(examples: DataFrame) -> DataFrame:
-    """One of the near copies under a label: a text that was copied a lot proves no more than once."""
-    return (
-        examples.withColumn("sketch", _sketch("text"))
-        .groupBy("y", "sketch")
+def _windows(text: str | None) -> set[str]:
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+
+
+@F.pandas_udf(T.DoubleType())
+def _resemblance(texts: pd.Series, others: pd.Series) -> pd.Series:
+    """Jaccard similarity of two texts' three-word windows."""
+
+    def one(a: set[str], b: set[str]) -> float:
+        return len(a & b) / len(a | b)
+
+    return pd.Series([one(_windows(a), _windows(b)) for a, b in zip(texts, others)], dtype=float)
+
+
+def distinct_examples(examples: DataFrame, least: float = 0.8) -> DataFrame:
+    """One of the near copies under a label: a text that was copied a lot proves no more than once.
+
+    Equal sketches only propose a copy; it goes if its windows resemble those of the
+    one that is kept by ``least`` or more. Others of a group stay, less exact copies.
+    """
+    plain = F.array_join(F.split(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+"), " ")
+    once = (
+        examples.groupBy("y", F.sha2(plain, 256).alias("_plain"))
         .agg(F.min(F.struct("doc_id", "text")).alias("first"))
         .select("first.doc_id", "first.text", "y")
     )
+    groups = once.withColumn("sketch", _sketch("text"))
+    kept = groups.groupBy("y", "sketch").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    # As many rows as the sample has at most; ids are unique in it, rows repeated under one are not.
+    met = groups.join(kept, ["y", "sketch"]).withColumn("resemblance", _resemblance("text", "first.text"))
+    copy = F.col("resemblance") >= least
+    return (
+        met.filter(~copy).select("doc_id", "text", "y").distinct()
+        .unionByName(kept.select("first.doc_id", "first.text", "y"))
+    )
 
 
 def chosen_terms(

@@ -193,3 +193,15 @@ def test_words_and_pairs_are_counted_apart(spark, documents):
             losses.append(loss / (len(full) - 1))
         want.append((d, len(full) - 1, round(losses[0] - losses[1], 7)))
     assert mine == sorted(want)
+
+
+def test_only_confirmed_copies_are_dropped(spark):
+    shared = " ".join(f"boiler{i} plate{i}" for i in range(12))
+    texts = [f"{shared} {' '.join(f'own{d}x{i}' for i in range(12))}" for d in range(20)]
+    rows = [(d, t, 1) for d, t in enumerate(texts)]
+    rows += [(100 + d, t, 1) for d, t in enumerate(texts)] + [(200, None, 1), (201, "", 1), (202, texts[0], 0)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, y INT")
+    got = sorted((r.doc_id, r.y) for r in neighbours.distinct_examples(df).collect())
+    # Texts that share a passage stay, be it that their sketches meet; repeated texts under a kept one go.
+    assert {(d, 1) for d in range(20)} | {(200, 1), (202, 0)} <= set(got)
+    assert len(got) == 22
