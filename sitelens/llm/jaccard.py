@@ -19,8 +19,10 @@ that of the hashes. Points are dealt by those n-grams, into buckets.
   whole with the tree, pairs inside a component passed over. Large buckets are cut into
   blocks, and tasks take pairs of blocks.
 
-The result is the component of every document: no pair between different sets is lost,
-and no list of all pairs in a group is ever made.
+The result is the component of every document, and components only: no link that joins
+two components is lost, but pairs inside a component found so far are not verified, so
+neither the pairs nor the number of links of a document can be had. No list of all pairs
+in a group is ever made.
 
 Defined cases. Words are split at ASCII blanks, A-Z in lower case. Fewer words than an
 n-gram are one n-gram of their own length. A text without words, or null, has an empty
