@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelens.llm.common import labelled
-from sitelens.llm import divergence, entropy, gam, jaccard, lines, mixing, neighbours, randomness, templates, warc
+from sitelens.llm import (
+    divergence,
+    entropy,
+    gam,
+    jaccard,
+    lines,
+    mixing,
+    neighbours,
+    randomness,
+    resampling,
+    simhash,
+    spelling,
+    templates,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +76,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_gam_quality": op1_gam_quality,
     "op2_template_decontamination": op2_template_decontamination,
@@ -73,4 +99,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_simhash_variants": op13_simhash_variants,
 }
