@@ -519,6 +519,83 @@ SELECT host, section, CAST(seq AS BIGINT) AS seq, url, CAST(n_links AS INTEGER)
        CAST(size AS BIGINT) AS size, kind, CAST(status AS INTEGER) AS status
 FROM report_rows""",
 )
+ORACLES["loaded_documents"] = ORACLES["site_report_json"]
+
+
+def _quoted(value: str) -> str:
+    return f"CAST(to_json({value}) AS VARCHAR)"
+
+
+def _line(indent: int, *parts: str) -> str:
+    """A line of a document: a line break, the indent, then SQL texts."""
+    return " || ".join([f"chr(10) || '{' ' * indent}'", *parts])
+
+
+def _pretty_fields(**fields: str) -> str:
+    lines = [_line(6, f"""'"{k}": ' || {v}""") for k, v in fields.items()]
+    return "'    {' || " + " || ',' || ".join(lines) + " || " + _line(4, "'}'")
+
+
+# Fixed here, as the given pages have them: no named meta tags, headings of one level.
+_CTE["document_entries"] = f"""
+SELECT e.host, 1 AS section_no, '' AS lang, e.k AS seq,
+       {_pretty_fields(
+           url=_quoted("e.url"),
+           links=f"""CASE WHEN l.links IS NULL THEN '[]' ELSE '[' || {_line(8, f"array_to_string(list_transform(l.links, lambda x: {_quoted('x')}), ',' || chr(10) || '        ')")} || {_line(6, "']'")} END""",
+           meta="'{}'",
+           headings=f"""CASE WHEN e.h1 = '' THEN '{{}}' ELSE '{{' || {_line(8, f"""'"h1": ['""")} || {_line(10, _quoted("e.h1"))} || {_line(8, "']'")} || {_line(6, "'}'")} END""",
+           headers="'{}'",
+       )} AS pretty,
+       '{{"url":' || {_quoted("e.url")} || ',"links":' || coalesce(CAST(to_json(l.links) AS VARCHAR), '[]')
+       || ',"meta":{{}},"headings":' || CASE WHEN e.h1 = '' THEN '{{}}' ELSE '{{"h1":[' || {_quoted("e.h1")} || ']}}' END
+       || ',"headers":{{}}}}' AS compact
+FROM (SELECT *, trim({_decoded(_HEADING)}) AS h1 FROM report_entries r) e
+LEFT JOIN (SELECT page_id, list(link ORDER BY pos) AS links FROM parsed_ranked GROUP BY page_id) l ON l.page_id = e.page_id
+UNION ALL
+SELECT host, 2, '', seq,
+       {_pretty_fields(name=_quoted("regexp_extract(url, '[^/]*$')"), url=_quoted("url"), size="CAST(size AS VARCHAR)", mime=_quoted("kind"))},
+       '{{"name":' || {_quoted("regexp_extract(url, '[^/]*$')")} || ',"url":' || {_quoted("url")} || ',"size":' || CAST(size AS VARCHAR)
+       || ',"mime":' || {_quoted("kind")} || '}}'
+FROM report_rows WHERE section = 'documents'
+UNION ALL
+SELECT host, 3, '', seq,
+       {_pretty_fields(url=_quoted("url"), status="CAST(status AS VARCHAR)", type=_quoted("kind"), size="CAST(size AS VARCHAR)")},
+       '{{"url":' || {_quoted("url")} || ',"status":' || CAST(status AS VARCHAR) || ',"type":' || {_quoted("kind")}
+       || ',"size":' || CAST(size AS VARCHAR) || '}}'
+FROM report_rows WHERE section = 'hidden_resources'
+UNION ALL
+SELECT host, 4, kind, seq, '      ' || {_quoted("url")}, {_quoted("url")} FROM report_rows WHERE section = 'locales'"""
+
+
+def _documents(layout: str) -> str:
+    pad, gap = ("  ", ": ") if layout == "pretty" else ("", ":")
+    return _with(
+        *_ALL,
+        "report_rows",
+        "document_entries",
+        select=f""",
+headings AS (SELECT * FROM (VALUES (1, 'pages'), (2, 'documents'), (3, 'hidden_resources'), (4, 'locales')) t(section_no, name)),
+pieces AS (
+  SELECT host, section_no, lang, 1 AS part, seq, {layout} || CASE WHEN seq < max(seq) OVER (PARTITION BY host, section_no, lang)
+         THEN ',' ELSE '' END AS text FROM document_entries
+  UNION ALL SELECT host, 0, '', 0, 0, '{{' FROM sites
+  UNION ALL SELECT s.host, h.section_no, '', CASE h.section_no WHEN 4 THEN -1 ELSE 0 END, 0,
+         '{pad}"' || h.name || '"{gap}' || CASE h.section_no WHEN 4 THEN '{{' ELSE '[' END
+         || CASE WHEN (s.host, h.section_no) IN (SELECT host, section_no FROM document_entries) THEN ''
+                 WHEN h.section_no = 4 THEN '}}' ELSE '],' END
+  FROM sites s CROSS JOIN headings h
+  UNION ALL SELECT DISTINCT host, section_no, '', 2, 0, '{pad}],' FROM document_entries WHERE section_no < 4
+  UNION ALL SELECT DISTINCT host, 4, lang, 0, 0, '{pad * 2}' || {_quoted("lang")} || '{gap}[' FROM document_entries WHERE section_no = 4
+  UNION ALL SELECT host, 4, lang, 2, 0, '{pad * 2}]' || CASE WHEN lang < max(lang) OVER (PARTITION BY host) THEN ',' ELSE '' END
+  FROM (SELECT DISTINCT host, lang FROM document_entries WHERE section_no = 4) l
+  UNION ALL SELECT DISTINCT host, 5, '', 0, 0, '{pad}}}' FROM document_entries WHERE section_no = 4
+  UNION ALL SELECT host, 5, '', 2, 0, '}}' FROM sites)
+SELECT host, row_number() OVER (PARTITION BY host ORDER BY section_no, lang, part, seq) AS place, text FROM pieces""",
+    )
+
+
+ORACLES["site_documents"] = _documents("pretty")
+ORACLES["site_documents_compact"] = _documents("compact")
 _SECTION_COUNTS = ", ".join(
     f"count(*) FILTER (WHERE section = '{x}') AS n_{x}" for x in ("pages", "documents", "hidden_resources", "locales")
 )

@@ -10,9 +10,10 @@ from sitelens.functions import urls
 from sitelens.functions.sql import let
 from sitelens.operators import admission, crawl, dedup, links, locales, outcomes, robots
 from sitelens.operators.discovery import hidden_resources
+from sitelens.operators.ranking import number_by_order
 from sitelens.plans import derived, report, scan
 from sitelens.session import materialize, scratch_path, tune, write_table
-from sitelens.sources import reports, requests, sitemaps, snapshots, wordlists
+from sitelens.sources import documents, reports, requests, sitemaps, snapshots, wordlists
 from sitelens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,18 +367,19 @@ def _report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @query
 def site_report(spark, sf_dir):
-    """Counts need no parsed text, no sizes and no positions."""
-    pages = _site_pages(spark, sf_dir)
-    located = derived.hosted(spark, sf_dir, "html").withColumnRenamed("host", "site")
+    """Counts need no sizes and no positions; pages are parsed once."""
+    entries = materialize(
+        report.parsed_entries(_site_pages(spark, sf_dir), ("hrefs", *locales.LANGUAGE_FIELDS)), "entries"
+    )
     return _as_host(
         report.counts(
             derived.sites(spark, sf_dir),
-            pages=derived.hosted(spark, sf_dir).withColumnRenamed("host", "site"),
-            documents=report.document_entries(report.parsed_entries(pages, ("hrefs",))),
+            pages=entries,
+            documents=report.document_entries(entries),
             hidden=report.hidden_table(
                 _bases(spark, sf_dir), _words(spark, sf_dir), derived.responses(spark, sf_dir)
             ),
-            locales=locales.page_locales(located, derived.locale_rules(), "site"),
+            locales=locales.classify(entries, derived.locale_rules(), "site"),
         )
     )
 
@@ -405,11 +407,9 @@ def _field(name: str) -> str:
     return f"get_json_object(json, '$.{name}')"
 
 
-@query
-def site_report_json(spark, sf_dir):
+def _entry_values(rows: DataFrame) -> DataFrame:
     """Values read back from the JSON text of each entry."""
-    rows = reports.as_json(_report_rows(spark, sf_dir))
-    return _as_host(rows).selectExpr(
+    return _as_host(reports.as_json(rows)).selectExpr(
         "host",
         "section",
         "seq",
@@ -421,6 +421,36 @@ def site_report_json(spark, sf_dir):
     )
 
 
+@query
+def site_report_json(spark, sf_dir):
+    return _entry_values(_report_rows(spark, sf_dir))
+
+
+def _placed_pieces(spark: SparkSession, sf_dir: str, pretty: bool) -> DataFrame:
+    """Every piece of every site's document with its place in it."""
+    rows = materialize(_report_rows(spark, sf_dir), "report-rows")
+    placed = number_by_order(documents.pieces(rows, pretty), ["site"], list(documents.PLACE), "place")
+    return _as_host(placed).select("host", "place", "text")
+
+
+@query
+def site_documents(spark, sf_dir):
+    return _placed_pieces(spark, sf_dir, pretty=True)
+
+
+@query
+def site_documents_compact(spark, sf_dir):
+    return _placed_pieces(spark, sf_dir, pretty=False)
+
+
+@query
+def loaded_documents(spark, sf_dir):
+    """Reports written as documents and loaded from them again."""
+    path = scratch_path(spark, "documents")
+    documents.write_documents(_report_rows(spark, sf_dir), path)
+    return _entry_values(documents.read_documents(spark, path))
+
+
 @query
 def report_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "reports")

@@ -12,6 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(
     set(QUERIES)
     - {"crawl_reachable", "crawl_budget", "crawl_misses", "requested_crawl", "site_report", "site_report_json", "report_roundtrip"}
+    - {"site_documents", "site_documents_compact", "loaded_documents"}
     - {name for name in QUERIES if name.startswith("stream")}
     - {"rate_audit"}
 )
@@ -70,6 +71,12 @@ def test_rounds_read_the_graph_in_place(spark):
     assert "Bucketed: true" in text
 
 
+def test_a_report_parses_its_pages_once(spark):
+    """What the report reads after its entries are written has no tokenizer and no markup."""
+    text = plan(QUERIES["site_report"](spark, SF_DIR))
+    assert "ArrowEvalPython" not in text and "html" not in text
+
+
 def test_outcomes_aggregate_before_the_shuffle(spark):
     text = plan(QUERIES["fetch_outcomes"](spark, SF_DIR))
     assert "partial_min" in text and "SortAggregate" not in text
