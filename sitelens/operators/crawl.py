@@ -8,7 +8,7 @@ its URLs.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -17,7 +17,9 @@ from sitelens.functions import urls
 from sitelens.functions.sql import each, keep
 from sitelens.operators.links import crawl_base, internal
 from sitelens.operators.robots import site_rules
-from sitelens.session import materialize, materialize_bucketed
+from sitelens.session import LeveledTable, materialize, materialize_bucketed
+
+_KEY = ["site", "norm"]
 
 # A link's place among the admitted ones is the long ``rank * 2**28 + pos``. A page
 # text is at most 2 GB and a link takes at least eight characters, so a position
@@ -81,7 +83,7 @@ def _candidates(found: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
             F.max("max_pages").alias("max_pages"),
             F.max("seen").alias("seen"),
         )
-        .join(visited, ["site", "norm"], "left_anti")
+        .join(visited, _KEY, "left_anti")
         .withColumn("bucket", F.expr(f"shiftright(place, {_BUCKET_BITS})"))
     )
 
@@ -124,25 +126,36 @@ def crawl(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFr
 
 
 def crawl_pages(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFrame:
-    """Reachable pages as ``site, depth, rank, url, page_id``; see :func:`_levels`."""
-    queued, stored = _levels(requests, snapshot, robots)
-    return queued.join(stored, ["site", "norm"]).selectExpr(
-        "site", "depth", "rank", "norm AS url", "page_id"
+    """Reachable pages as ``site, depth, rank, url, page_id``; see :func:`_walked`."""
+    return _walked(
+        requests,
+        snapshot,
+        robots,
+        lambda visited, stored: visited.join(stored, _KEY).selectExpr(
+            "site", "depth", "rank", "norm AS url", "page_id"
+        ),
     )
 
 
 def crawl_misses(requests: DataFrame, snapshot: DataFrame, robots: DataFrame) -> DataFrame:
     """URLs that the crawl asks for and that have no stored page: ``site, depth, url``."""
-    queued, stored = _levels(requests, snapshot, robots)
-    return queued.join(stored, ["site", "norm"], "left_anti").selectExpr(
-        "site", "depth", "norm AS url"
+    return _walked(
+        requests,
+        snapshot,
+        robots,
+        lambda visited, stored: visited.join(stored, _KEY, "left_anti").selectExpr(
+            "site", "depth", "norm AS url"
+        ),
     )
 
 
-def _levels(
-    requests: DataFrame, snapshot: DataFrame, robots: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Visited URLs as ``site, depth, rank, norm``, and stored ones as ``site, norm, page_id``.
+def _walked(
+    requests: DataFrame,
+    snapshot: DataFrame,
+    robots: DataFrame,
+    result: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
+    """``result`` of the visited URLs, ``site, depth, rank, norm``, and the stored ones, ``site, norm, page_id``.
 
     ``rank`` orders the pages of one level as a breadth-first walk meets them.
 
@@ -150,18 +163,25 @@ def _levels(
     ``snapshot``: ``page_id, url, html``; ``robots``: ``site, text``. The seed is
     never checked against robots. A URL without a stored page counts as visited
     but gives no page.
+
+    The visited table has a level for each round, in the buckets of the graph. A round
+    reads its frontier, the graph and the visited keys in place and moves only the links
+    that it meets; its admitted ones are moved once, to be the next level.
     """
     requests = materialize(requests, "requests")
-    graph = materialize_bucketed(link_graph(requests, snapshot, robots), "graph", ["site", "norm"])
+    graph = materialize_bucketed(link_graph(requests, snapshot, robots), "graph", _KEY)
     deepest = requests.agg(F.max("max_depth")).head()[0]
-    frontier = materialize(_seeds(requests), "frontier")
-    queued = [frontier.selectExpr("site", "0 AS depth", "rank", "norm")]
-    for depth in range(deepest or 0):
-        visited = reduce(DataFrame.unionByName, queued).select("site", "norm")
-        found = frontier.join(graph, ["site", "norm"])
-        candidates = materialize(_candidates(found, visited, depth), "candidates")
-        frontier = materialize(_admit(candidates), "frontier")
-        if frontier.isEmpty():
-            break
-        queued.append(frontier.selectExpr("site", f"{depth + 1} AS depth", "rank", "norm"))
-    return reduce(DataFrame.unionByName, queued), graph.select("site", "norm", "page_id")
+    visited = LeveledTable(requests.sparkSession, "visited", _KEY)
+    try:
+        visited.append(_seeds(requests), 0)
+        for depth in range(deepest or 0):
+            found = visited.level(depth).join(graph, _KEY)
+            seen = visited.all().select(*_KEY)
+            candidates = materialize(_candidates(found, seen, depth), "candidates")
+            visited.append(_admit(candidates), depth + 1)
+            if visited.level(depth + 1).isEmpty():
+                break
+        walked = visited.all().selectExpr("site", "level AS depth", "rank", "norm")
+        return materialize(result(walked, graph.select("site", "norm", "page_id")), "walked")
+    finally:
+        visited.close()

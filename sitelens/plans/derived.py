@@ -147,6 +147,37 @@ def fetched_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A page's text in another alphabet, and that alphabet's bytes as code points.
+_CYRILLIC, _IN_1251, _IN_KOI8 = "абвгдежз", "àáâãäåæç", "ÁÂ×ÇÄÅÖÚ"
+
+
+def charset_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in six charsets: named by a header, marked, declared in the markup, or left to be guessed.
+
+    ``kind`` is 0: windows-1251 by the header; 1: UTF-16 with a mark; 2: windows-1252 by the
+    markup; 3: UTF-16BE by the header; 4: UTF-8 behind an unknown label; 5: KOI8-R by the markup.
+    """
+    ascii_text = r"regexp_replace(html, r'[^\x00-\x7F]', '?')"
+    cyrillic = f"translate({ascii_text}, 'abcdefgh', '{_CYRILLIC}')"
+
+    def bytes_of(table: str, content: str) -> str:
+        return f"encode(translate({content}, '{_CYRILLIC}', '{table}'), 'ISO-8859-1')"
+
+    # The declaration must stay readable, so it stands before the translated text.
+    koi8 = f"concat('<meta http-equiv=content-type content=\"text/html; charset=koi8-r\">', {cyrillic})"
+    latin = r"""replace(regexp_replace(html, r'[^\x00-\xFF]', '?'), 'charset="utf-8"', 'charset=Latin1')"""
+    return pages(spark, sf_dir).selectExpr("*", "page_id % 6 AS kind").selectExpr(
+        "page_id",
+        "url",
+        """CASE kind WHEN 0 THEN 'text/html; Charset="CP-1251"' WHEN 3 THEN 'application/json;charset=utf-16be'
+                WHEN 4 THEN 'text/html; charset=x-unknown' ELSE 'text/html' END AS content_type""",
+        f"""CASE kind WHEN 0 THEN {bytes_of(_IN_1251, cyrillic)}
+                WHEN 1 THEN concat(X'FFFE', encode(html, 'UTF-16LE')) WHEN 2 THEN encode({latin}, 'ISO-8859-1')
+                WHEN 3 THEN encode(html, 'UTF-16BE') WHEN 5 THEN {bytes_of(_IN_KOI8, koi8)}
+                ELSE encode(html, 'UTF-8') END AS body""",
+    )
+
+
 def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw wordlist lines: padded paths, blanks and repeats."""
     paths = (

@@ -212,6 +212,16 @@ ORACLES["page_scan"] = """
 SELECT page_id, url, page_id % 5 <> 0 AS is_text,
        CASE WHEN page_id % 5 <> 0 THEN CAST(length(html) AS BIGINT) END AS n_chars
 FROM pages"""
+_ASCII = "regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g')"
+ORACLES["charset_scan"] = f"""
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'windows-1251' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'windows-1252'
+                WHEN 3 THEN 'utf-16be' WHEN 4 THEN 'utf-8' ELSE 'koi8-r' END AS charset,
+       sha256(CASE page_id % 6 WHEN 0 THEN translate({_ASCII}, 'abcdefgh', 'абвгдежз')
+           WHEN 2 THEN replace(regexp_replace(html, '[^\\x00-\\xFF]', '?', 'g'), 'charset="utf-8"', 'charset=Latin1')
+           WHEN 5 THEN '<meta http-equiv=content-type content="text/html; charset=koi8-r">'
+                       || translate({_ASCII}, 'abcdefgh', 'абвгдежз')
+           ELSE html END) AS text_sha256
+FROM pages"""
 ORACLES["fetch_outcomes"] = _with("attempts", select="") + _OUTCOMES
 ORACLES["stream_fetch_outcomes"] = ORACLES["fetch_outcomes"]
 ORACLES["wordlist_entries"] = _with(

@@ -60,6 +60,13 @@ def page_scan(spark, sf_dir):
     )
 
 
+@query
+def charset_scan(spark, sf_dir):
+    """Text of bodies in six charsets."""
+    scanned = snapshots.page_scan(derived.charset_bodies(spark, sf_dir), "page_id")
+    return scanned.selectExpr("page_id", "charset", "sha2(cast(text AS binary), 256) AS text_sha256")
+
+
 @query
 def fetch_outcomes(spark, sf_dir):
     return outcomes.fetch_outcomes(derived.attempts(spark, sf_dir))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -84,3 +84,41 @@ def materialize_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFram
     # The files stay; only the name was needed, to carry the bucketing.
     spark.sql(f"DROP TABLE {table}")
     return written
+
+
+class LeveledTable:
+    """A table that grows by levels, hash-bucketed on ``keys`` like the table it is joined with.
+
+    Each level is appended under its number, a file per bucket. A level is read alone by
+    partition pruning, and all levels are read in place: joins on the keys move only the
+    other side, however many levels there are.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, keys: list[str]):
+        self.spark, self.keys = spark, keys
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"sitelens_{label}_{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, label)
+
+    def append(self, df: DataFrame, level: int) -> None:
+        (
+            df.withColumn("level", F.lit(level))
+            .repartition(self.buckets, *self.keys)
+            .write.mode("append")
+            .format("parquet")
+            .option("path", self.path)
+            .partitionBy("level")
+            .bucketBy(self.buckets, *self.keys)
+            .sortBy(*self.keys)
+            .saveAsTable(self.name)
+        )
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def level(self, level: int) -> DataFrame:
+        return self.all().filter(F.col("level") == level)
+
+    def close(self) -> None:
+        """Forget the name; what was read from the table must be written by then. The files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

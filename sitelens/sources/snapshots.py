@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from sitelens.functions import charsets
 from sitelens.functions.text import is_text_type
 
 
 def page_scan(responses: DataFrame, *keep_columns: str) -> DataFrame:
-    """Exactly one of ``text`` and ``body`` is set, by content type.
+    """Exactly one of ``text`` and ``body`` is set, by content type; ``charset`` is that of the text.
 
-    Bytes that are not valid UTF-8 become replacement characters.
+    A text body is decoded from the charset that it is marked or declared to be in; bytes
+    without a meaning there become replacement characters.
     """
     is_text = is_text_type("content_type")
-    return responses.selectExpr(
+    resolved = responses.selectExpr(
         *keep_columns,
         "url",
-        f"if({is_text}, make_valid_utf8(cast(body AS string)), NULL) AS text",
-        f"if({is_text}, NULL, body) AS body",
+        "body",
+        f"if({is_text}, {charsets.resolve('body', 'content_type')}, NULL) AS charset",
+    )
+    return charsets.with_text(resolved).selectExpr(
+        *keep_columns, "url", "charset", "text", "if(charset IS NULL, body, NULL) AS body"
     )

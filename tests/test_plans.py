@@ -1,11 +1,12 @@
 """Shape of the physical plans."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelens.operators import crawl
 from sitelens.plans import derived
 from sitelens.plans.queries import QUERIES
-from sitelens.session import materialize, materialize_bucketed
+from sitelens.session import LeveledTable, materialize_bucketed
 
 SF_DIR = "/root/testdata/sf0.001"
 # Queries that run jobs while they are built are covered by their lazy parts.
@@ -53,28 +54,34 @@ def test_native_links_send_no_plain_text_to_python(spark):
     assert "if (isnull(native_hrefs" in node[1] and ", html#" not in node[1].split("Project")[1][:60]
 
 
-def test_rounds_read_the_graph_in_place(spark):
+def test_rounds_move_only_the_links_they_meet(spark):
+    """Frontier, graph and visited keys are read in place, and a frontier is read in its own round only."""
     sites = derived.sites(spark, SF_DIR)
     graph = materialize_bucketed(
         crawl.link_graph(sites, derived.linked_pages(spark, SF_DIR), derived.robots(spark, SF_DIR)),
         "graph",
         ["site", "norm"],
     )
-    frontier = materialize(crawl._seeds(sites), "frontier")
+    visited = LeveledTable(spark, "visited", ["site", "norm"])
+    for level in range(3):
+        visited.append(crawl._seeds(sites).withColumn("norm", F.concat("norm", F.lit(str(level)))), level)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(crawl._candidates(frontier.join(graph, ["site", "norm"]), frontier, 0))
+        round_ = crawl._candidates(visited.level(2).join(graph, ["site", "norm"]), visited.all().select("site", "norm"), 2)
+        text = plan(round_)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # Frontier, candidates and visited move; the graph does not.
-    assert text.count("Exchange hashpartitioning") == 3
-    assert "Bucketed: true" in text
+        visited.close()
+    # The one exchange is the met links', which the aggregation of targets needs anyway.
+    assert text.count("Exchange") == 1 and text.count("Bucketed: true") == 3
+    frontier = [line for line in text.splitlines() if "PartitionFilters" in line and "max_pages" in line]
+    assert len(frontier) == 1 and "(level#" in frontier[0] and "= 2)" in frontier[0]
 
 
 def test_a_report_parses_its_pages_once(spark):
     """What the report reads after its entries are written has no tokenizer and no markup."""
     text = plan(QUERIES["site_report"](spark, SF_DIR))
-    assert "ArrowEvalPython" not in text and "html" not in text
+    assert "ArrowEvalPython" not in text and "html#" not in text
 
 
 def test_outcomes_aggregate_before_the_shuffle(spark):
