@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(
     set(QUERIES)
     - {"crawl_reachable", "crawl_budget", "crawl_misses", "requested_crawl", "site_report", "site_report_json", "report_roundtrip"}
-    - {"site_documents", "site_documents_compact", "loaded_documents"}
+    - {"site_documents", "site_documents_compact", "loaded_documents", "robots_admission"}
     - {name for name in QUERIES if name.startswith("stream")}
     - {"rate_audit"}
 )
