@@ -191,12 +191,16 @@ def _field(page, name: str):
     return list(value.items()) if isinstance(value, dict) else value
 
 
+def fields_type(fields: Sequence[str]) -> str:
+    return "struct<" + ",".join(f"{n}:{_TYPES[n][0]}" for n in fields) + ">"
+
+
 def read_html(html: Column, fields: Sequence[str] = FIELDS) -> Column:
     """Struct of the named ``fields`` of each page; NULL in, NULL fields out."""
     fields = tuple(fields)
     with_text = bool(_TEXT_FIELDS.intersection(fields))
     types = [_TYPES[name][1] for name in fields]
-    ddl = "struct<" + ",".join(f"{n}:{_TYPES[n][0]}" for n in fields) + ">"
+    ddl = fields_type(fields)
 
     @F.arrow_udf(ddl)
     def parse_batch(pages: pa.Array) -> pa.Array:
@@ -245,22 +249,24 @@ _LEGACY = "|".join(sorted(n for n in html5 if not n.endswith(";") and n != "amp"
 _REFERENCE = rf"&(?:#|{_LEGACY}|amp(?!;)|(?!amp;)[A-Za-z0-9]+;)"
 
 
-def plain_hrefs(html: str) -> str:
-    """Link targets of plain markup, decoded, in order; NULL for any other markup."""
+def link_values(attribute_texts: str) -> str:
+    """Decoded targets of the attribute texts of links; NULL where only the tokenizer decodes one."""
 
     def target(attributes: str) -> str:
         found = f"regexp_extract_all({attributes}, {raw(_HREF)}, 1)"
         value = f"element_at({keep(found, lambda v: f"{v} <> ''")}, -1)"
         return f"regexp_replace({value}, {raw(_QUOTES)}, '')"
 
-    def decoded(attribute_texts: str) -> str:
-        unclear = f"exists({attribute_texts}, t -> t RLIKE {raw(_EMPTY_HREF)} OR t RLIKE {raw(_REFERENCE)})"
-        linked = keep(attribute_texts, lambda t: f"{t} RLIKE {raw(_HAS_HREF)}")
-        values = each(linked, lambda t: f"replace({target(t)}, '&amp;', '&')")
-        return f"if({unclear}, NULL, {values})"
+    unclear = f"exists({attribute_texts}, t -> t RLIKE {raw(_EMPTY_HREF)} OR t RLIKE {raw(_REFERENCE)})"
+    linked = keep(attribute_texts, lambda t: f"{t} RLIKE {raw(_HAS_HREF)}")
+    values = each(linked, lambda t: f"replace({target(t)}, '&amp;', '&')")
+    return f"if({unclear}, NULL, {values})"
 
+
+def plain_hrefs(html: str) -> str:
+    """Link targets of plain markup, decoded, in order; NULL for any other markup."""
     tags = f"regexp_extract_all({html}, {raw(_LINKS)}, 1)"
-    return f"if({html} RLIKE {raw(_PLAIN)}, {let(keep(tags, lambda t: f"{t} <> ''"), decoded)}, NULL)"
+    return f"if({html} RLIKE {raw(_PLAIN)}, {let(keep(tags, lambda t: f"{t} <> ''"), link_values)}, NULL)"
 
 
 _QUOTES = r"^[\x22\x27]|[\x22\x27]\z"

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sitelens.functions import urls
-from sitelens.functions.html import raw_hrefs, read_html, with_hrefs
+from sitelens.functions.html import raw_hrefs, with_hrefs
+from sitelens.functions.markup import with_fields
 from sitelens.functions.sql import each, each_indexed, keep, let, struct
 from sitelens.functions.text import strip
 
@@ -128,7 +129,7 @@ def parsed_pages(pages: DataFrame, *keep_columns: str, fields: tuple[str, ...])
         return linked.selectExpr(
             "page_id", "url", *keep_columns, f"{distinct_parsed('hrefs', 'url')} AS links"
         )
-    parsed = pages.withColumn("page", read_html(pages["html"], fields))
+    parsed = with_fields(pages.select("page_id", "url", *keep_columns, "html"), fields)
     plain = [f"page.{f} AS {f}" for f in fields if f != "hrefs"]
     links = [f"{distinct_parsed('page.hrefs', 'url')} AS links"] if "hrefs" in fields else []
     return parsed.selectExpr("page_id", "url", *keep_columns, *plain, *links)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sitelens.functions import urls
-from sitelens.functions.html import raw_hrefs, read_html
+from sitelens.functions.html import raw_hrefs
+from sitelens.functions.markup import with_fields
 from sitelens.functions.sql import each, keep, let, struct, text, texts
 
 LANGUAGE_FIELDS = ("html_lang", "hreflangs")
@@ -47,7 +48,7 @@ def url_segments(located: DataFrame, base_domain: str) -> DataFrame:
 
 def page_locales(pages: DataFrame, rules: dict[str, dict], *keep_columns: str) -> DataFrame:
     """Locales of each page; a page may have several."""
-    parsed = pages.withColumn("page", read_html(pages["html"], LANGUAGE_FIELDS))
+    parsed = with_fields(pages.select("page_id", *keep_columns, "url", "html"), LANGUAGE_FIELDS)
     return classify(
         parsed.selectExpr("page_id", *keep_columns, "url", "page.html_lang", "page.hreflangs"),
         rules,

@@ -317,6 +317,17 @@ SELECT page_id, regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS ht
        CAST(len(regexp_extract_all(html, '(?i)<meta\\s[^>]*(?:name|property)=')) AS INTEGER) AS n_meta,
        trim({_decoded(_HEADING)}) AS h1
 FROM pages"""
+# As the given pages have them: headings of one level, no named meta tags.
+ORACLES["parsed_page_values"] = _with(
+    *_PARSED,
+    select=f"""
+SELECT p.page_id, trim({_decoded("regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
+       regexp_extract(p.html, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS html_lang,
+       coalesce(string_agg(l.link, ' ' ORDER BY l.pos), '') AS links,
+       CASE WHEN p.h1 = '' THEN '{{}}' ELSE '{{"h1":[' || CAST(to_json(p.h1) AS VARCHAR) || ']}}' END AS headings, '{{}}' AS meta
+FROM (SELECT *, trim({_decoded(_HEADING)}) AS h1 FROM linked_pages) p
+LEFT JOIN parsed_ranked l ON l.page_id = p.page_id GROUP BY p.page_id, p.html, p.h1""",
+)
 ORACLES["document_links"] = _with(
     *_PARSED,
     select=f"SELECT url AS source_page, link AS url, true AS is_document FROM parsed_links WHERE {_DOCUMENT}",

@@ -152,6 +152,22 @@ def parsed_pages(spark, sf_dir):
     return parsed.selectExpr("page_id", "title", "size(links) AS n_links")
 
 
+@query
+def parsed_page_values(spark, sf_dir):
+    """What a parsed page holds: its links, title, headings and named meta tags."""
+    parsed = links.parsed_pages(
+        derived.linked_pages(spark, sf_dir), fields=("hrefs", "title", "headings", "meta", "html_lang")
+    )
+    return parsed.selectExpr(
+        "page_id",
+        "title",
+        "html_lang",
+        "array_join(links, ' ') AS links",
+        "to_json(headings) AS headings",
+        "to_json(meta) AS meta",
+    )
+
+
 @query
 def page_text(spark, sf_dir):
     return links.parsed_pages(derived.markup(spark, sf_dir), fields=("text",)).select(

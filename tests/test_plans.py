@@ -17,8 +17,6 @@ LAZY = sorted(
     - {name for name in QUERIES if name.startswith("stream")}
     - {"rate_audit"}
 )
-# Queries that need page text or other fields than links.
-TOKENIZED = {"page_text", "page_metadata", "parsed_pages", "page_locales", "last_entry_locales"}
 
 
 def plan(df):
@@ -33,8 +31,8 @@ def test_no_pairs_and_no_row_python(spark, name):
     assert text.count("ArrowEvalPython") <= 1
 
 
-@pytest.mark.parametrize("name", sorted(set(LAZY) - TOKENIZED - {"report_pages", "report_locales"}))
-def test_links_are_read_natively(spark, name):
+@pytest.mark.parametrize("name", LAZY)
+def test_plain_markup_is_read_natively(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "parse_batch" not in text or "parse_batch(rest" in text
 
