@@ -223,9 +223,8 @@ _BARE_VALUE = r"[!#$%&()*+,\-./0-9:;?@A-Z\[\]\\^_a-z{|}~]++"
 _VALUE = rf"(?:\x22[^\x22]*+\x22|\x27[^\x27]*+\x27|{_BARE_VALUE})"
 _NAME = r"[A-Za-z0-9_:.@\-]++"
 _ATTRIBUTES = rf"(?:{_WS}++{_NAME}(?:{_WS}*+={_WS}*+{_VALUE})?+)*+{_WS}*+"
-_RAW_TEXT = (
-    r"(?:<(?i:NAME)ATTRS>[^<]*+(?:<(?!/(?:\s|(?i:NAME)))[^<]*+)*+</(?i:NAME)>)"
-)
+_RAW_BODY = r"(?i:NAME)ATTRS>[^<]*+(?:<(?!/(?:\s|(?i:NAME)))[^<]*+)*+</(?i:NAME)>"
+_RAW_TEXT = rf"(?:<{_RAW_BODY})"
 _NOT_LINK = "|".join(
     [
         r"[^<]++",

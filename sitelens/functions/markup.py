@@ -19,20 +19,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitelens.functions import html as tokenizer
 from sitelens.functions.sql import each, keep, let, raw, struct, text
-from sitelens.functions.text import strip
 
 _WS = tokenizer._WS
 _VALUE = rf"(?:\x22[^\x22<>]*+\x22|\x27[^\x27<>]*+\x27|{tokenizer._BARE_VALUE})"
 _ATTRIBUTES = rf"(?:{_WS}++{tokenizer._NAME}(?:{_WS}*+={_WS}*+{_VALUE})?+)*+{_WS}*+"
 _END = rf"(?=[ \t\r\n\f/>])"
 # Cut out as a whole: what is neither a tag nor text.
-_ASIDE = "|".join(
-    [
-        r"<!--[^\-]*+(?:-[^\-]++)*+-->",
-        r"<!(?i:doctype)[^>]*+>",
-        r"<\?[^>]*+>",
-        *(tokenizer._RAW_TEXT.replace("NAME", n).replace("ATTRS", _ATTRIBUTES) for n in ("script", "style")),
-    ]
+_ASIDE = (
+    r"<(?:!(?:--[^\-]*+(?:-[^\-]++)*+-->|(?i:doctype)[^>]*+>)|\?[^>]*+>|(?=[sS])(?:"
+    + "|".join(tokenizer._RAW_BODY.replace("NAME", n).replace("ATTRS", _ATTRIBUTES) for n in ("script", "style"))
+    + "))"
 )
 _PLAIN = (
     rf"^(?:[^<]++|{_ASIDE}"
@@ -42,6 +38,9 @@ _PLAIN = (
 )
 _ANY_TAG = r"<[A-Za-z/!][^<>]*+>"
 
+# Fixed value: the characters that Python's str.strip() removes.
+_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # The references that are decoded here; all others are the tokenizer's.
 _NAMES = (
     "lt gt quot apos nbsp copy reg middot bull hellip ndash mdash lsquo rsquo ldquo rdquo laquo raquo euro trade "
@@ -68,26 +67,33 @@ def _clear(value: str) -> str:
     return f"NOT {value} RLIKE {raw(_OTHER_REFERENCE)}"
 
 
-def _pieces(markup: str) -> str:
-    """Text nodes in order, decoded and stripped, empty ones dropped."""
-    nodes = each(f"split({markup}, {raw(_ANY_TAG)})", lambda n: strip(_decoded(n)))
-    return keep(nodes, lambda n: f"{n} <> ''")
+def _stripped(value: str) -> str:
+    return f"trim(BOTH {text(_SPACE)} FROM {value})"
+
+
+def _nodes(markup: str) -> str:
+    return f"split({markup}, {raw(_ANY_TAG)})"
 
 
-def _without_tags(markup: str) -> str:
-    return f"regexp_replace({markup}, {raw(_ANY_TAG)}, ' ')"
+def _clear_nodes(nodes: str) -> str:
+    return f"forall({nodes}, n -> instr(n, '&') = 0 OR {_clear('n')})"
+
+
+def _joined(nodes: str) -> str:
+    """Text nodes in order, decoded and stripped, empty ones dropped, with blanks between."""
+    pieces = each(nodes, lambda n: _stripped(_decoded(n)))
+    return f"array_join({keep(pieces, lambda n: f"{n} <> ''")}, ' ')"
 
 
 def _text(clean: str) -> str:
-    clear = f"(instr({clean}, '&') = 0 OR {_clear(_without_tags(clean))})"
-    return f"if({clear}, array_join({_pieces(clean)}, ' '), NULL)"
+    return let(_nodes(clean), lambda n: f"if({_clear_nodes(n)}, {_joined(n)}, NULL)")
 
 
 def _title(clean: str) -> str:
     def of(rest: str) -> str:
         found = f"regexp_extract({rest}, {raw(_TITLE)}, 1)"
         simple = f"{rest} RLIKE {raw(_TITLE)} AND {_clear(found)}"
-        return f"CASE WHEN {rest} = '' THEN '' WHEN {simple} THEN {strip(_decoded(found))} END"
+        return f"CASE WHEN {rest} = '' THEN '' WHEN {simple} THEN {_stripped(_decoded(found))} END"
 
     at = f"regexp_instr({clean}, {raw(_TITLE_TAG)})"
     return let(at, lambda i: let(f"if({i} = 0, '', substr({clean}, {i}))", of))
@@ -99,15 +105,15 @@ def _headings(clean: str) -> str:
         texts = lambda l: each(keep(found, lambda h: f"{h}.level = {l}"), lambda h: f"{h}.heading")
         return f"map_from_arrays({levels}, {each(levels, texts)})"
 
-    def read(whole: str) -> str:
-        entries = each(
-            whole, lambda h: struct(level=f"lower(substr({h}, 2, 2))", heading=f"array_join({_pieces(h)}, ' ')")
-        )
+    def read(found: str) -> str:
+        entries = each(found, lambda h: struct(level=f"{h}.level", heading=_joined(f"{h}.nodes")))
         tags = f"size(regexp_extract_all({clean}, {raw(_HEADING_TAG)}, 0))"
-        clear = f"forall({whole}, h -> {_clear(_without_tags('h'))})"
-        return f"if({tags} = 2 * size({whole}) AND {clear}, {let(entries, of)}, NULL)"
+        clear = f"forall({found}, h -> {_clear_nodes('h.nodes')})"
+        return f"if({tags} = 2 * size({found}) AND {clear}, {let(entries, of)}, NULL)"
 
-    return let(f"regexp_extract_all({clean}, {raw(_HEADING)}, 0)", read)
+    whole = f"regexp_extract_all({clean}, {raw(_HEADING)}, 0)"
+    cut = each(whole, lambda h: struct(level=f"lower(substr({h}, 2, 2))", nodes=_nodes(h)))
+    return let(cut, read)
 
 
 def _tags(clean: str, name: str) -> str:
