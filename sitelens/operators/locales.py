@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from sitelens.functions import urls
 from sitelens.functions.html import raw_hrefs
 from sitelens.functions.markup import with_fields
-from sitelens.functions.sql import each, keep, let, struct, text, texts
+from sitelens.functions.sql import each, each_indexed, keep, let, raw, struct, text, texts
 
 LANGUAGE_FIELDS = ("html_lang", "hreflangs")
 
@@ -83,3 +83,42 @@ def classify(parsed: DataFrame, rules: dict[str, dict], *keep_columns: str) -> D
     ).selectExpr(
         "page_id", *keep_columns, "url", f"explode({let(urls.parse('url'), matched)}) AS lang"
     )
+
+
+_RANGE = r"^\s*([a-z0-9*]{1,8}(?:-[a-z0-9*]{1,8})*)\s*(?:;\s*q\s*=\s*(0(?:\.[0-9]{0,3})?|1(?:\.0{0,3})?)\s*)?$"
+
+
+def request_locales(requests: DataFrame, rules: dict[str, dict], header: str, *keep_columns: str) -> DataFrame:
+    """The locale that each request asks for by its ``header`` of accepted languages, or NULL.
+
+    Ranges count by weight, then by place. A range is looked up among the
+    ``accept_languages`` of the rules, then without its last subtags one after the other,
+    a single letter going with the one behind it. Weight 0 excludes a range, ``*`` names
+    no locale, and what is no range is passed over. A tag of several locales is the
+    first's.
+    """
+    tags: dict[str, str] = {}
+    for lang, rule in rules.items():
+        for tag in rule["accept_languages"]:
+            tags.setdefault(tag.lower(), lang)
+    table = "map(" + ", ".join(f"{text(t)}, {text(lang)}" for t, lang in tags.items()) + ")" if tags else "map('', '')"
+
+    def locale(tag: str) -> str:
+        def shortened(parts: str) -> str:
+            cuts = keep(
+                f"sequence(size({parts}), 1, -1)",
+                lambda n: f"{n} = size({parts}) OR length(element_at({parts}, {n})) > 1",
+            )
+            return each(cuts, lambda n: f"try_element_at({table}, array_join(slice({parts}, 1, {n}), '-'))")
+
+        return f"try_element_at(array_compact({let(f"split({tag}, '-')", shortened)}), 1)"
+
+    def weighted(item: str, place: str) -> str:
+        tag, weight = (f"regexp_extract({item}, {raw(_RANGE)}, {g})" for g in (1, 2))
+        return struct(
+            weight=f"if({weight} = '', 1.0D, cast({weight} AS double))", place=f"-{place}", lang=locale(tag)
+        )
+
+    ranges = f"split(lower(coalesce({header}, '')), ',')"
+    known = keep(each_indexed(ranges, weighted), lambda r: f"{r}.lang IS NOT NULL AND {r}.weight > 0")
+    return requests.selectExpr(*keep_columns, f"array_max({known}).lang AS lang")

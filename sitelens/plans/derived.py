@@ -237,6 +237,33 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked pages seen at quarters of an hour within ten days, every third one once more ten hours later."""
+    return (
+        linked_pages(spark, sf_dir)
+        .selectExpr("*", "explode(if(page_id % 3 = 0, array(0, 40), array(0))) AS again")
+        .selectExpr(
+            "page_id",
+            "host AS site",
+            "url",
+            "html",
+            """timestamp'2024-01-01 00:00:00'
+               + make_dt_interval(0, 0, cast(15 * (page_id * 37 % 960 + again) AS int), 0) AS ts""",
+        )
+    )
+
+
+def language_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of accepted languages of each request."""
+    return events(spark, sf_dir).selectExpr(
+        "event_id",
+        """CASE event_id % 9
+            WHEN 0 THEN 'de-CH-1996;q=0.7, en;q=0.9, fr;q=0.8' WHEN 1 THEN 'es' WHEN 2 THEN '*, ja-JP ; q=0.2'
+            WHEN 3 THEN 'de;q=0, zh-Hant-x-y;q=0.5' WHEN 4 THEN '' WHEN 5 THEN 'KO-kr;q=0.4,fr-FR;q=0.4'
+            WHEN 6 THEN 'fr;q=high, de;q=0.1' WHEN 7 THEN 'en-GB,en' END AS accept_language""",
+    )
+
+
 def wordlist_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of the stored wordlists, one per host."""
     return host_summary(spark, sf_dir).selectExpr("concat('lists/', host, '.txt') AS path")

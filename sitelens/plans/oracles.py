@@ -643,3 +643,64 @@ SELECT user_id AS site, date_trunc('day', ts)::TIMESTAMP AS window_start, count(
 FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
 GROUP BY 1, 2 HAVING count(*) > 3"""
+
+_CTE["named"] = """
+SELECT DISTINCT i.page_id, i.host, i.norm AS url, unnest(CASE WHEN i.page_id % 3 = 0 THEN [0, 40] ELSE [0] END) AS again
+FROM internal i"""
+_CTE["mentions"] = """
+SELECT host, url, TIMESTAMP '2024-01-01' + to_minutes(15 * (page_id * 37 % 960 + again)) AS ts FROM named"""
+ORACLES["stream_recent_links"] = _with(
+    *_LINKS,
+    "named",
+    "mentions",
+    select="""
+, gaps AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '3 hours 7 minutes' THEN 0 ELSE 1 END AS fresh
+  FROM mentions WINDOW w AS (PARTITION BY host, url ORDER BY ts)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY host, url ORDER BY ts) AS run FROM gaps)
+SELECT host, url, min(ts) AS first_seen, count(*) AS n FROM runs GROUP BY host, url, run
+HAVING max(ts) + INTERVAL '3 hours 7 minutes' <= (SELECT max(ts) FROM mentions) - INTERVAL '3 days 1 minute'""",
+)
+ORACLES["stream_due_retries"] = _with(
+    "attempts",
+    select="""
+, timed AS (
+  SELECT url, attempt, epoch_us(ts) // 1000 AS made_at, status IN (0, 429) OR status BETWEEN 500 AND 599 AS retried,
+         lead(epoch_us(ts) // 1000) OVER (PARTITION BY url ORDER BY ts, attempt) AS next_at
+  FROM attempts),
+scheduled AS (
+  SELECT *, made_at + 3600000 * least(CAST(pow(2, attempt) AS BIGINT), 60) AS due FROM timed WHERE retried AND attempt <= 3)
+SELECT url, attempt, epoch_ms(due) AS due FROM scheduled
+WHERE (next_at IS NULL OR next_at > due) AND due <= (SELECT max(made_at) FROM timed) - 8 * 86400000""",
+)
+ORACLES["rate_bursts"] = """
+SELECT DISTINCT user_id AS site, ts, n
+FROM (SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts
+             RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW) AS n FROM events) e
+WHERE n > 2"""
+_LANGUAGE_RANGE = "^\\s*([a-z0-9*]{1,8}(?:-[a-z0-9*]{1,8})*)\\s*(?:;\\s*q\\s*=\\s*([0-9.]+)\\s*)?$"
+ORACLES["request_locales"] = _with(
+    "locale_rules",
+    select=f"""
+, headers AS (
+  SELECT event_id, CASE event_id % 9
+      WHEN 0 THEN 'de-CH-1996;q=0.7, en;q=0.9, fr;q=0.8' WHEN 1 THEN 'es' WHEN 2 THEN '*, ja-JP ; q=0.2'
+      WHEN 3 THEN 'de;q=0, zh-Hant-x-y;q=0.5' WHEN 4 THEN '' WHEN 5 THEN 'KO-kr;q=0.4,fr-FR;q=0.4'
+      WHEN 6 THEN 'fr;q=high, de;q=0.1' WHEN 7 THEN 'en-GB,en' END AS header
+  FROM events),
+items AS (
+  SELECT event_id, generate_subscripts(l, 1) AS pos, unnest(l) AS item
+  FROM (SELECT event_id, string_split(lower(header), ',') AS l FROM headers) h),
+ranges AS (
+  SELECT event_id, pos, string_split(regexp_extract(item, '{_LANGUAGE_RANGE}', 1), '-') AS parts,
+         coalesce(TRY_CAST(nullif(regexp_extract(item, '{_LANGUAGE_RANGE}', 2), '') AS DOUBLE), 1) AS weight
+  FROM items WHERE regexp_matches(item, '{_LANGUAGE_RANGE}')),
+cuts AS (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM ranges),
+tags AS (SELECT lang, lower(unnest(tags)) AS tag FROM locale_rules),
+found AS (
+  SELECT c.event_id, c.pos, c.weight, arg_max(t.lang, c.n) AS lang
+  FROM cuts c JOIN tags t ON t.tag = array_to_string(c.parts[1:c.n], '-')
+  WHERE c.weight > 0 AND (c.n = len(c.parts) OR length(c.parts[c.n]) > 1) GROUP BY ALL),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY weight DESC, pos) = 1)
+SELECT e.event_id, b.lang FROM events e LEFT JOIN best b ON b.event_id = e.event_id""",
+)

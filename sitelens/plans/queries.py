@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelens.functions import urls
 from sitelens.functions.sql import let
-from sitelens.operators import admission, crawl, dedup, links, locales, outcomes, robots
+from sitelens.operators import admission, crawl, dedup, links, locales, outcomes, rates, robots
 from sitelens.operators.discovery import hidden_resources
 from sitelens.operators.ranking import number_by_order
 from sitelens.plans import derived, report, scan
@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {}
 _AGENT = "'TestAgent/1.0'"
 # Files of a stored table that is streamed, half of them in a batch.
 _STREAM_FILES = 8
+# Parts of a table that is streamed in the order of its times; watermarks allow for one.
+_SLICES = 4
 _RATE_LIMIT, _RATE_WINDOW, _RATE_DELAY = 3, "1 day", "1 hour"
 
 
@@ -319,6 +321,14 @@ def page_locales(spark, sf_dir):
     )
 
 
+@query
+def request_locales(spark, sf_dir):
+    """The locale that each request's header of accepted languages asks for."""
+    return locales.request_locales(
+        derived.language_headers(spark, sf_dir), derived.locale_rules(), "accept_language", "event_id"
+    )
+
+
 # Report
 
 
@@ -507,6 +517,29 @@ def stream_fetch_outcomes(spark, sf_dir):
     return jobs.run_fetch_outcomes(jobs.stream_of(attempts, folder, _STREAM_FILES // 2))
 
 
+@query
+def stream_recent_links(spark, sf_dir):
+    """Links that are new again after some hours without a mention."""
+    stream = jobs.write_by_time(derived.timed_pages(spark, sf_dir), "timed-pages", "ts", _SLICES)
+    return _as_host(jobs.run_recent_links(stream, "ts", "3 hours 7 minutes", "3 days 1 minute"))
+
+
+@query
+def stream_due_retries(spark, sf_dir):
+    """Retries that came due, with an hour as the unit."""
+    attempts = derived.attempts(spark, sf_dir).withColumn("ts", F.expr("cast(ts AS timestamp)"))
+    stream = jobs.write_by_time(attempts, "timed-attempts", "ts", _SLICES)
+    due = jobs.run_due_retries(stream, "8 days", unit_s=3600)
+    return due.selectExpr("url", "attempt", "cast(due AS timestamp_ntz) AS due")
+
+
+@query
+def rate_bursts(spark, sf_dir):
+    """Moments at which a site had more than two requests in six hours."""
+    asked = derived.events(spark, sf_dir).selectExpr("user_id AS site", "ts")
+    return rates.bursts(asked, 2, "6 hours")
+
+
 @query
 def rate_audit(spark, sf_dir):
     events = derived.events(spark, sf_dir)

@@ -11,7 +11,8 @@ from pyspark.sql.types import StructType
 
 from sitelens.operators.links import link_targets
 from sitelens.operators.outcomes import fetch_outcomes
-from sitelens.session import scratch_path
+from sitelens.session import materialize, scratch_path
+from sitelens.streaming.retries import due_retries
 
 
 def _start_empty(schema: StructType, path: str) -> None:
@@ -34,10 +35,46 @@ def new_links(pages: DataFrame) -> DataFrame:
     return found.dropDuplicates(["site", "url"])
 
 
-def recent_new_links(pages: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """As :func:`new_links` with bounded state: a link counts as new again after ``delay``."""
+def recent_new_links(pages: DataFrame, event_time: str, gap: str, delay: str) -> DataFrame:
+    """As :func:`new_links` with bounded state: a link is new again if nobody named it for ``gap``.
+
+    ``site, url, first_seen, n``: a row for each time a link was new, with the number of
+    pages that named it until it was forgotten. Rows come when the watermark, ``delay``
+    behind the latest page, passes the end of the gap; with that the link leaves the
+    state. Which batch a page comes in makes no difference; later ones than ``delay`` are
+    dropped.
+    """
     found = link_targets(pages, "site", event_time).select("site", event_time, "url")
-    return found.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["site", "url"])
+    return (
+        found.withWatermark(event_time, delay)
+        .groupBy("site", "url", F.session_window(event_time, gap).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .selectExpr("site", "url", "cast(w.start AS timestamp_ntz) AS first_seen", "n")
+    )
+
+
+def _drained(stream: DataFrame, label: str) -> DataFrame:
+    """Drain an appending stream into a written table."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    _start_empty(stream.schema, out)
+    _run(
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", state)
+    )
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_recent_links(pages: DataFrame, event_time: str, gap: str, delay: str) -> DataFrame:
+    """Drain a stream of pages into a written table of links and when they were new."""
+    return _drained(recent_new_links(pages, event_time, gap, delay), "recent-links")
+
+
+def run_due_retries(attempts: DataFrame, delay: str, retry_times: int = 3, unit_s: int = 1) -> DataFrame:
+    """Drain a stream of attempts into a written table of retries that came due."""
+    return _drained(due_retries(attempts, delay, retry_times, unit_s), "due-retries")
 
 
 def run_new_links(pages: DataFrame) -> DataFrame:
@@ -113,6 +150,24 @@ def run_rate_audit(requests: DataFrame, limit: int, window: str, delay: str) ->
     return spark.read.schema(audited.schema).parquet(out)
 
 
+def write_by_time(df: DataFrame, label: str, time: str, slices: int, files: int = 2) -> DataFrame:
+    """Write ``df`` slice after slice of its times and stream it, about a slice per batch.
+
+    Files are streamed in the order in which they were written, so that a row is at most
+    a slice late.
+    """
+    spark = df.sparkSession
+    stored = materialize(df, label)
+    folder = scratch_path(spark, f"{label}-by-time")
+    _start_empty(stored.schema, folder)
+    low, high = stored.selectExpr(f"unix_micros(min({time}))", f"unix_micros(max({time}))").head()
+    step = ((high or 0) - (low or 0)) // slices + 1
+    for i in range(slices):
+        inside = f"unix_micros({time}) - {low or 0} BETWEEN {i * step} AND {(i + 1) * step - 1}"
+        stored.filter(inside).repartition(files).write.mode("append").parquet(folder)
+    return stream_of(stored, folder, files)
+
+
 def stream_of(stored: DataFrame, folder: str, files: int | None = None) -> DataFrame:
     """Stream of the table written to ``folder``; ``files`` per batch, all at once by default."""
     reader = stored.sparkSession.readStream.schema(stored.schema)

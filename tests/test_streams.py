@@ -44,15 +44,89 @@ def test_rate_audit_keeps_closed_windows_over_the_limit(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("a", day, 3)]
 
 
-def test_links_are_new_again_after_the_delay(spark, tmp_path):
-    page = "<a href='/x'>"
-    rows = [(i, "s", "http://s/p", page, dt.datetime(2024, 1, 1, h)) for i, h in enumerate([0, 1])]
-    df = spark.createDataFrame(rows, "page_id INT, site STRING, url STRING, html STRING, ts TIMESTAMP")
-    links = jobs.recent_new_links(in_files(df, tmp_path / "in", 1), "ts", "2 hours")
+PAGE = "page_id INT, site STRING, url STRING, html STRING, ts TIMESTAMP"
+
+
+def state_rows(query):
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+
+
+def at(hours):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=round(60 * hours))
+
+
+def slices(spark, path, schema, *batches):
+    """A folder with a file per batch, written one after the other."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return jobs.stream_of(spark.read.parquet(str(path)), str(path), files=1)
+
+
+def test_links_are_new_again_after_a_gap_and_leave_the_state(spark, tmp_path):
+    def seen(*rows):
+        return [(i, "s", "http://s/p", f"<a href='/{name}'>", at(h)) for i, (name, h) in enumerate(rows)]
+
+    stream = slices(
+        spark, tmp_path / "in", PAGE,
+        seen(("x", 0), ("y", 0.5), ("x", 1)),
+        seen(("x", 2.5), *((f"t{i}", 5) for i in range(20)), ("z", 4.5)),
+        # Late, but within the delay: it joins the mentions of z.
+        seen(("z", 4), ("x", 9), ("x", 12)),
+        seen(("w", 40), ("x", 0.1)),
+        seen(("w", 41)),
+    )
+    links = jobs.recent_new_links(stream, "ts", "2 hours", "1 hour")
     query = links.writeStream.format("memory").queryName("recent").trigger(availableNow=True).option(
         "checkpointLocation", str(tmp_path / "state")).start()
     query.awaitTermination()
-    assert spark.table("recent").count() == 1
+    got = sorted((r.url[9:], r.first_seen, r.n) for r in spark.table("recent").collect() if "/t" not in r.url)
+    # x at 0.1 comes when the watermark is at 39 and is dropped; w's gap has not passed.
+    assert got == [("x", at(0), 3), ("x", at(9), 1), ("x", at(12), 1), ("y", at(0.5), 1), ("z", at(4), 2)]
+    totals = state_rows(query)
+    assert max(totals) >= 20 and totals[-1] == 1
+
+
+def due_by_hand(rows, delay_h, unit_h, retry_times=3):
+    """Ordered by time, per URL: due unless another attempt was made by then."""
+    end = max(ts for _, _, ts, _ in rows) - dt.timedelta(hours=delay_h)
+    out = []
+    for url in {r[0] for r in rows}:
+        mine = sorted((ts, k, status) for u, k, ts, status in rows if u == url)
+        for (ts, k, status), later in zip(mine, [*mine[1:], None]):
+            due = ts + dt.timedelta(hours=unit_h * min(2**k, 60))
+            retried = status is not None and (status in (0, 429) or 500 <= status < 600) and k <= retry_times
+            if retried and due <= end and (later is None or later[0] > due):
+                out.append((url, k, due))
+    return sorted(out)
+
+
+def test_retries_come_due(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for u in range(40):
+        ts = rng.randrange(100 * 60) / 60
+        for k in range(1, rng.randrange(2, 6)):
+            rows.append((f"u{u}", k, at(ts), rng.choice([500, 503, 429, 0, 200, 404, None])))
+            ts += rng.choice((0.5, 1.9, 3, 7, 30))
+    rows.append(("last", 1, at(300), 200))
+    schema = "url STRING, attempt INT, ts TIMESTAMP, status INT"
+    rows.sort(key=lambda r: r[2])
+    # Each file is shuffled and reaches two hours into the next one.
+    cut = [[r for r in rows if lo <= (r[2] - at(0)).total_seconds() / 3600 + rng.uniform(0, 2) < lo + 40] for lo in range(0, 320, 40)]
+    missing = [r for r in rows if not any(r in c for c in cut)]
+    batches = [rng.sample(c, len(c)) for c in cut if c]
+    batches[0] += missing
+    stream = slices(spark, tmp_path / "in", schema, *batches)
+    delay = 120
+    due = jobs.due_retries(stream, f"{delay} hours", unit_s=3600)
+    query = due.writeStream.format("memory").queryName("due").outputMode("append").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination()
+    got = sorted((r.url, r.attempt, r.due) for r in spark.table("due").collect())
+    flat = [r for b in batches for r in b]
+    assert got == due_by_hand(flat, delay, 1) and len(got) > 20
+    # Decided URLs are gone; what is left lies in the delay.
+    assert state_rows(query)[-1] <= len({r[0] for r in flat if r[2] > at(300 - delay)})
 
 
 def test_empty_streams_give_empty_tables(spark, tmp_path):
