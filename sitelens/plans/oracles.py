@@ -665,13 +665,13 @@ ORACLES["stream_due_retries"] = _with(
     "attempts",
     select="""
 , timed AS (
-  SELECT url, attempt, epoch_us(ts) // 1000 AS made_at, status IN (0, 429) OR status BETWEEN 500 AND 599 AS retried,
-         lead(epoch_us(ts) // 1000) OVER (PARTITION BY url ORDER BY ts, attempt) AS next_at
-  FROM attempts),
-scheduled AS (
-  SELECT *, made_at + 3600000 * least(CAST(pow(2, attempt) AS BIGINT), 60) AS due FROM timed WHERE retried AND attempt <= 3)
-SELECT url, attempt, epoch_ms(due) AS due FROM scheduled
-WHERE (next_at IS NULL OR next_at > due) AND due <= (SELECT max(made_at) FROM timed) - 8 * 86400000""",
+  SELECT url, attempt, ts, lead(ts) OVER (PARTITION BY url ORDER BY ts, attempt) AS next_ts,
+         ts + to_hours(CAST(least(pow(2, attempt), 60) AS INTEGER)) AS due,
+         coalesce(status IN (0, 429) OR status BETWEEN 500 AND 599, false) AND attempt <= 3 AS retried
+  FROM attempts)
+SELECT url, attempt, due FROM timed
+WHERE retried AND (next_ts IS NULL OR next_ts > due)
+  AND due <= (SELECT least(max(ts), max(due) FILTER (WHERE retried)) FROM timed) - INTERVAL 8 DAY""",
 )
 ORACLES["rate_bursts"] = """
 SELECT DISTINCT user_id AS site, ts, n

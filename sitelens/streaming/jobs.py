@@ -73,8 +73,8 @@ def run_recent_links(pages: DataFrame, event_time: str, gap: str, delay: str) ->
 
 
 def run_due_retries(attempts: DataFrame, delay: str, retry_times: int = 3, unit_s: int = 1) -> DataFrame:
-    """Drain a stream of attempts into a written table of retries that came due."""
-    return _drained(due_retries(attempts, delay, retry_times, unit_s), "due-retries")
+    """Drain a stream of attempts into a table of the retries that came due, each once."""
+    return _drained(due_retries(attempts, delay, retry_times, unit_s), "due-retries").distinct()
 
 
 def run_new_links(pages: DataFrame) -> DataFrame:

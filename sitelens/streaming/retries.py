@@ -1,80 +1,39 @@
-"""Retry schedule of a stream of fetch attempts: timers per URL."""
+"""Retry schedule of a stream of fetch attempts."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
 from sitelens.operators.outcomes import MAX_BACKOFF_S, RETRY_STATUS
 
-# Executors get the state function by value, so they need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_DUE = "url STRING, attempt INT, due TIMESTAMP"
-#: The retry that is waited for, if any, and the attempts that the watermark has not passed.
-_STATE = "attempt INT, due BIGINT, later_at ARRAY<BIGINT>, later_attempt ARRAY<INT>, later_retried ARRAY<BOOLEAN>"
-
 
 def due_retries(attempts: DataFrame, delay: str, retry_times: int = 3, unit_s: int = 1) -> DataFrame:
     """``url, attempt, due`` of every retry whose time came before another attempt was made.
 
     ``attempts``: ``url, attempt, ts, status``. After attempt ``k`` with a retried status
-    the next try is due ``min(2**k, 60)`` units later. A timer per URL gives it out when
-    the watermark, ``delay`` behind the latest attempt, passes that time; an attempt made
-    by then takes its place, and one with a final status or the last one allowed ends it.
-    Attempts are taken in the order of their times, however they arrive within the
-    delay, so the state of a URL holds what lies in the delay and is removed when nothing
-    is left to wait for. Later ones are dropped. Times count in milliseconds, as watermarks do.
+    the next try is due ``min(2**k, 60)`` units later, if it is one of ``retry_times``. An
+    attempt made by then, whatever its status, takes the place of the waiting one. An
+    attempt that was logged twice is waited for twice.
+
+    The wait is an outer join of the stream with itself: a failed attempt stays in the
+    state until the watermark, ``delay`` behind the latest times, passes its due time, and
+    is given out then if no later attempt has met it. Attempts stay as long as a due time
+    may still lie behind them. So the order in which rows arrive within the delay makes
+    no difference, and the state holds the delay and the longest wait, not the log.
     """
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempt, due, waiting = None, None, []
-        if state.exists:
-            attempt, due, *later = state.get
-            waiting = list(zip(*(list(x) for x in later)))
-        if not state.hasTimedOut:
-            for batch in batches:
-                waiting += zip(batch["at"].tolist(), batch["attempt"].tolist(), batch["retried"].tolist())
-        passed = state.getCurrentWatermarkMs()
-        out = []
-        waiting.sort()
-        while waiting and waiting[0][0] <= passed:
-            at, number, retried = waiting.pop(0)
-            if due is not None and at > due:
-                out.append((attempt, due))
-            attempt, due = (number, at + 1000 * unit_s * min(2**number, MAX_BACKOFF_S)) if retried else (None, None)
-        if due is not None and due <= passed:
-            out.append((attempt, due))
-            attempt, due = None, None
-        if due is None and not waiting:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((attempt, due, *([w[i] for w in waiting] for i in range(3))))
-            state.setTimeoutTimestamp(min([w[0] for w in waiting[:1]] + ([due] if due is not None else [])))
-        if out:
-            yield pd.DataFrame(
-                {
-                    "url": [key[0]] * len(out),
-                    "attempt": pd.array([a for a, _ in out], "int32"),
-                    "due": pd.to_datetime([d for _, d in out], unit="ms"),
-                }
-            )
-
-    marked = attempts.selectExpr(
-        "url",
-        "cast(attempt AS int) AS attempt",
-        "cast(ts AS timestamp) AS ts",
-        "unix_millis(cast(ts AS timestamp)) AS at",
-        f"coalesce({RETRY_STATUS}, false) AND attempt <= {retry_times} AS retried",
+    retried = f"{RETRY_STATUS} AND attempt <= {retry_times}"
+    wait = f"{unit_s} * least(shiftleft(1, least(attempt, 6)), {MAX_BACKOFF_S})"
+    failed = (
+        attempts.filter(retried)
+        .selectExpr("url", "cast(attempt AS int) AS attempt", "cast(ts AS timestamp) AS made")
+        .selectExpr("*", f"made + make_dt_interval(0, 0, 0, {wait}) AS due")
+        .withWatermark("due", delay)
     )
-    return (
-        marked.withWatermark("ts", delay)
-        .groupBy("url")
-        .applyInPandasWithState(advance, _DUE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    made = attempts.selectExpr(
+        "url AS next_url", "attempt AS next_attempt", "cast(ts AS timestamp) AS next_ts"
+    ).withWatermark("next_ts", delay)
+    by_then = F.expr(
+        f"""url = next_url AND next_ts <= due AND due <= next_ts + interval {unit_s * MAX_BACKOFF_S} seconds
+            AND (next_ts > made OR (next_ts = made AND next_attempt > attempt))"""
     )
+    return failed.join(made, by_then, "left_outer").filter("next_url IS NULL").select("url", "attempt", "due")
