@@ -94,20 +94,23 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     Words must be distinct and have at least four code points, so that a chunk has two.
     """
-    sized = words.selectExpr("word", "n", "length(word) AS size")
+    # One edit changes at most two letters of the set of letters, here bits of a number.
+    letters = "aggregate(split(word, ''), 0L, (m, c) -> m | shiftleft(1L, ascii(c) & 63))"
+    sized = words.selectExpr("word", "n", "length(word) AS size", f"{letters} AS letters")
     halves = sized.selectExpr(
-        "word AS a", "n AS n_a", "size AS size_a", "cast(size div 2 AS int) AS q",
+        "word AS a", "n AS n_a", "size AS size_a", "letters AS letters_a", "cast(size div 2 AS int) AS q",
         "explode(array(0, cast(size div 2 AS int))) AS own",
     ).selectExpr(
-        "a", "n_a", "size_a", "q", "substr(a, own + 1, q) AS gram", "explode(array(own, own + 1)) AS place"
+        "a", "n_a", "size_a", "letters_a", "q", "substr(a, own + 1, q) AS gram", "explode(array(own, own + 1)) AS place"
     )
     # The chunks of a word of this length, or one less.
     grams = sized.selectExpr(
-        "word AS b", "n AS n_b", "size AS size_b", "explode(array_distinct(array(cast(size div 2 AS int), cast((size - 1) div 2 AS int)))) AS q"
-    ).selectExpr("b", "n_b", "size_b", "q", "explode(sequence(0, size_b - q)) AS place").selectExpr(
-        "b", "n_b", "size_b", "q", "place", "substr(b, place + 1, q) AS gram"
+        "word AS b", "n AS n_b", "size AS size_b", "letters AS letters_b", "explode(array_distinct(array(cast(size div 2 AS int), cast((size - 1) div 2 AS int)))) AS q"
+    ).selectExpr("b", "n_b", "size_b", "letters_b", "q", "explode(sequence(0, size_b - q)) AS place").selectExpr(
+        "b", "n_b", "size_b", "letters_b", "q", "place", "substr(b, place + 1, q) AS gram"
     )
-    near = "(size_a < size_b OR (size_a = size_b AND a < b)) AND size_b - size_a <= 1 AND levenshtein(a, b, 1) = 1"
+    near = """size_b - size_a BETWEEN 0 AND 1 AND bit_count(letters_a ^ letters_b) <= 2
+              AND (size_a < size_b OR a < b) AND levenshtein(a, b, 1) = 1"""
     met = halves.join(grams, ["q", "place", "gram"]).filter(near)
     return met.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
