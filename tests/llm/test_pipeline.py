@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_names_are_registered():
     numbers = sorted(int(m[1]) for m in map(re.compile(r"op(\d+)_").match, entry.queries()) if m)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing",
     ]
@@ -65,3 +65,35 @@ def test_odd_rows_pass(spark, odd):
     # 6 and 7 are copies, the rest is clean.
     assert left == {1, 2, 3, 4, 5, 6, 8, None}
     assert len(corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()) == docs.count()
+
+
+def words(start, n=40):
+    return " ".join(f"w{i}" for i in range(start, start + n))
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    """Columns may have the names that the stages use themselves."""
+    rows = [
+        (1, words(0), "a"), (1, words(1000), "b"), (2, words(0) + " x", "copy"), (2, words(2000), "c"), (3, words(2000), "copy"),
+        (4, words(0), "copy"), (4, "", "d"), (None, words(0), "e"), (None, words(0), "f"), (5, words(3000), "g"), (5, words(3000), "h"),
+    ]
+    docs = spark.createDataFrame([(*r, r[2], r[2]) for r in rows], "doc_id BIGINT, text STRING, row STRING, _doc STRING, class STRING")
+    docs = materialize(docs, "test-ids")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert got.columns == docs.columns
+    assert sorted(r.row for r in got.collect()) == list("abcdefgh")
+
+
+def test_input_columns_come_back_untouched(spark):
+    schema = "predicted STRING, doc_id BIGINT, held_out STRING, text STRING, score STRING, evidence STRING, y STRING"
+    docs = materialize(spark.createDataFrame([("p", 1, "h", words(0), "s", "e", "y")], schema), "test-columns")
+    got = corpus_pipeline.toxicity(spark, docs, SF_DIR)
+    assert got.columns == docs.columns and list(map(tuple, got.collect())) == [("p", 1, "h", words(0), "s", "e", "y")]
+
+
+def test_leaks_without_id_go(spark):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").head().text
+    rows = [(None, f"{words(0)} {item} {words(50)}"), (None, words(0)), (None, None), (7, item), (8, words(9))]
+    docs = materialize(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), "test-nameless")
+    got = corpus_pipeline.decontamination(spark, docs, SF_DIR)
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, words(0)), (8, words(9))]
