@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm.common import words
 from sitelens.llm import jaccard, lines, mixing, neighbours, templates
 from sitelens.session import materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic, learnt from ``labels``."""
-    judged = neighbours.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.filter("predicted = 0").select(*docs.columns)
+    """Documents not predicted toxic, learnt from ``labels``; further columns may have any name."""
+    # Further columns go by their place meanwhile, apart from those that judging adds.
+    aside = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(a) for c, a in aside.items()))
+    kept = neighbours.toxicity(plain, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 0")
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,27 +26,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles.
 
-    The smallest id of a group stays. Documents without words or without id are no
-    copies of each other and stay. Of different texts under one id, that with the
-    smallest hash stays.
+    That with the smallest id of a group stays. Documents without words or without id are
+    no copies of each other and stay. Different texts under one id are documents of their
+    own: those that are no copies of another stay, all of them; equal ones stay together.
     """
-    found = jaccard.linked(docs, n=5, percent=80)
-    kept = (
-        found.filter("n_shingles > 0 AND doc_id = component_id")
-        .groupBy("doc_id")
-        .agg(F.min("text_id").alias("_text"))
-        .withColumnRenamed("doc_id", "_doc")
+    named = docs.filter("doc_id IS NOT NULL")
+    # Joined under a key of id and text, so that every class has a number of its own.
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    ids = named.select(key.alias("row"), F.col("doc_id").alias("id")).distinct()
+    found = jaccard.linked(named.select(key.alias("doc_id"), "text"), n=5, percent=80)
+    members = materialize(
+        found.filter("n_shingles > 0").selectExpr("doc_id AS row", "component_id AS class").distinct().join(ids, "row"),
+        "class-members",
     )
-    alone = F.col("doc_id").isNull() | (F.size(words("text")) == 0)
-    marked = docs.withColumn("_alone", alone).join(
-        kept, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_text")), "left"
-    )
-    return marked.filter("_alone OR _doc IS NOT NULL").select(*docs.columns)
+    first = members.groupBy("class").agg(F.min(F.struct("id", "row")).alias("kept"))
+    copies = materialize(members.join(first, "class").filter("row <> kept.row").select("row"), "copies")
+    return docs.join(copies, docs["doc_id"].isNotNull() & (key == copies["row"]), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no ``benchmark`` item."""
-    return templates.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that leak no ``benchmark`` item; those without id are looked up by their text."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    kept = templates.clean(docs, benchmark)
+    nameless = docs.filter("doc_id IS NULL")
+    if nameless.isEmpty():
+        return kept
+    key = F.xxhash64(nameless["text"])
+    leaking = templates.leaks(nameless.select(key.alias("doc_id"), "text"), benchmark).select("doc_id").distinct()
+    leaking = materialize(leaking.withColumnRenamed("doc_id", "row"), "nameless-leaks")
+    clean = nameless.join(leaking, key == leaking["row"], "left_anti")
+    return kept.filter("doc_id IS NOT NULL").unionByName(clean)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
