@@ -218,5 +218,5 @@ def with_fields(pages: DataFrame, fields: Sequence[str]) -> DataFrame:
     # ``rest`` is a column of its own, so that the markup is not carried past Python.
     split = native.selectExpr(*others, "native_page", "if(native_page IS NULL, html, NULL) AS rest")
     return split.withColumn("read", tokenizer.read_html(F.col("rest"), fields)).selectExpr(
-        *others, "if(native_page IS NULL, read, native_page) AS page"
+        *others, "if(rest IS NULL, native_page, read) AS page"
     )
