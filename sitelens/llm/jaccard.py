@@ -6,8 +6,9 @@ its largest coordinates, bounds all points below it. Pairs that pass the bound a
 verified on the whole sets.
 
 How points meet in a task: two sets of Jaccard similarity ``t`` share one of the
-``n - ceil(t n) + 1`` n-grams that come first in any common order; here the order is
-that of the hashes. Points are dealt by those n-grams, into buckets.
+``n - ceil(t n) + 1`` n-grams that come first in any common order; here rare ones come
+first, by counts of hash classes in a table of fixed size, then by hash. Points are dealt
+by those n-grams, into buckets.
 
 * Equal sets are one point from the start.
 * First pass: each member of a bucket is tried against the bucket's first point, in
@@ -16,8 +17,10 @@ that of the hashes. Points are dealt by those n-grams, into buckets.
 * The same once more for buckets that still hold points of different components: each
   member is tried against one earlier member.
 * Second pass: buckets that still hold points of different components are searched
-  whole with the tree, pairs inside a component passed over. Large buckets are cut into
-  blocks, and tasks take pairs of blocks.
+  whole with the tree, pairs inside a component passed over; buckets with the same points
+  are searched once. Large buckets are cut into blocks, and tasks take pairs of blocks.
+  What the tree lets through is verified there on the whole sets, and a task passes on
+  only links that join what was apart, fewer than its points.
 
 The result is the component of every document, and components only: no link that joins
 two components is lost, but pairs inside a component found so far are not verified, so
@@ -40,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from sitelens.llm.common import prepared
@@ -51,9 +55,14 @@ from sitelens.session import materialize
 GROUPS = 256
 _COARSE = 64
 _FINEST = 4096
+#: Classes of n-grams whose counts order the n-grams of a document.
+_ORDER_CLASSES = 1 << 20
 # From this place in a bucket on, a member tries one before it too.
 _CROWD = 8
 _LEAF = 32
+# N-grams of a block's sets, and pairs a task remembers as verified in vain.
+_BLOCK_NGRAMS = 1_000_000
+_REMEMBERED = 1_000_000
 _POINT = "doc_id bigint, text_id bigint, node bigint, n int, counts binary, fine binary, prefix array<bigint>"
 #: Node numbers that are looked up by broadcast; above, by shuffle.
 _MAX_BROADCAST = 1_000_000
@@ -121,7 +130,45 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _points(n: int, percent: int):
+def _order_class(shingles: np.ndarray) -> np.ndarray:
+    """Which of the counted classes a hash is in, by bits that neither groups nor ties use."""
+    return (shingles >> 20) & (_ORDER_CLASSES - 1)
+
+
+def _class_counts(n: int):
+    """How many n-grams of a task's texts fall into each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, counts = Shingles(n), np.zeros(_ORDER_CLASSES, np.int64)
+        for batch in batches:
+            found = [_order_class(shingles(text)) for text in batch.column(0).to_pylist()]
+            if found:
+                counts += np.bincount(np.concatenate(found), minlength=_ORDER_CLASSES)
+        held = np.flatnonzero(counts)
+        for s in range(0, len(held), 1 << 16):
+            at = held[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["class", "n"])
+
+    return run
+
+
+def order_levels(texts: DataFrame, n: int) -> np.ndarray:
+    """A level per class of n-grams, rising with the number of documents that hold them.
+
+    The table has a fixed size, whatever the corpus. It decides only which n-grams come
+    first in the common order, not which documents link: rare ones come first, so that
+    a passage of many documents is in few prefixes.
+    """
+    counted = texts.select("text").mapInArrow(_class_counts(n), "class int, n bigint")
+    # Two levels for each doubling.
+    sums = counted.groupBy("class").agg(F.sum("n").alias("n")).selectExpr("class", "cast(2 * log2(n) AS int) AS level")
+    table = sums.toArrow()
+    levels = np.zeros(_ORDER_CLASSES, np.uint8)
+    levels[table.column("class").to_numpy()] = table.column("level").to_numpy()
+    return levels
+
+
+def _points(n: int, percent: int, levels: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for batch in batches:
@@ -132,7 +179,9 @@ def _points(n: int, percent: int):
                     rows.append((doc_id, text_id, None, 0, None, None, None))
                     continue
                 node = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
-                prefix = found[: _prefix_length(len(found), percent)].tolist()
+                # By level, then by hash: the same order for every document.
+                ranked = np.argsort(levels.value[_order_class(found)], kind="stable")
+                prefix = found[ranked[: _prefix_length(len(found), percent)]].tolist()
                 fine = group_counts(found, _fine_groups(len(found)))
                 rows.append((doc_id, text_id, node, len(found), group_counts(found), fine, prefix))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
@@ -219,17 +268,40 @@ def _partners(percent: int):
 
 
 class CountTree:
-    """Leaves of points that lie together in size and counts, under their largest coordinates."""
+    """A binary R-tree: each node lies under the largest coordinates of its points.
+
+    Bulk-loaded from the top, by halves on the coordinate that spreads most, so all leaves
+    lie at one depth and the children of node ``i`` are ``2 i`` and ``2 i + 1``.
+    """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
-        order = np.lexsort((counts[:, 0], counts[:, 1], sizes)) if len(sizes) > _LEAF else np.arange(len(sizes))
+        order, cuts, spread = np.arange(len(sizes)), [0, len(sizes)], np.column_stack([counts, sizes])
+        while (cuts[1] - cuts[0]) > _LEAF:
+            halves = [0]
+            for s, e in zip(cuts, cuts[1:]):
+                points, half = spread[order[s:e]], (e - s) // 2
+                widest = int(np.argmax(points.max(axis=0) - points.min(axis=0)))
+                order[s:e] = order[s:e][np.argpartition(points[:, widest], half)]
+                halves += [s + half, e]
+            cuts = halves
         self.order, self.counts, self.sizes, self.groups = order, counts[order], sizes[order], groups[order]
-        cuts = np.arange(0, len(order), _LEAF)
-        self.cuts = [*cuts.tolist(), len(order)]
-        self.corner = np.maximum.reduceat(self.counts, cuts, axis=0)
-        self.least = np.minimum.reduceat(self.sizes, cuts)
-        self.most = np.maximum.reduceat(self.sizes, cuts)
-        self.low, self.high = np.minimum.reduceat(self.groups, cuts), np.maximum.reduceat(self.groups, cuts)
+        self.cuts = cuts
+        tops = [(self.counts, np.maximum), (self.sizes, np.minimum), (self.sizes, np.maximum),
+                (self.groups, np.minimum), (self.groups, np.maximum)]
+        level = [f.reduceat(x, cuts[:-1], axis=0) for x, f in tops]
+        #: From the root down: corner, least and most size, lowest and highest group of each node.
+        self.levels = [level]
+        while len(level[1]) > 1:
+            level = [f(x[::2], x[1::2]) for x, (_, f) in zip(level, tops)]
+            self.levels.insert(0, level)
+
+    def _open(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether points below both nodes may link: none shares more than the corners allow."""
+        corner, least, most, low, high = self.levels[level]
+        room = np.minimum(corner[a], corner[b]).sum(axis=1)
+        open_ = (100 + percent) * room >= percent * (least[a] + least[b])
+        open_ &= 100 * np.minimum(most[a], most[b]) >= percent * np.maximum(least[a], least[b])
+        return open_ & ~((low[a] == high[b]) & (high[a] == low[b]))
 
     def pairs(self, percent: int, cross: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points of different groups that the bounds cannot rule out.
@@ -237,32 +309,56 @@ class CountTree:
         ``cross``, one flag per point, asks for pairs between the two flags only.
         """
         flags = cross[self.order] if cross is not None else None
-        for a in range(len(self.corner)):
-            # A node's bound: no pair below it can share more than its corner allows.
-            room = np.minimum(self.corner[a], self.corner[a:]).sum(axis=1)
-            open_ = (100 + percent) * room >= percent * (self.least[a] + self.least[a:])
-            open_ &= _alike(self.most[a], np.maximum(self.least[a:], self.most[a]), percent)
-            open_ &= ~((self.low[a] == self.high[a:]) & (self.high[a] == self.low[a:]))
-            for b in (np.flatnonzero(open_) + a).tolist():
-                p, q = slice(self.cuts[a], self.cuts[a + 1]), slice(self.cuts[b], self.cuts[b + 1])
-                n, m = self.sizes[p, None], self.sizes[None, q]
-                shared = np.minimum(self.counts[p, None], self.counts[None, q]).sum(axis=2, dtype=np.int64)
-                ok = ((100 + percent) * shared >= percent * (n + m)) & _alike(n, m, percent)
-                ok &= self.groups[p, None] != self.groups[None, q]
-                if a == b:
-                    ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None]
-                if flags is not None:
-                    ok &= flags[p, None] != flags[None, q]
-                i, j = np.nonzero(ok)
-                if len(i):
-                    yield self.order[p][i], self.order[q][j]
+        a = b = np.zeros(1, np.int64)
+        for level in range(len(self.levels)):
+            if level:
+                same, a, b = a == b, 2 * a, 2 * b
+                a, b = np.concatenate([a, a, a + 1, (a + 1)[~same]]), np.concatenate([b, b + 1, b + 1, b[~same]])
+            kept = self._open(level, a, b, percent)
+            a, b = a[kept], b[kept]
+        for i, j in zip(a.tolist(), b.tolist()):
+            p, q = slice(self.cuts[i], self.cuts[i + 1]), slice(self.cuts[j], self.cuts[j + 1])
+            n, m = self.sizes[p, None], self.sizes[None, q]
+            shared = np.minimum(self.counts[p, None], self.counts[None, q]).sum(axis=2, dtype=np.int64)
+            ok = ((100 + percent) * shared >= percent * (n + m)) & _alike(n, m, percent)
+            ok &= self.groups[p, None] != self.groups[None, q]
+            if i == j:
+                ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None]
+            if flags is not None:
+                ok &= flags[p, None] != flags[None, q]
+            left, right = np.nonzero(ok)
+            if len(left):
+                yield self.order[p][left], self.order[q][right]
+
+
+class Merged:
+    """Components that a task has put together so far."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        top = x
+        while (above := self.parent.get(top, top)) != top:
+            top = above
+        while x != top:
+            self.parent[x], x = top, self.parent[x]
+        return top
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.find(x)] = self.find(y)
 
 
 def _searched(percent: int):
-    """Pairs of one task's blocks; rows come sorted by bucket and pair of blocks."""
+    """Links that join components, from one task's blocks; rows come sorted by bucket and pair of blocks.
+
+    Pairs that the tree lets through are verified on the whole sets here, and what a link
+    joins is one component from then on: a task gives fewer links than it holds
+    components, however many pairs pass the bounds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, merged, unlike = None, Merged(), set()
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if rest is not None:
@@ -271,18 +367,21 @@ def _searched(percent: int):
             ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             last = int(ends[-1]) if len(ends) else 0
             if last:
-                yield from search(table.slice(0, last), [0, *ends.tolist()])
+                yield search(table.slice(0, last), [0, *ends.tolist()], merged, unlike)
             rest = table.slice(last)
         if rest is not None and rest.num_rows:
-            yield from search(rest, [0, rest.num_rows])
+            yield search(rest, [0, rest.num_rows], merged, unlike)
 
-    def search(table: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+    def search(table: pa.Table, bounds: list[int], merged: Merged, unlike: set) -> pa.RecordBatch:
         i_block, j_block = (table.column(k).to_numpy() for k in (1, 2))
-        block, node, n, group = (table.column(k).to_numpy() for k in (3, 4, 5, 6))
+        block, node, n, component = (table.column(k).to_numpy() for k in (3, 4, 5, 6))
         counts = _coordinates(table.column(7))
-        left, right = [], []
+        members = table.column(8).combine_chunks()
+        at, members = members.offsets.to_numpy(), members.values.to_numpy()
+        group = np.array([merged.find(c) for c in component.tolist()], np.int64)
         coarse = counts.reshape(-1, GROUPS // _COARSE, _COARSE).sum(axis=1)
         n = n.astype(np.int64)
+        links = []
         for s, e in zip(bounds, bounds[1:]):
             if e - s < 2 or group[s:e].min() == group[s:e].max():
                 continue
@@ -291,11 +390,19 @@ def _searched(percent: int):
                 p, q = p + s, q + s
                 room = np.minimum(counts[p], counts[q]).sum(axis=1)
                 ok = (100 + percent) * room >= percent * (n[p] + n[q])
-                left.append(np.minimum(node[p], node[q])[ok])
-                right.append(np.maximum(node[p], node[q])[ok])
-        if left:
-            found = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+                for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+                    one, two = merged.find(int(component[x])), merged.find(int(component[y]))
+                    pair = (min(node[x], node[y]), max(node[x], node[y]))
+                    if one == two or pair in unlike:
+                        continue
+                    shared = len(np.intersect1d(members[at[x] : at[x + 1]], members[at[y] : at[y + 1]], assume_unique=True))
+                    if (100 + percent) * shared >= percent * (n[x] + n[y]):
+                        merged.join(one, two)
+                        links.append(pair)
+                    elif len(unlike) < _REMEMBERED:
+                        unlike.add(pair)
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return run
 
@@ -333,13 +440,9 @@ def _sets(n: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
-    """The ``a, b`` pairs whose whole sets are similar enough.
-
-    ``owners`` has per ``node`` the ``text_id`` and ``doc_id`` of one of its documents.
-    """
-    wanted = materialize(pairs.selectExpr("inline(array(struct(a AS node), struct(b AS node)))").distinct().join(
-        owners, "node"), "pair-nodes")
+def sets_of(nodes: DataFrame, texts: DataFrame, owners: DataFrame, n: int) -> DataFrame:
+    """``node, members``: the whole set of each of the nodes, in order, from their texts."""
+    wanted = materialize(nodes.join(owners, "node"), "pair-nodes")
     few = wanted.limit(_MAX_BROADCAST + 1).count() <= _MAX_BROADCAST
     chosen = (
         texts.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
@@ -349,9 +452,18 @@ def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, n: int, perc
         )
         .select("node", "text")
     )
-    sets = materialize(
+    return materialize(
         chosen.mapInArrow(_sets(n), "node bigint, members array<bigint>").dropDuplicates(["node"]), "pair-sets"
     )
+
+
+def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
+    """The ``a, b`` pairs whose whole sets are similar enough.
+
+    ``owners`` has per ``node`` the ``text_id`` and ``doc_id`` of one of its documents.
+    """
+    nodes = pairs.selectExpr("inline(array(struct(a AS node), struct(b AS node)))").distinct()
+    sets = sets_of(nodes, texts, owners, n)
     left = sets.selectExpr("node AS a", "members AS mine")
     right = sets.selectExpr("node AS b", "members AS theirs")
     common = "size(array_intersect(mine, theirs))"
@@ -367,9 +479,10 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     """``doc_id, text_id, n_shingles, component_id`` of every document."""
     prepared(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    levels = documents.sparkSession.sparkContext.broadcast(order_levels(texts, n))
     points = materialize(
         texts.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-        .mapInArrow(_points(n, percent), _POINT)
+        .mapInArrow(_points(n, percent, levels), _POINT)
         .withColumn("row", F.monotonically_increasing_id()),
         "points",
     )
@@ -411,18 +524,19 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     near = _bounded(_bounded(partners, vectors, "counts", percent), vectors, "fine", percent)
     first = materialize(first.unionByName(verified(near, texts, ids, n, percent)), "more-links")
     grouped, open_rows = _open_buckets(shared, vectors, first, block_rows)
+    sets = sets_of(open_rows.select("node").distinct(), texts, ids, n)
     # A bucket of k blocks goes to k (k + 1) / 2 tasks, two blocks to each.
     dealt = (
         open_rows.withColumn("block", F.expr("cast(pmod(xxhash64(node, 1), k) AS int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
         .selectExpr("shingle", "least(block, other) AS i", "greatest(block, other) AS j", "block", "node")
-        .join(grouped.hint("merge"), "node")
-        .select("shingle", "i", "j", "block", "node", "n", "component", "counts")
+        .join(grouped.join(sets, "node").hint("merge"), "node")
+        .select("shingle", "i", "j", "block", "node", "n", "component", "counts", "members")
         .repartition("shingle", "i", "j")
         .sortWithinPartitions("shingle", "i", "j", "node")
     )
-    rest = materialize(dealt.mapInArrow(_searched(percent), "a bigint, b bigint").distinct(), "second-pairs")
-    links = first.unionByName(verified(_bounded(rest, vectors, "fine", percent), texts, ids, n, percent))
+    rest = materialize(dealt.mapInArrow(_searched(percent), "a bigint, b bigint"), "second-links")
+    links = first.unionByName(rest)
     final = owners.select("node", "first_doc").join(components(links), "node", "left").selectExpr(
         "node", "first_doc", "coalesce(component, node) AS component"
     )
@@ -441,7 +555,9 @@ def _open_buckets(
 ) -> tuple[DataFrame, DataFrame]:
     """Points with their component so far, and the ``shingle, node, k`` rows of buckets that hold several.
 
-    ``k`` is the number of blocks that the bucket is cut into.
+    ``k`` is the number of blocks that the bucket is cut into, by points and by n-grams of
+    their sets. Buckets with the same points (a passage has many n-grams) are one: the
+    points' number, size and two hashes of all points tell.
     """
     grouped = materialize(
         vectors.join(components(links), "node", "left").selectExpr(
@@ -449,12 +565,23 @@ def _open_buckets(
         ),
         "grouped",
     )
-    rows = shared.select("shingle", "node").join(grouped.select("node", "component"), "node")
+    rows = shared.select("shingle", "node").join(grouped.select("node", "n", "component"), "node")
     several = (
         rows.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(
+            F.count(F.lit(1)).alias("m"),
+            F.sum("n").alias("ngrams"),
+            F.min("component").alias("lo"),
+            F.max("component").alias("hi"),
+            F.expr("bit_xor(node)").alias("mixed"),
+            F.expr("bit_xor(xxhash64(node))").alias("mixed_again"),
+        )
         .filter("lo <> hi")
-        .selectExpr("shingle", f"cast(ceil(m / {block_rows}) AS int) AS k")
+        .groupBy("m", "ngrams", "lo", "hi", "mixed", "mixed_again")
+        .agg(F.min("shingle").alias("shingle"))
+        .selectExpr(
+            "shingle", f"cast(greatest(ceil(m / {block_rows}), ceil(ngrams / {_BLOCK_NGRAMS})) AS int) AS k"
+        )
     )
     found = rows.join(several.hint("merge"), "shingle").select("shingle", "node", "k")
     return grouped, materialize(found, "open-buckets")

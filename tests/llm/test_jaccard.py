@@ -86,6 +86,36 @@ def test_bounds_never_rule_out_a_link(seed):
                 assert (j, i) in passed
 
 
+def test_links_of_the_search_stay_below_the_points(documents, monkeypatch):
+    """A crowd just below the similarity, and unlike texts around one passage."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, mutated(rng, base, rng.choice([0.015, 0.02, 0.025]))) for i in range(400)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(1000 + i, " ".join(f"own{i}w{j}" for j in range(20)) + " " + passage) for i in range(300)]
+    counted, write = {}, jaccard.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    df = documents(rows)
+    assert found(df, block_rows=64) == expected(rows)
+    assert counted["second-links"] < len(rows)
+    # The passage's n-grams lead to the same points: one bucket of the search, if any.
+    assert counted["open-buckets"] < 20 * len(rows)
+
+
+def test_order_levels_rise_with_counts(documents):
+    df = documents([(i, "a b c d " + " ".join(f"x{i}y{j}" for j in range(8))) for i in range(200)])
+    levels = jaccard.order_levels(df, 4)
+    common, rare = (jaccard._order_class(jaccard.Shingles(4)(t)) for t in ("a b c d", "x1y0 x1y1 x1y2 x1y3"))
+    assert levels[common[0]] == 15 and levels[rare[0]] < 3
+    assert not jaccard.order_levels(documents([]), 4).any()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 50), (200, 201), (201, 202), (7, 3)]
     df = spark.createDataFrame(links, "a BIGINT, b BIGINT")
