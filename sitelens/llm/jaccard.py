@@ -349,60 +349,83 @@ class Merged:
         self.parent[self.find(x)] = self.find(y)
 
 
-def _searched(percent: int):
-    """Links that join components, from one task's blocks; rows come sorted by bucket and pair of blocks.
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole buckets, with their bounds; rows come sorted by bucket and pair of blocks."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        keys = np.column_stack([table.column(i).to_numpy() for i in range(3)])
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        if last:
+            yield table.slice(0, last), [0, *ends.tolist()]
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest, [0, rest.num_rows]
+
+
+def _passed(
+    table: pa.Table, bounds: list[int], group: np.ndarray, percent: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of pairs of different groups that the tree and then all coordinates let through."""
+    i_block, j_block, block = (table.column(k).to_numpy() for k in (1, 2, 3))
+    n, counts = table.column(5).to_numpy().astype(np.int64), _coordinates(table.column(7))
+    coarse = counts.reshape(-1, GROUPS // _COARSE, _COARSE).sum(axis=1)
+    for s, e in zip(bounds, bounds[1:]):
+        if e - s < 2 or group[s:e].min() == group[s:e].max():
+            continue
+        cross = block[s:e] == i_block[s] if i_block[s] != j_block[s] else None
+        for p, q in CountTree(coarse[s:e], n[s:e], group[s:e]).pairs(percent, cross):
+            p, q = p + s, q + s
+            room = np.minimum(counts[p], counts[q]).sum(axis=1)
+            ok = (100 + percent) * room >= percent * (n[p] + n[q])
+            yield p[ok], q[ok]
+
+
+def _candidates(percent: int):
+    """Rows whose point has a partner in its pair of blocks that the bounds let through."""
 
-    Pairs that the tree lets through are verified on the whole sets here, and what a link
-    joins is one component from then on: a task gives fewer links than it holds
-    components, however many pairs pass the bounds.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _buckets(batches):
+            wanted = np.zeros(table.num_rows, bool)
+            for p, q in _passed(table, bounds, table.column(6).to_numpy(), percent):
+                wanted[p] = wanted[q] = True
+            yield from table.select(range(5)).filter(pa.array(wanted)).to_batches()
+
+    return run
+
+
+def _joined(percent: int):
+    """Links that join components, verified on the whole sets.
+
+    What a link joins is one component from then on: a task gives fewer links than it
+    holds components, however many pairs pass the bounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, merged, unlike = None, Merged(), set()
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            keys = np.column_stack([table.column(i).to_numpy() for i in range(3)])
-            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            last = int(ends[-1]) if len(ends) else 0
-            if last:
-                yield search(table.slice(0, last), [0, *ends.tolist()], merged, unlike)
-            rest = table.slice(last)
-        if rest is not None and rest.num_rows:
-            yield search(rest, [0, rest.num_rows], merged, unlike)
-
-    def search(table: pa.Table, bounds: list[int], merged: Merged, unlike: set) -> pa.RecordBatch:
-        i_block, j_block = (table.column(k).to_numpy() for k in (1, 2))
-        block, node, n, component = (table.column(k).to_numpy() for k in (3, 4, 5, 6))
-        counts = _coordinates(table.column(7))
-        members = table.column(8).combine_chunks()
-        at, members = members.offsets.to_numpy(), members.values.to_numpy()
-        group = np.array([merged.find(c) for c in component.tolist()], np.int64)
-        coarse = counts.reshape(-1, GROUPS // _COARSE, _COARSE).sum(axis=1)
-        n = n.astype(np.int64)
-        links = []
-        for s, e in zip(bounds, bounds[1:]):
-            if e - s < 2 or group[s:e].min() == group[s:e].max():
-                continue
-            cross = block[s:e] == i_block[s] if i_block[s] != j_block[s] else None
-            for p, q in CountTree(coarse[s:e], n[s:e], group[s:e]).pairs(percent, cross):
-                p, q = p + s, q + s
-                room = np.minimum(counts[p], counts[q]).sum(axis=1)
-                ok = (100 + percent) * room >= percent * (n[p] + n[q])
-                for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+        merged, unlike = Merged(), set()
+        for table, bounds in _buckets(batches):
+            node, n, component = (table.column(k).to_numpy() for k in (4, 5, 6))
+            members = table.column(8).combine_chunks()
+            at, members = members.offsets.to_numpy(), members.values.to_numpy()
+            group = np.array([merged.find(c) for c in component.tolist()], np.int64)
+            links = []
+            for p, q in _passed(table, bounds, group, percent):
+                for x, y in zip(p.tolist(), q.tolist()):
                     one, two = merged.find(int(component[x])), merged.find(int(component[y]))
-                    pair = (min(node[x], node[y]), max(node[x], node[y]))
+                    pair = (int(min(node[x], node[y])), int(max(node[x], node[y])))
                     if one == two or pair in unlike:
                         continue
                     shared = len(np.intersect1d(members[at[x] : at[x + 1]], members[at[y] : at[y + 1]], assume_unique=True))
-                    if (100 + percent) * shared >= percent * (n[x] + n[y]):
+                    if (100 + percent) * shared >= percent * (int(n[x]) + int(n[y])):
                         merged.join(one, two)
                         links.append(pair)
                     elif len(unlike) < _REMEMBERED:
                         unlike.add(pair)
-        found = np.array(links, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return run
 
@@ -524,18 +547,24 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     near = _bounded(_bounded(partners, vectors, "counts", percent), vectors, "fine", percent)
     first = materialize(first.unionByName(verified(near, texts, ids, n, percent)), "more-links")
     grouped, open_rows = _open_buckets(shared, vectors, first, block_rows)
-    sets = sets_of(open_rows.select("node").distinct(), texts, ids, n)
     # A bucket of k blocks goes to k (k + 1) / 2 tasks, two blocks to each.
     dealt = (
         open_rows.withColumn("block", F.expr("cast(pmod(xxhash64(node, 1), k) AS int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
         .selectExpr("shingle", "least(block, other) AS i", "greatest(block, other) AS j", "block", "node")
-        .join(grouped.join(sets, "node").hint("merge"), "node")
-        .select("shingle", "i", "j", "block", "node", "n", "component", "counts", "members")
-        .repartition("shingle", "i", "j")
-        .sortWithinPartitions("shingle", "i", "j", "node")
     )
-    rest = materialize(dealt.mapInArrow(_searched(percent), "a bigint, b bigint"), "second-links")
+    # Sets travel only with points that have a partner within the bounds.
+    near = materialize(
+        _by_blocks(dealt, grouped).mapInArrow(
+            _candidates(percent), "shingle bigint, i int, j int, block int, node bigint"
+        ),
+        "candidates",
+    )
+    sets = sets_of(near.select("node").distinct(), texts, ids, n)
+    rest = materialize(
+        _by_blocks(near, grouped.join(sets, "node"), "members").mapInArrow(_joined(percent), "a bigint, b bigint"),
+        "second-links",
+    )
     links = first.unionByName(rest)
     final = owners.select("node", "first_doc").join(components(links), "node", "left").selectExpr(
         "node", "first_doc", "coalesce(component, node) AS component"
@@ -550,6 +579,16 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
     )
 
 
+def _by_blocks(rows: DataFrame, points: DataFrame, *further: str) -> DataFrame:
+    """Rows of buckets with their points, a pair of blocks together."""
+    return (
+        rows.join(points.hint("merge"), "node")
+        .select("shingle", "i", "j", "block", "node", "n", "component", "counts", *further)
+        .repartition("shingle", "i", "j")
+        .sortWithinPartitions("shingle", "i", "j", "node")
+    )
+
+
 def _open_buckets(
     shared: DataFrame, vectors: DataFrame, links: DataFrame, block_rows: int
 ) -> tuple[DataFrame, DataFrame]:
