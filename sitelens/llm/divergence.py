@@ -2,14 +2,16 @@
 
 Every document gets two histograms: characters by class, and the common words of
 the four languages with all other words as one more bin. Sums over all documents of
-a language give that language's references, and a document is held against the
-references of its own ``lang`` by Jensen-Shannon distance. Small samples lie far
-from any reference by chance, so the limit grows as the expected distance of a
-sample of that length does, and a minimum length guards either comparison. Texts are
-read once, natively; what follows works on one slim row per document.
-
-Defined cases. A null text has no words. Null ``lang``, or a language with fewer than
-``min_reference`` words in all, has no reference: only the base rules decide. Rows
+a language give that language's references, smoothed by some counts of all languages
+together, and a document is held against the references of its own ``lang`` by
+Jensen-Shannon distance. Small samples lie far from any reference by chance, and small
+references from any sample, so the limit grows as the expected distance of two samples
+of these lengths does: however little text a language has, its documents are tested,
+by a limit that narrows as the text grows. A minimum length guards either comparison.
+Texts are read once, natively; what follows works on one slim row per document.
+
+Defined cases. A null text has no words. Null ``lang`` has no reference: only the base
+rules decide; such texts count towards all languages together. Rows
 repeated under one id are judged each for itself. An empty table gives no rows.
 Further columns are ignored; the result has its own columns only.
 """
@@ -119,19 +121,28 @@ def _total(array: str) -> str:
     return f"aggregate({array}, 0L, (n, x) -> n + x)"
 
 
-def references(slim: DataFrame, min_reference: int) -> DataFrame:
-    """``lang, ref_chars, ref_common``: shares per bin over all documents of a language."""
-    bins = [(name, i) for name, n in (("chars", _N_CLASSES), ("common", len(_VOCABULARY) + 1)) for i in range(n)]
-    sums = slim.filter("lang IS NOT NULL").groupBy("lang").agg(
-        F.sum("n_words").alias("n"), *(F.sum(F.col(name)[i]).alias(f"{name}{i}") for name, i in bins)
-    )
-    arrays = {
-        name: "array(" + ", ".join(f"{b}{i}" for b, i in bins if b == name) + ")" for name in ("chars", "common")
-    }
-    return sums.filter(F.col("n") >= min_reference).selectExpr(
-        "lang",
-        *(let(a, lambda v: f"transform({v}, x -> x / greatest(1, {_total(v)}))") + f" AS ref_{name}" for name, a in arrays.items()),
+def references(slim: DataFrame, smoothing: float) -> DataFrame:
+    """``lang, ref_*, size_*`` for ``chars`` and ``common``: shares per bin and items counted.
+
+    Shares are those of all documents of a language with ``smoothing`` items more, spread
+    as in all documents. One row of as many numbers as there are bins goes to the driver.
+    """
+    bins = {"chars": _N_CLASSES, "common": len(_VOCABULARY) + 1}
+    sums = materialize(
+        slim.groupBy("lang").agg(*(F.sum(F.col(b)[i]).alias(f"{b}{i}") for b, n in bins.items() for i in range(n))),
+        "language-histograms",
     )
+    pooled = sums.agg(*(F.sum(c).alias(c) for c in sums.columns if c != "lang")).head()
+    columns = ["lang"]
+    for b, n in bins.items():
+        own = f"array({', '.join(f'{b}{i}' for i in range(n))})"
+        every = [pooled[f"{b}{i}"] or 0 for i in range(n)]
+        prior = ", ".join(f"{smoothing * x / max(1, sum(every))!r}D" for x in every)
+        columns += [
+            f"zip_with({own}, array({prior}), (x, y) -> (x + y) / ({_total(own)} + {smoothing})) AS ref_{b}",
+            f"{_total(own)} AS size_{b}",
+        ]
+    return sums.filter("lang IS NOT NULL").selectExpr(*columns)
 
 
 def distance(counts: str, reference: str) -> str:
@@ -151,17 +162,17 @@ def quality_rules(
     max_chars_distance: float = 0.17,
     max_common_distance: float = 0.16,
     spread: float = 0.5,
-    min_reference: int = 10_000,
+    smoothing: float = 100,
 ) -> DataFrame:
     """Base counts, both distances and the verdict of every document.
 
-    A distance may reach its limit plus ``spread`` times the distance that a sample
-    of ``n`` items from ``k`` bins has by chance, ``sqrt(k / (8 n ln 2))``.
+    A distance may reach its limit plus ``spread`` times the distance that samples of
+    ``n`` and ``m`` items from ``k`` bins have by chance, ``sqrt(k (1/n + 1/m) / (8 ln 2))``.
     """
     # Written once: the references need all rows before any is judged.
     slim = materialize(measured(documents), "histograms")
-    chance = lambda k, n: f"{spread} * sqrt({k} / (8 * {n} * ln(2D)))"
-    judged = slim.join(references(slim, min_reference), "lang", "left").selectExpr(
+    chance = lambda k, n, m: f"{spread} * sqrt({k} * (1D / {n} + 1D / {m}) / (8 * ln(2D)))"
+    judged = slim.join(references(slim, smoothing), "lang", "left").selectExpr(
         "*",
         f"n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed",
         f"if(n_words >= {min_words}, {distance('chars', 'ref_chars')}, NULL) AS chars_distance",
@@ -170,8 +181,8 @@ def quality_rules(
     return judged.selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         f"""NOT base_failed
-            AND coalesce(chars_distance <= {max_chars_distance} + {chance(_N_CLASSES, 'word_chars')}, true)
-            AND coalesce(common_distance <= {max_common_distance} + {chance(len(_VOCABULARY), 'n_words')}, true)
+            AND coalesce(chars_distance <= {max_chars_distance} + {chance(_N_CLASSES, 'word_chars', 'size_chars')}, true)
+            AND coalesce(common_distance <= {max_common_distance} + {chance(len(_VOCABULARY), 'n_words', 'size_common')}, true)
             AS kept""",
         "chars_distance", "common_distance",
     )

@@ -47,14 +47,76 @@ def test_verdict(documents):
     rows = [(i, prose(rng, 150), "en") for i in range(120)]
     rows += [(500, " | ".join("".join(rng.choices("aeinorst", k=9)) for _ in range(150)), "en")]
     rows += [(501, prose(rng, 150).upper().replace(" ", "!! "), "en"), (502, prose(rng, 150), None), (503, prose(rng, 60), "xx")]
-    got = {r.doc_id: r for r in divergence.quality_rules(documents(rows), min_reference=1000).collect()}
+    got = {r.doc_id: r for r in divergence.quality_rules(documents(rows)).collect()}
     assert all(got[i].kept for i in range(120))
     assert not got[500].kept and not got[501].kept
-    # No language or too little of it: no reference, the base rules decide.
-    assert got[502].kept and got[502].chars_distance is None and got[503].kept
+    # No language: no reference, the base rules decide. A language of one text has one.
+    assert got[502].kept and got[502].chars_distance is None
+    assert got[503].kept and got[503].common_distance > 0
     assert divergence.quality_rules(documents([])).collect() == []
 
 
+def test_small_languages_are_tested(documents):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 150), "en") for i in range(120)]
+    rows += [(200 + i, prose(rng, 100), "yy") for i in range(40)]
+    rows += [(300, " | ".join("".join(rng.choices("0123456789#$", k=9)) for _ in range(100)), "yy")]
+    got = {r.doc_id: r for r in divergence.quality_rules(documents(rows)).collect()}
+    assert all(got[i].kept for i in range(200, 240)) and not got[300].kept and not got[300].base_failed
+
+
+def recounted(rows, smoothing=100, limits=(0.17, 0.16), spread=0.5):
+    """Both distances and the verdict of ``(doc_id, text, lang)`` rows, counted plainly."""
+    words = list(divergence.COMMON_WORDS)
+    words = sorted(set(words), key=words.index)
+
+    def histograms(text):
+        kinds = [0] * 7
+        for c in text:
+            kind = (
+                6 if c in " \t\n\x0b\x0c\r" else 0 if c.isupper() else 1 if c.isalpha() and not "a" <= c <= "z"
+                else 2 if c.isdecimal() else 3 if c in ".,;:!?()\"'-" else 4 if c in "#*$%&|<>@_/\\=+~^{}[]" else None
+            )
+            if kind is not None:
+                kinds[kind if kind < 5 else 5] += 1
+        kinds[6] = len(text) - sum(kinds[:6])
+        found = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+        common = [found[w] for w in words]
+        return kinds, [*common, max(0, len(WORD.findall(text)) - sum(common))]
+
+    def js(counts, shares):
+        p = [c / sum(counts) for c in counts]
+        terms = (x * math.log2(2 * x / (x + y)) for a, b in ((p, shares), (shares, p)) for x, y in zip(a, b) if x)
+        return math.sqrt(max(0, sum(terms) / 2))
+
+    slim = [(d, lang, text, histograms(text)) for d, text, lang in rows]
+    got = {}
+    for d, lang, text, mine in slim:
+        n_words, failed, near = len(WORD.findall(text)), base_counts(text)[-1], []
+        for k, counts in enumerate(mine):
+            own = [sum(h[k][i] for _, other, _, h in slim if other == lang) for i in range(len(counts))]
+            every = [sum(h[k][i] for _, _, _, h in slim) for i in range(len(counts))]
+            shares = [(x + smoothing * y / sum(every)) / (sum(own) + smoothing) for x, y in zip(own, every)]
+            n = (len(WORD.findall(text)) and sum(map(len, WORD.findall(text))), n_words)[k]
+            chance = math.sqrt((len(counts) - k) * (1 / n + 1 / sum(own)) / (8 * math.log(2)))
+            near.append((js(counts, shares), limits[k] + spread * chance))
+        got[d] = (near[0][0], near[1][0], not failed and all(x <= y for x, y in near))
+    return got
+
+
+def test_distances_and_verdict_against_a_recount(documents):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(50, 200)), rng.choice(["en", "fr", "zz"])) for i in range(40)]
+    rows += [(50 + i, " | ".join("".join(rng.choices("aé12#X", k=5)) for _ in range(60)), "fr") for i in range(4)]
+    rows += [(60, prose(rng, 90).title() + "!", "en"), (61, prose(rng, 60), "qq")]
+    want = recounted(rows)
+    got = {r.doc_id: r for r in divergence.quality_rules(documents(rows)).collect()}
+    assert got.keys() == want.keys() and {v[2] for v in want.values()} == {True, False}
+    for d, (chars, common, kept) in want.items():
+        assert got[d].chars_distance == pytest.approx(chars) and got[d].common_distance == pytest.approx(common)
+        assert got[d].kept == kept, d
+
+
 def test_distance(spark):
     got = spark.sql(f"SELECT {divergence.distance('c', 'q')} FROM VALUES (array(3L, 1L, 0L), array(0.5D, 0D, 0.5D)) t(c, q)").head()[0]
     p, q = [0.75, 0.25, 0], [0.5, 0, 0.5]
