@@ -45,17 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no ``benchmark`` item; those without id are looked up by their text."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    kept = templates.clean(docs, benchmark)
-    nameless = docs.filter("doc_id IS NULL")
-    if nameless.isEmpty():
-        return kept
-    key = F.xxhash64(nameless["text"])
-    leaking = templates.leaks(nameless.select(key.alias("doc_id"), "text"), benchmark).select("doc_id").distinct()
-    leaking = materialize(leaking.withColumnRenamed("doc_id", "row"), "nameless-leaks")
-    clean = nameless.join(leaking, key == leaking["row"], "left_anti")
-    return kept.filter("doc_id IS NOT NULL").unionByName(clean)
+    """Documents whose text leaks no ``benchmark`` item."""
+    return templates.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Leaks of benchmark items, exact and with other values in their slots."""
 
+import random
+
 from sitelens.llm import templates
 
 ITEMS = [
@@ -69,3 +71,59 @@ def test_a_copy_after_its_sibling_is_found(spark, documents):
     got = found(spark, documents(rows), [(1, item)])
     assert {(1, 1), (2, 1), (3, 1)} <= set(got)
     assert all(got[d, 1].n_changed == 0 and got[d, 1].similarity == 1 for d in (1, 2, 3))
+
+
+def test_short_items_are_found_verbatim(spark, documents):
+    items = [(1, "What is 17 * 24?"), (2, "Ann met Bob"), (3, "Zyzzyva"), (4, "?!"), (5, "")]
+    rows = [
+        (1, "some words. What is 17 * 24? And more"), (2, "what is 18 * 24?"), (3, "What is 17 * 24?"),
+        (4, "later Ann met Bob again"), (5, "Ann met Rob"), (6, "a ZYZZYVA"), (7, "?! nothing"), (8, "What is 17"), (9, None),
+    ]
+    got = found(spark, documents(rows + rows[:1]), items)
+    assert set(got) == {(1, 1), (3, 1), (4, 2), (6, 3)}
+    assert all(r.similarity == 1 and r.n_changed == 0 for r in got.values())
+    assert set(found(spark, documents(rows), items, max_broadcast=0)) == set(got)
+
+
+def test_texts_under_one_id_are_searched_each_for_itself(spark, documents):
+    first, second = ITEMS[0][1], ITEMS[1][1]
+    rows = [(1, first), (2, second), (3, "nothing of either is here at all"), (3, second), (None, second)]
+    # Either text of the item is found, and a document is its texts, not their sum.
+    got = found(spark, documents(rows), [(7, first), (7, second)])
+    assert set(got) == {(1, 7), (2, 7), (3, 7)} and all(r.similarity == 1 for r in got.values())
+    half = second.split()
+    split = [(4, " ".join(half[:9])), (4, " ".join(half[9:]))]
+    assert found(spark, documents(split), [(7, second)]) == {}
+    benchmark = spark.createDataFrame([(7, second)], "item_id BIGINT, text STRING")
+    kept = templates.clean(documents(rows), benchmark)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[2]])
+
+
+def windows(item, text, window=5):
+    """Brute force: the share of an item's windows that a text holds, both as templates."""
+    share = [tuple(item[i : i + window]) for i in range(len(item) - window + 1)]
+    share = share[1:] if len(share) > 1 else share
+    held = {tuple(text[i : i + window]) for i in range(len(text) - window + 1)}
+    return sum(w in held for w in share) / len(share)
+
+
+def test_shares_against_brute_force(spark, documents):
+    rng = random.Random(3)
+    words = "the cat sat on a mat while seven old dogs ran home to eat warm bread and 12 eggs".split()
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 14)))) for i in range(12)]
+    rows = []
+    for d in range(150):
+        _, item = rng.choice(items)
+        cut = [w if rng.random() > 0.04 else rng.choice(words) for w in item.split()]
+        rows.append((d, " ".join(rng.choices(words, k=rng.randint(0, 9)) + cut + rng.choices(words, k=3))))
+    plain = lambda text: ["#" if w.isdecimal() else w for w in text.split()]
+    want = {
+        (d, i): share
+        for d, text in rows
+        for i, item in items
+        if (share := windows(plain(item), plain(text))) >= 0.8
+    }
+    got = found(spark, documents(rows), items)
+    # One number stands for itself everywhere, so slots are always consistent.
+    assert len(want) > 50 and set(got) == set(want)
+    assert all(abs(got[k].similarity - share) < 1e-9 for k, share in want.items())
