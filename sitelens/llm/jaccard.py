@@ -19,8 +19,10 @@ by those n-grams, into buckets.
 * Second pass: buckets that still hold points of different components are searched
   whole with the tree, pairs inside a component passed over; buckets with the same points
   are searched once. Large buckets are cut into blocks, and tasks take pairs of blocks.
-  What the tree lets through is verified there on the whole sets, and a task passes on
-  only links that join what was apart, fewer than its points.
+  Of what the tree lets through, finer points leave what they cannot rule out (the tree's
+  groups are too few for long texts), and equal buckets of these points are one again. Then
+  whole sets verify it in the task, which passes on only links that join what was apart,
+  fewer than its points.
 
 The result is the component of every document, and components only: no link that joins
 two components is lost, but pairs inside a component found so far are not verified, so
@@ -57,12 +59,15 @@ _COARSE = 64
 _FINEST = 4096
 #: Classes of n-grams whose counts order the n-grams of a document.
 _ORDER_CLASSES = 1 << 20
+# Classes whose counts travel as one row.
+_SLICE = 1 << 12
 # From this place in a bucket on, a member tries one before it too.
 _CROWD = 8
 _LEAF = 32
-# N-grams of a block's sets, and pairs a task remembers as verified in vain.
+# N-grams of a block's sets, pairs a task remembers as verified in vain, and words it knows.
 _BLOCK_NGRAMS = 1_000_000
 _REMEMBERED = 1_000_000
+_KNOWN = 200_000
 _POINT = "doc_id bigint, text_id bigint, node bigint, n int, counts binary, fine binary, prefix array<bigint>"
 #: Node numbers that are looked up by broadcast; above, by shuffle.
 _MAX_BROADCAST = 1_000_000
@@ -78,7 +83,7 @@ class Shingles:
         words = (text or "").encode().lower().split()
         if not words:
             return np.zeros(0, np.int64)
-        if len(self.known) > 1_000_000:
+        if len(self.known) > _KNOWN:
             self.known.clear()
         known = self.known
         for word in set(words).difference(known):
@@ -108,7 +113,7 @@ def group_counts(shingles: np.ndarray, groups: int = GROUPS) -> bytes:
 
 
 def _coordinates(points: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    packed = np.frombuffer(b"".join(points.to_pylist()), np.uint8).reshape(-1, GROUPS + 1).astype(np.int64)
+    packed = np.frombuffer(b"".join(points.to_pylist()), np.uint8).reshape(-1, GROUPS + 1).astype(np.int32)
     return packed[:, 1:] << packed[:, :1]
 
 
@@ -136,22 +141,38 @@ def _order_class(shingles: np.ndarray) -> np.ndarray:
 
 
 def _class_counts(n: int):
-    """How many n-grams of a task's texts fall into each class."""
+    """How many n-grams of a task's texts fall into each class, a slice of the classes to a row.
+
+    Counts are packed byte by byte of their value, lowest first, so that the many zeros lie together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingles(n), np.zeros(_ORDER_CLASSES, np.int64)
         for batch in batches:
-            found = [_order_class(shingles(text)) for text in batch.column(0).to_pylist()]
-            if found:
-                counts += np.bincount(np.concatenate(found), minlength=_ORDER_CLASSES)
-        held = np.flatnonzero(counts)
-        for s in range(0, len(held), 1 << 16):
-            at = held[s : s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["class", "n"])
+            for text in batch.column(0).to_pylist():
+                # A set's classes repeat at times.
+                np.add.at(counts, _order_class(shingles(text)), 1)
+        slices = counts.reshape(-1, _SLICE)
+        held = np.flatnonzero(slices.any(axis=1))
+        for at in held.tolist():
+            packed = slices[at].view(np.uint8).reshape(_SLICE, 8).T.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed])], ["slice", "counts"])
 
     return run
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the slices' counts as levels: two for each doubling, a byte a class."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            counts = np.frombuffer(packed, np.uint8).reshape(8, _SLICE).T.copy().view(np.int64)[:, 0]
+            sums[at] = sums[at] + counts if at in sums else counts
+    for at, counts in sums.items():
+        levels = (2 * np.log2(np.maximum(counts, 1))).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([levels])], ["slice", "levels"])
+
+
 def order_levels(texts: DataFrame, n: int) -> np.ndarray:
     """A level per class of n-grams, rising with the number of documents that hold them.
 
@@ -159,13 +180,17 @@ def order_levels(texts: DataFrame, n: int) -> np.ndarray:
     first in the common order, not which documents link: rare ones come first, so that
     a passage of many documents is in few prefixes.
     """
-    counted = texts.select("text").mapInArrow(_class_counts(n), "class int, n bigint")
-    # Two levels for each doubling.
-    sums = counted.groupBy("class").agg(F.sum("n").alias("n")).selectExpr("class", "cast(2 * log2(n) AS int) AS level")
-    table = sums.toArrow()
-    levels = np.zeros(_ORDER_CLASSES, np.uint8)
-    levels[table.column("class").to_numpy()] = table.column("level").to_numpy()
-    return levels
+    counted = texts.select("text").mapInArrow(_class_counts(n), "slice int, counts binary")
+    levels = np.zeros((_ORDER_CLASSES // _SLICE, _SLICE), np.uint8)
+    for row in counted.repartition("slice").mapInArrow(_levels, "slice int, levels binary").collect():
+        levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(-1)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A list per array, without a Python number for each value."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def _points(n: int, percent: int, levels: Broadcast):
@@ -384,14 +409,26 @@ def _passed(
             yield p[ok], q[ok]
 
 
-def _candidates(percent: int):
-    """Rows whose point has a partner in its pair of blocks that the bounds let through."""
+def _candidates(percent: int, finer: bool = False):
+    """Rows whose point has a partner in its pair of blocks that the bounds let through.
+
+    ``finer`` bounds by the finer points too, which then are the last column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _buckets(batches):
             wanted = np.zeros(table.num_rows, bool)
+            n, fine = table.column(5).to_numpy(), table.column(8).to_pylist() if finer else None
             for p, q in _passed(table, bounds, table.column(6).to_numpy(), percent):
-                wanted[p] = wanted[q] = True
+                if not finer:
+                    wanted[p] = wanted[q] = True
+                    continue
+                open_ = ~(wanted[p] & wanted[q])
+                for x, y in zip(p[open_].tolist(), q[open_].tolist()):
+                    if not (wanted[x] and wanted[y]):
+                        room = shared_at_most(fine[x], fine[y])
+                        if (100 + percent) * room >= percent * (int(n[x]) + int(n[y])):
+                            wanted[x] = wanted[y] = True
             yield from table.select(range(5)).filter(pa.array(wanted)).to_batches()
 
     return run
@@ -456,9 +493,7 @@ def _sets(n: int):
         shingles = Shingles(n)
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], ["node", "members"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["node", "members"])
 
     return run
 
@@ -525,10 +560,10 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
         .mapInArrow(_leaders(percent), "shingle bigint, node bigint, leader bigint, before bigint"),
         "buckets",
     )
-    sized = owners.select("node", "n").join(
-        own.select("node", "counts", "fine"), "node"
+    met = owners.select("node", "row").join(shared.select("node").distinct(), "node", "left_semi")
+    vectors = materialize(
+        points.select("node", "n", "counts", "fine", "row").join(met.select("row"), "row", "left_semi").drop("row"), "vectors"
     )
-    vectors = materialize(sized.join(shared.select("node").distinct(), "node", "left_semi"), "vectors")
     ids = owners.select("node", "text_id", "doc_id")
     tried = shared.selectExpr(
         "node", "explode(array_compact(array(leader, before))) AS other"
@@ -560,6 +595,14 @@ def linked(documents: DataFrame, n: int = 4, percent: int = 85, block_rows: int
         ),
         "candidates",
     )
+    finer = grouped.join(vectors.select("node", "fine"), "node")
+    near = materialize(
+        _by_blocks(near, finer, "fine").mapInArrow(
+            _candidates(percent, finer=True), "shingle bigint, i int, j int, block int, node bigint"
+        ),
+        "finer-candidates",
+    )
+    near = _different(near)
     sets = sets_of(near.select("node").distinct(), texts, ids, n)
     rest = materialize(
         _by_blocks(near, grouped.join(sets, "node"), "members").mapInArrow(_joined(percent), "a bigint, b bigint"),
@@ -589,6 +632,18 @@ def _by_blocks(rows: DataFrame, points: DataFrame, *further: str) -> DataFrame:
     )
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """Rows of one of each kind of pairs of blocks that hold the same points on the same sides."""
+    side = "CASE WHEN i = j THEN 0 WHEN block = i THEN 1 ELSE 2 END"
+    kinds = rows.selectExpr("*", f"{side} AS side").groupBy("shingle", "i", "j").agg(
+        F.count(F.lit(1)).alias("m"),
+        F.expr("bit_xor(xxhash64(node, side))").alias("mixed"),
+        F.expr("bit_xor(xxhash64(side, node, 1))").alias("mixed_again"),
+    )
+    one = kinds.groupBy("m", "mixed", "mixed_again").agg(F.min(F.struct("shingle", "i", "j")).alias("one"))
+    return materialize(rows.join(one.select("one.*"), ["shingle", "i", "j"], "left_semi"), "different-candidates")
+
+
 def _open_buckets(
     shared: DataFrame, vectors: DataFrame, links: DataFrame, block_rows: int
 ) -> tuple[DataFrame, DataFrame]:

@@ -121,3 +121,38 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a BIGINT, b BIGINT")
     got = {r.node: r.component for r in jaccard.components(df).collect()}
     assert got == {**{i: 0 for i in [*range(1, 51), 100]}, 201: 200, 202: 200}
+
+
+def test_long_unlike_texts_do_not_travel_whole(documents, monkeypatch):
+    """Each two share a chunk; 256 groups are too few to tell texts of 20,000 words apart."""
+    chunks = {(i, j): " ".join(f"c{i}x{j}w{k}" for k in range(2500)) for j in range(9) for i in range(j)}
+    rows = [(d, " ".join(text for pair, text in chunks.items() if d in pair)) for d in range(9)]
+    rows.append((20, rows[3][1] + " end"))
+    counted, write = [], jaccard.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        counted.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    got = found(documents(rows))
+    assert got == sorted(((d, len(t.split()) - 3, 3 if d == 20 else d) for d, t in rows), key=repr)
+    assert [n for name, n in counted if name == "pair-sets"][-1] == 0
+
+
+def test_equal_candidates_are_verified_once(spark):
+    rows = [(s, 0, 0, 0, node) for s in (1, 2, 3) for node in (10, 11)] + [(4, 0, 0, 0, node) for node in (10, 11, 12)]
+    # The same points, but dealt to blocks otherwise: other pairs meet.
+    rows += [(5, 0, 1, 0, 10), (5, 0, 1, 1, 11), (6, 0, 1, 0, 10), (6, 0, 1, 0, 11), (6, 0, 1, 1, 12)]
+    df = spark.createDataFrame(rows, "shingle bigint, i int, j int, block int, node bigint")
+    assert sorted({r.shingle for r in jaccard._different(df).collect()}) == [1, 4, 5, 6]
+
+
+def test_counts_of_classes_travel_packed(spark, documents):
+    """However many classes the texts hold, their counts are a few rows a task."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(3000))) for i in range(20)]
+    counted = documents(rows).select("text").coalesce(1).mapInArrow(jaccard._class_counts(4), "slice int, counts binary")
+    assert counted.count() <= jaccard._ORDER_CLASSES // jaccard._SLICE
+    sums = counted.mapInArrow(jaccard._levels, "slice int, levels binary").collect()
+    assert sum(len(r.levels) for r in sums) == jaccard._ORDER_CLASSES
