@@ -9,10 +9,12 @@ the target than like the corpus.
 
 Every word and pair of the corpus is counted on its own, under a 63-bit hash, so the
 counts grow with the corpus. Documents are dealt into blocks of about ``block_bytes`` of
-text. A block adds up its own texts, so that a hot word is one row in each block; sums by
-key over the blocks, less the block's own counts, return to the blocks that hold the key
-and are written as a table. A block is then scored with its own and the others' counts:
-no task holds more than a block's part of the model, and the driver holds three sums.
+text. A block adds up its own texts and deals its keys to parts, half as many as blocks: one
+row a part, with the keys as packed differences and the counts in as few bytes as they
+need. A part sums its keys over the blocks; sums less the block's own counts go back in the
+order of the block's keys, without the keys, and are written as a table. A block is then
+scored with its own and the others' counts: no task holds more than a block of texts or a
+part of the keys, a hot word is one number in each block, and the driver holds three sums.
 
 Defined cases. Words are lower-cased; the word before the first is a start mark. A
 null or empty text has no tokens and score 0, both losses are 0. Every document is
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from sitelens.llm.common import prepared
 from sitelens.session import materialize
 
-_COUNTED = "block int, key bigint, background int, target int"
+_COUNTED = "block int, part int, n int, keys binary, background binary, target binary"
+_SUMMED = "block int, part int, n int, background binary, target binary, own bigint, own_target bigint, words bigint"
 _SCORED = "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double"
 _START = 1
 
@@ -49,8 +52,8 @@ class Hashing:
         self.pairs_from = -(1 << 63) if self.words is None else self.words
         self.known: dict[bytes, int] = {}
 
-    def is_word(self, key: str) -> str:
-        return f"{key} >= 0" + (f" AND {key} < {self.words}" if self.words else "")
+    def is_word(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >= 0) & (keys < self.words) if self.words else keys >= 0
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of each token: its word, its pair with the word before, and that word."""
@@ -100,22 +103,84 @@ def _found(keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarra
     return np.where(keys[at] == asked, values[at], 0)
 
 
-def _counter(hashing: tuple[int | None, int | None]):
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers of 0 and above in as few bytes as the largest needs, lowest bytes of all first."""
+    # Unsigned: two keys may lie more than half the range apart.
+    whole = values.astype("<u8")
+    width = (int(whole.max()).bit_length() + 7) // 8 if len(whole) else 0
+    return whole.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(-1, n)
+    full = np.zeros((n, 8), np.uint8)
+    full[:, : len(planes)] = planes.T
+    return full.view("<i8")[:, 0]
+
+
+def _packed_keys(keys: np.ndarray, parts: int) -> bytes:
+    """Rising keys of one part: what is left of them by ``parts``, the first as it is and then differences."""
+    left = keys // parts
+    return left[:1].astype("<i8").tobytes() + _packed(left[1:].view(np.uint64) - left[:-1].view(np.uint64))
+
+
+def _unpacked_keys(packed: bytes, n: int, part: int, parts: int) -> np.ndarray:
+    steps = np.concatenate([np.frombuffer(packed, "<i8", 1), _unpacked(packed[8:], n - 1) if n > 1 else []]).astype(np.int64)
+    return np.cumsum(steps) * parts + part
+
+
+def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the keys part by part, rising in each; the parts held, and their bounds."""
+    part = keys % parts
+    order = np.argsort(part, kind="stable")
+    held, starts = np.unique(part[order], return_index=True)
+    return order, held, np.append(starts, len(keys))
+
+
+def _counter(hashing: tuple[int | None, int | None], parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, background, target = Block(table, Hashing(*hashing)).counts()
+        keys, *counts = Block(table, Hashing(*hashing)).counts()
+        order, held, bounds = _by_part(keys, parts)
+        at = [order[s:e] for s, e in zip(bounds, bounds[1:])]
         return pa.table(
             {
-                "block": pa.array(np.full(len(keys), key[0].as_py(), np.int32)),
-                "key": pa.array(keys),
-                "background": pa.array(background.astype(np.int32)),
-                "target": pa.array(target.astype(np.int32)),
+                "block": pa.array(np.full(len(held), key[0].as_py(), np.int32)),
+                "part": pa.array(held.astype(np.int32)),
+                "n": pa.array(np.diff(bounds)[: len(held)].astype(np.int32)),
+                "keys": pa.array([_packed_keys(keys[x], parts) for x in at[: len(held)]], pa.binary()),
+                "background": pa.array([_packed(counts[0][x]) for x in at[: len(held)]], pa.binary()),
+                "target": pa.array([_packed(counts[1][x]) for x in at[: len(held)]], pa.binary()),
             }
         )
 
     return run
 
 
-def _scorer(hashing: tuple[int | None, int | None], words: int, totals: tuple[int, int], mass: float):
+def _summer(hashing: tuple[int | None, int | None], parts: int):
+    """Counts of the other blocks, for each block in the order of its keys."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, sizes = key[0].as_py(), table.column("n").to_pylist()
+        keys = np.concatenate([_unpacked_keys(x, n, part, parts) for x, n in zip(table.column("keys").to_pylist(), sizes)])
+        distinct, at = np.unique(keys, return_inverse=True)
+        words = Hashing(*hashing).is_word(keys)
+        bounds = np.cumsum([0, *sizes])
+        rows = {c: table.column(c) for c in ("block", "part", "n")}
+        for name, own in (("background", "own"), ("target", "own_target")):
+            mine = np.concatenate([_unpacked(x, n) for x, n in zip(table.column(name).to_pylist(), sizes)])
+            # Summed as whole numbers: weights of bincount would be doubles.
+            sums = np.zeros(len(distinct), np.int64)
+            np.add.at(sums, at, mine)
+            others = sums[at] - mine
+            rows[name] = pa.array([_packed(others[s:e]) for s, e in zip(bounds, bounds[1:])], pa.binary())
+            rows[own] = pa.array(np.add.reduceat(mine * words, bounds[:-1]))
+        rows["words"] = pa.array([int(Hashing(*hashing).is_word(distinct).sum())] + [0] * (len(sizes) - 1), pa.int64())
+        return pa.table(rows).select([f.split()[0] for f in _SUMMED.split(", ")])
+
+    return run
+
+
+def _scorer(hashing: tuple[int | None, int | None], parts: int, words: int, totals: tuple[int, int], mass: float):
     alone = not totals[1]
     scale = 1.0 if alone else totals[1] / max(1, totals[0])
 
@@ -123,9 +188,12 @@ def _scorer(hashing: tuple[int | None, int | None], words: int, totals: tuple[in
         block = Block(table, Hashing(*hashing))
         doc, sizes = block.doc, block.sizes
         keys, *own = block.counts()
-        asked, rest = others.column("key").to_numpy(), [others.column(c).to_numpy() for c in ("background", "target")]
-        order = np.argsort(asked)
-        models = [a + _found(asked[order], keys, b[order]) for a, b in zip(own, rest)]
+        order, held, bounds = _by_part(keys, parts)
+        place = {p: order[s:e] for p, s, e in zip(held.tolist(), bounds, bounds[1:])}
+        models = [counts.copy() for counts in own]
+        for part, *rest in zip(*(others.column(c).to_pylist() for c in ("part", "background", "target"))):
+            for model, packed in zip(models, rest):
+                model[place[part]] += _unpacked(packed, len(place[part]))
         # Each token's word, pair and word before: places among the keys, -1 for none.
         places = [_found(keys, x, np.arange(1, len(keys) + 1)) - 1 for x in (block.word, block.pair, block.before)]
         # What the documents themselves hold of these.
@@ -190,23 +258,16 @@ def score(
         ).distinct()
     )
     grouped = texts.groupBy("block")
-    over = "OVER (PARTITION BY key)"
+    parts = 1 + blocks // 2
     counts = materialize(
-        grouped.applyInArrow(_counter(hashing), _COUNTED)
-        .selectExpr(
-            "block", "key", "background AS own", "target AS own_target",
-            f"sum(background) {over} - background AS background",
-            f"sum(target) {over} - target AS target",
-            f"min(block) {over} = block AS first",
-        )
-        # Words stay for the sums; pairs that no other block holds are known to their own.
-        .filter(f"background > 0 OR {slots.is_word('key')}"),
+        grouped.applyInArrow(_counter(hashing, parts), _COUNTED).groupBy("part").applyInArrow(_summer(hashing, parts), _SUMMED),
         "language-model",
-    )
-    sums = counts.filter(slots.is_word("key")).agg(
-        F.sum("own").alias("background"), F.sum("own_target").alias("target"), F.sum(F.col("first").cast("long")).alias("words")
+    )
+    sums = counts.agg(
+        F.sum("own").alias("background"), F.sum("own_target").alias("target"), F.sum("words").alias("words")
     ).head()
     totals = (sums["background"] or 0, sums["target"] or 0)
     words = slots.words or (sums["words"] or 0) + 1
-    others = counts.filter("background > 0").select("block", "key", "background", "target")
-    return grouped.cogroup(others.groupBy("block")).applyInArrow(_scorer(hashing, words, totals, mass), _SCORED)
+    # Where no other block holds a key of the part, all counts are 0 and packed into no bytes.
+    others = counts.filter("octet_length(background) > 0").select("block", "part", "background", "target")
+    return grouped.cogroup(others.groupBy("block")).applyInArrow(_scorer(hashing, parts, words, totals, mass), _SCORED)

@@ -195,6 +195,33 @@ def test_words_and_pairs_are_counted_apart(spark, documents):
     assert mine == sorted(want)
 
 
+def test_counts_travel_packed(documents, spark, monkeypatch):
+    """A row for each block and part, however many words and pairs they hold."""
+    rng = np.random.default_rng(4)
+    ends = [-(1 << 63), -1, 0, (1 << 63) - 1]
+    for parts in (1, 2, 50):
+        for drawn in ([], rng.integers(-(1 << 63), (1 << 63) - 1, 900)):
+            keys = np.unique(np.concatenate([np.array(drawn, np.int64), np.array(ends)]))
+            order, held, bounds = entropy._by_part(keys, parts)
+            for part, s, e in zip(held.tolist(), bounds, bounds[1:]):
+                packed = entropy._packed_keys(keys[order[s:e]], parts)
+                assert entropy._unpacked_keys(packed, e - s, part, parts).tolist() == keys[order[s:e]].tolist()
+    for values in ([0, 0], [3, 0, 255], [1, 300, 1 << 40]):
+        assert entropy._unpacked(entropy._packed(np.array(values)), len(values)).tolist() == values
+    written, write = [], entropy.materialize
+
+    def watched(df, name):
+        written.append(out := write(df, name))
+        return out
+
+    monkeypatch.setattr(entropy, "materialize", watched)
+    rows = [(i, " ".join(f"w{i}x{j} the" for j in range(100))) for i in range(60)]
+    ids = spark.createDataFrame([(3,)], "doc_id BIGINT")
+    assert len(entropy.score(documents(rows), ids, block_bytes=10_000).collect()) == 60
+    blocks = 1 + sum(len(t) for _, t in rows) // 10_000
+    assert written[0].count() <= blocks * (1 + blocks // 2)
+
+
 def test_only_confirmed_copies_are_dropped(spark):
     shared = " ".join(f"boiler{i} plate{i}" for i in range(12))
     texts = [f"{shared} {' '.join(f'own{d}x{i}' for i in range(12))}" for d in range(20)]
