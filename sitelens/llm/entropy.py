@@ -125,8 +125,8 @@ def _packed_keys(keys: np.ndarray, parts: int) -> bytes:
 
 
 def _unpacked_keys(packed: bytes, n: int, part: int, parts: int) -> np.ndarray:
-    steps = np.concatenate([np.frombuffer(packed, "<i8", 1), _unpacked(packed[8:], n - 1) if n > 1 else []]).astype(np.int64)
-    return np.cumsum(steps) * parts + part
+    steps = _unpacked(packed[8:], n - 1) if n > 1 else np.zeros(0, np.int64)
+    return np.cumsum(np.concatenate([np.frombuffer(packed, "<i8", 1), steps])) * parts + part
 
 
 def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
